@@ -16,7 +16,7 @@ from pyspark.ml.feature import CountVectorizer, MaxAbsScaler, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from ..functions import text as tx
 from ..functions.numbers import FAILED
@@ -151,7 +151,7 @@ def score_prompts(
     answers. A batch that fails is repeated prompt by prompt; a prompt
     that fails alone has no answer and gets the failed code.
     """
-    schema = StructType(df.schema.fields).add("answer", "string")
+    schema = StructType([*df.schema.fields, StructField("answer", StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         score = make_scorer()

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranks import range_limits, running_totals
+from ..session import materialise
+from .ranks import running_totals
 
 
 def score_counts(df: DataFrame, label: str, score: str, group: Sequence[str] = ()) -> DataFrame:
@@ -18,16 +19,15 @@ def score_counts(df: DataFrame, label: str, score: str, group: Sequence[str] = (
 
 
 def _curve(df: DataFrame, label: str, score: str, group: Sequence[str]) -> DataFrame:
-    """Running (tp, fp) down the scores, beside the totals of the group."""
+    """Running (tp, fp) down the scores, beside the totals of the group.
+
+    The counts per score are written once: ranges, totals and running sums all
+    start from there, and whatever computed the scores runs a single time.
+    """
     group = list(group)
-    # The limits come from the raw scores: a cheap single-column scan.
-    cuts = range_limits(df, score)
-    counts = score_counts(df, label, score, group)
-    run = running_totals(counts, "threshold", {"tp": "p", "fp": "n"}, group, True, cuts)
-    totals = df.groupBy(*group).agg(
-        F.count_if(F.col(label) == 1).alias("n_pos"),
-        F.count_if(F.col(label) == 0).alias("n_neg"),
-    )
+    counts = materialise(score_counts(df, label, score, group), "scores")
+    run = running_totals(counts, "threshold", {"tp": "p", "fp": "n"}, group, True)
+    totals = counts.groupBy(*group).agg(F.sum("p").alias("n_pos"), F.sum("n").alias("n_neg"))
     if group:
         return run.join(totals, group, "inner")
     row = totals.select(F.struct("n_pos", "n_neg").alias("t"))
@@ -43,7 +43,7 @@ def roc_points(df: DataFrame, label: str, score: str, group: Sequence[str] = ())
         (F.col("fp") / F.col("n_neg")).alias("fpr"),
         (F.col("tp") / F.col("n_pos")).alias("tpr"),
     )
-    start = df.groupBy(*group).agg(
+    start = curve.groupBy(*group).agg(
         F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")
     )
     return points.unionByName(start)

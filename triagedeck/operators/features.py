@@ -5,6 +5,8 @@ The long form holds any vocabulary: nothing is dropped, nothing is gathered on t
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -13,10 +15,13 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 
 
-def term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, n). A text lies in one task, so the counts are final before the shuffle."""
-    exploded = df.select(key, F.explode(tx.terms(F.col(text))).alias("term"))
-    return exploded.groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"))
+def term_counts(df: DataFrame, key: str, text: str, keep: Sequence[str] = ()) -> DataFrame:
+    """(key, *keep, term, n). A text lies in one task, so the counts are final before the shuffle.
+
+    ``keep`` names columns that depend on the key, such as label and split.
+    """
+    exploded = df.select(key, *keep, F.explode(tx.terms(F.col(text))).alias("term"))
+    return exploded.groupBy(key, *keep, "term").agg(F.count(F.lit(1)).alias("n"))
 
 
 def binary_counts(counts: DataFrame) -> DataFrame:

@@ -14,6 +14,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 HASH_DIGITS = 3  # 16**3 ranges of the hash order
 MAX_CUTS = 1024  # upper bound of the range limits held by the driver
 
@@ -185,7 +187,10 @@ def exact_quantiles(
     """
     group = list(group)
     present = df.filter(F.col(col).isNotNull())
-    counts = present.groupBy(*group, F.col(col).alias("_q")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = materialise(
+        present.groupBy(*group, F.col(col).alias("_q")).agg(F.count(F.lit(1)).alias("_n")),
+        "values",
+    )
     upto = running_totals(counts, "_q", {"_c": "_n"}, group)
     totals = counts.groupBy(*group).agg(F.sum("_n").alias("_t"))
     if group:

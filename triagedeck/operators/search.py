@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from .curves import auc
 from .dedup import best_per_group
-from .naive_bayes import class_sizes, probability
+from .naive_bayes import one_row, probability, scaled, texts_above
 from .ranks import hash_order, hash_uniform
 
 # The searched classifiers and the ranges of their parameters.
@@ -83,50 +84,43 @@ def _constant(t, i: int, c: int) -> Column:
 
 def trial_scores(
     trials: DataFrame,
-    train_rows: DataFrame,
-    train_docs: DataFrame,
-    rows: DataFrame,
+    stats: DataFrame,
+    sizes: DataFrame,
+    train_counts: DataFrame,
+    counts: DataFrame,
     docs: DataFrame,
     key: str,
     label: str,
 ) -> DataFrame:
     """Probability of every text of ``docs`` under every trial.
 
-    Rows are (key, term, x, absent). The trials become columns: training rows and
-    scored rows are each read and summed once for all of them, none is multiplied.
+    ``stats`` are the training terms. The trials become columns: training counts and scored
+    counts are each read and summed once for all of them, no row is multiplied.
     """
     drawn = list(enumerate(_drawn(trials)))
-    bernoulli = [(i, t) for i, t in drawn if t["classifier"] == "BernoulliNB"]
+    cuts = {str(i): t["binarize"] for i, t in drawn if t["classifier"] == "BernoulliNB"}
     normed = {i for i, t in drawn if t["classifier"] == "ComplementNB" and t["norm"]}
-    y = F.col(label)
-    sums = (
-        train_rows.join(train_docs.select(key, label), key)
-        .groupBy("term")
-        .agg(
-            F.max("absent").alias("absent"),
-            *[F.sum(F.when(y == c, F.col("x")).otherwise(0.0)).alias(f"s{c}") for c in (0, 1)],
-            *[
-                F.count_if((F.col("x") > t["binarize"]) & (y == c)).alias(f"c{c}_{i}")
-                for i, t in bernoulli
-                for c in (0, 1)
-            ],
-        )
+    terms = stats
+    if cuts:
+        terms = materialise(stats.join(texts_above(train_counts, stats, label, cuts), "term"), "trials")
+    totals = one_row(
+        stats.agg(F.sum("s0").alias("t0"), F.sum("s1").alias("t1"), F.count(F.lit(1)).alias("v"))
     )
-    totals = sums.agg(
-        F.sum("s0").alias("t0"), F.sum("s1").alias("t1"), F.count(F.lit(1)).alias("v")
-    ).select(F.struct("t0", "t1", "v").alias("t"))
-    n = class_sizes(train_docs, label).select(F.struct("n0", "n1").alias("n"))
-    stats = sums.withColumn("t", totals.scalar()).withColumn("n", n.scalar())
+    ready = terms.withColumn("t", totals).withColumn("n", one_row(sizes))
 
     # A normalised complement model divides each class by its own sum of
     # weights; every other model only needs the difference of the classes.
-    weights = stats.select(
+    weights = ready.select(
         "term",
+        "lo",
+        "span",
+        "absent",
         *[(_side(t, i, 1) - _side(t, i, 0)).alias(f"m{i}") for i, t in drawn if i not in normed],
         *[_side(t, i, c).alias(f"w{c}_{i}") for i, t in drawn if i in normed for c in (0, 1)],
     )
-    consts = stats.agg(
-        *[_constant(t, i, c).alias(f"k{c}_{i}") for i, t in drawn for c in (0, 1)],
+    consts = ready.agg(
+        *[(_constant(t, i, 1) - _constant(t, i, 0)).alias(f"k{i}") for i, t in drawn if i not in normed],
+        *[_constant(t, i, c).alias(f"k{c}_{i}") for i, t in drawn if i in normed for c in (0, 1)],
         *[F.sum(F.abs(_side(t, i, c))).alias(f"a{c}_{i}") for i, t in drawn if i in normed for c in (0, 1)],
     )
 
@@ -136,28 +130,28 @@ def trial_scores(
         return F.col("x") - F.col("absent")
 
     per_text = (
-        rows.join(weights, "term")
+        counts.select(key, "term", "n")
+        .join(materialise(weights, "weights"), "term")
+        .withColumn("x", scaled())
         .groupBy(key)
         .agg(
             *[F.sum(unit(t) * F.col(f"m{i}")).alias(f"z{i}") for i, t in drawn if i not in normed],
             *[F.sum(unit(t) * F.col(f"w{c}_{i}")).alias(f"z{c}_{i}") for i, t in drawn if i in normed for c in (0, 1)],
         )
     )
-    row = consts.select(F.struct(*consts.columns).alias("k")).scalar()
-    ready = docs.join(per_text, key, "left").withColumn("_k", row)
+    joined = docs.join(per_text, key, "left").withColumn("_k", one_row(consts))
 
     def margin(i: int, t) -> Column:
-        k = [F.col(f"_k.k{c}_{i}") for c in (0, 1)]
         if i in normed:
             side = [
-                (F.coalesce(F.col(f"z{c}_{i}"), F.lit(0.0)) + k[c]) / F.col(f"_k.a{c}_{i}")
+                (F.coalesce(F.col(f"z{c}_{i}"), F.lit(0.0)) + F.col(f"_k.k{c}_{i}")) / F.col(f"_k.a{c}_{i}")
                 for c in (0, 1)
             ]
             return side[1] - side[0]
         prior = F.lit(0.0)
         if t["classifier"] != "ComplementNB":
             prior = F.log(F.lit(1.0 - t["class_prior"])) - F.log(F.lit(t["class_prior"]))
-        return F.coalesce(F.col(f"z{i}"), F.lit(0.0)) + k[1] - k[0] + prior
+        return F.coalesce(F.col(f"z{i}"), F.lit(0.0)) + F.col(f"_k.k{i}") + prior
 
     cells = F.array(
         *[
@@ -168,7 +162,7 @@ def trial_scores(
             for i, t in drawn
         ]
     )
-    return ready.select(*docs.columns, F.inline(cells))
+    return joined.select(*docs.columns, F.inline(cells))
 
 
 def evaluate_trials(scores: DataFrame, label: str) -> DataFrame:

@@ -11,6 +11,7 @@ from ..operators import naive_bayes as nb
 from ..operators import search as se
 from ..operators.curves import auc
 from ..operators.metrics import accuracy
+from ..session import materialise
 from ..operators.splits import sample_ladder, stratified_kfold, stratified_split
 from .base import (
     BOW,
@@ -29,7 +30,11 @@ from .base import (
 KEY, LABEL = "bug_id", "binary_severity"
 
 
+KEEP = (LABEL, "split")
+
+
 def _split_docs(spark, sf):
+    """(key, label, split): only ids take part in the ranking."""
     return stratified_split(docs(spark, sf).select(KEY, LABEL), KEY, LABEL)
 
 
@@ -37,24 +42,26 @@ def _counts(spark, sf):
     return ft.term_counts(docs(spark, sf), KEY, "description")
 
 
-def _train_docs(split):
-    return split.filter("split = 'tr'")
+def _train(df):
+    return df.filter("split = 'tr'")
 
 
 def _n(df):
     return df.agg(F.count(F.lit(1)).alias("n")).scalar()
 
 
-def _train_counts(counts, split):
-    return counts.join(_train_docs(split).select(KEY), KEY, "left_semi")
+def _prepared(spark, sf):
+    """The split texts, and their term counts with label and split.
 
-
-def _scaled(counts, split):
-    """(all scaled rows, training rows, ranges): fitted on the training texts."""
-    train = _train_docs(split)
-    ranges = ft.fit_term_range(_train_counts(counts, split), _n(train))
-    rows = ft.scale_terms(counts, ranges, KEY)
-    return rows, rows.join(train.select(KEY), KEY, "left_semi"), ranges
+    Both are written once. The texts meet their split in one shuffle by key; the counts
+    are grouped within it.
+    """
+    split = materialise(_split_docs(spark, sf), "split")
+    texts = table(spark, sf, "documents").select(
+        F.col("doc_id").alias(KEY), F.col("text").alias("description")
+    )
+    counts = ft.term_counts(texts.join(split, KEY), KEY, "description", KEEP)
+    return split, materialise(counts, "counts")
 
 
 TRAIN_BOW = """trainbow AS (SELECT b.* FROM bow b JOIN sdocs s ON b.bug_id = s.bug_id WHERE s.split = 'tr')"""
@@ -78,7 +85,8 @@ def bow_counts(spark, sf):
 @query("bow_vocabulary", sql(DOCS, SPLIT, BOW, TRAIN_BOW, body="""
 SELECT count(DISTINCT term) AS n_terms, min(term) AS first_term FROM trainbow"""))
 def bow_vocabulary(spark, sf):
-    return ft.vocabulary_size(_train_counts(_counts(spark, sf), _split_docs(spark, sf)))
+    split = _train(_split_docs(spark, sf)).select(KEY)
+    return ft.vocabulary_size(_counts(spark, sf).join(split, KEY, "left_semi"))
 
 
 @query("bow_binary", sql(DOCS, BOW, body="SELECT bug_id, term, 1::BIGINT AS n FROM bow"))
@@ -91,8 +99,8 @@ def bow_binary(spark, sf):
 v AS (SELECT bug_id, b.term, n * idf AS v FROM bow b JOIN idf i ON b.term = i.term)
 SELECT bug_id, term, round(v / sqrt(sum(v * v) OVER (PARTITION BY bug_id)), 6) AS tfidf FROM v"""))
 def tfidf(spark, sf):
-    counts, split = _counts(spark, sf), _split_docs(spark, sf)
-    found = ft.tfidf(counts, _train_counts(counts, split), _n(_train_docs(split)), KEY)
+    split, counts = _prepared(spark, sf)
+    found = ft.tfidf(counts, _train(counts), _n(_train(split)), KEY)
     return found.withColumn("tfidf", r6("tfidf"))
 
 
@@ -116,16 +124,18 @@ def extract_xy(spark, sf):
 @query("feature_steps", sql(*TEXT, body="SELECT bug_id, term, round(x, 6) AS x FROM scaled"))
 def feature_steps(spark, sf):
     """Counts, then min-max scaling fitted on the training texts."""
-    rows, _, _ = _scaled(_counts(spark, sf), _split_docs(spark, sf))
-    return rows.select(KEY, "term", r6("x").alias("x"))
+    split, counts = _prepared(spark, sf)
+    ranges = ft.fit_term_range(_train(counts), _n(_train(split)))
+    return ft.scale_terms(counts, ranges, KEY).select(KEY, "term", r6("x").alias("x"))
 
 
 @query("feature_steps_binary", sql(DOCS, SPLIT, "bow AS (SELECT DISTINCT bug_id, unnest(regexp_extract_all(lower(description), '[\\p{L}\\p{N}_]{2,}')) AS term, 1 AS n FROM docs)", TRAIN_BOW, RANGES,
     body="SELECT bug_id, term, round(x, 6) AS x FROM scaled"))
 def feature_steps_binary(spark, sf):
-    counts = ft.binary_counts(_counts(spark, sf))
-    rows, _, _ = _scaled(counts, _split_docs(spark, sf))
-    return rows.select(KEY, "term", r6("x").alias("x"))
+    split, counts = _prepared(spark, sf)
+    counts = ft.binary_counts(counts)
+    ranges = ft.fit_term_range(_train(counts), _n(_train(split)))
+    return ft.scale_terms(counts, ranges, KEY).select(KEY, "term", r6("x").alias("x"))
 
 
 SIZES = [50, 100, 200, -1]
@@ -147,7 +157,7 @@ SELECT s.n_samples, s."set", count(DISTINCT s.bug_id) AS n_rows, count(DISTINCT
   round(sum(CASE WHEN hi = lo THEN 0 ELSE (n - lo) / (hi - lo)::DOUBLE END), 4) AS total
 FROM bow b JOIN sets s ON b.bug_id = s.bug_id JOIN fit f ON f.n_samples = s.n_samples AND f.term = b.term GROUP BY s.n_samples, s."set\""""))
 def fit_transform_splits(spark, sf):
-    split = _split_docs(spark, sf).select(KEY, "split")
+    split, counts = _prepared(spark, sf)
     ladder = sample_ladder(split.filter("split = 'tr'").select(KEY), KEY, SIZES, "ladder")
     val = sample_ladder(split.filter("split = 'val'").select(KEY), KEY, SIZES, "ladder")
     steps = F.explode(F.array(*[F.lit(s) for s in SIZES]))
@@ -161,7 +171,8 @@ def fit_transform_splits(spark, sf):
         .union(whole("val", "all_val"))
         .union(whole("test", "all_test"))
     )
-    rows = ft.ladder_features(_counts(spark, sf), ladder.select("n_samples", KEY), sets, KEY)
+    counts = counts.select(KEY, "term", "n")
+    rows = materialise(ft.ladder_features(counts, ladder.select("n_samples", KEY), sets, KEY), "rows")
     # Two levels instead of distinct counts: texts first, then terms.
     by_text = rows.groupBy("n_samples", "set", KEY).agg(F.sum("x").alias("x"))
     texts = by_text.groupBy("n_samples", "set").agg(
@@ -204,13 +215,16 @@ def _shown(scored):
     return scored.select(KEY, LABEL, "split", r6("prob").alias("prob"), "pred")
 
 
+def _fitted(spark, sf, moments=False):
+    """Split texts, counts, class sizes and training terms."""
+    split, counts = _prepared(spark, sf)
+    sizes = nb.class_sizes(_train(split), LABEL)
+    return split, counts, sizes, nb.term_stats(_train(counts), sizes, LABEL, moments)
+
+
 def _multinomial(spark, sf):
-    counts, split = _counts(spark, sf), _split_docs(spark, sf)
-    rows, train_rows, ranges = _scaled(counts, split)
-    train = _train_docs(split)
-    sums = nb.term_sums(train_rows, train, KEY, LABEL)
-    model = nb.with_absent(nb.fit_multinomial(sums, nb.class_sizes(train, LABEL)), ranges)
-    return nb.score(model, rows, split, KEY)
+    split, counts, sizes, stats = _fitted(spark, sf)
+    return nb.score(nb.fit_multinomial(stats, sizes), counts, split, KEY)
 
 
 @query("nb_multinomial", sql(*TEXT, *_score_sql(MULTINOMIAL), body=NB_BODY))
@@ -226,13 +240,11 @@ base AS (SELECT ln(0.3) + (SELECT sum(a0) FROM w) AS b0, ln(0.7) + (SELECT sum(a
 
 @query("nb_bernoulli", sql(*TEXT, *_score_sql(BERNOULLI, "(x > 0.1)::INT"), body=NB_BODY))
 def nb_bernoulli(spark, sf):
-    counts, split = _counts(spark, sf), _split_docs(spark, sf)
-    rows, train_rows, _ = _scaled(counts, split)
-    train = _train_docs(split)
-    sums = nb.term_sums(train_rows, train, KEY, LABEL, binarize=0.1)
-    model = nb.fit_bernoulli(sums, nb.class_sizes(train, LABEL), 0.5, nb.Prior(given=(0.3, 0.7)))
-    present = rows.select(KEY, "term", (F.col("x") > 0.1).cast("int").alias("x"))
-    return _shown(nb.score(model, present, split, KEY))
+    split, counts, sizes, stats = _fitted(spark, sf)
+    model = nb.fit_bernoulli(
+        _train(counts), stats, sizes, LABEL, 0.5, 0.1, nb.Prior(given=(0.3, 0.7))
+    )
+    return _shown(nb.score(model, counts, split, KEY))
 
 
 GAUSS = """st AS (SELECT term, max(absent) AS a, count(*) AS k, avg(x) AS m, var_pop(x) AS q,
@@ -253,11 +265,9 @@ scores AS (SELECT d.bug_id, d.binary_severity, d.split, coalesce(z0, 0) + b0 AS
 
 @query("nb_gaussian", sql(*TEXT, GAUSS, body=NB_BODY))
 def nb_gaussian(spark, sf):
-    counts, split = _counts(spark, sf), _split_docs(spark, sf)
-    rows, train_rows, _ = _scaled(counts, split)
-    train = _train_docs(split)
-    model = nb.fit_gaussian_terms(train_rows, train, KEY, LABEL, 0.01)
-    return _shown(nb.score_gaussian_terms(model, nb.class_sizes(train, LABEL), rows, split, KEY))
+    split, counts, sizes, stats = _fitted(spark, sf, moments=True)
+    model = nb.fit_gaussian_terms(stats, sizes, 0.01)
+    return _shown(nb.score(model, counts, split, KEY))
 
 
 @query("nb_gaussian_vectors", sql(VECTORS, SVECTORS, body="""
@@ -287,11 +297,8 @@ base AS (SELECT (SELECT sum(absent * w0) FROM absents a JOIN w ON a.term = w.ter
 
 @query("nb_complement", sql(*TEXT, *_score_sql(COMPLEMENT), body=NB_BODY))
 def nb_complement(spark, sf):
-    counts, split = _counts(spark, sf), _split_docs(spark, sf)
-    rows, train_rows, ranges = _scaled(counts, split)
-    sums = nb.term_sums(train_rows, _train_docs(split), KEY, LABEL)
-    model = nb.with_absent(nb.fit_complement(sums, 0.5, norm=True), ranges)
-    return _shown(nb.score(model, rows, split, KEY))
+    split, counts, sizes, stats = _fitted(spark, sf)
+    return _shown(nb.score(nb.fit_complement(stats, sizes, 0.5, norm=True), counts, split, KEY))
 
 
 # Equal texts get equal scores only up to rounding of their sums; nine digits
@@ -314,7 +321,8 @@ PROBS = "probs AS (SELECT *, 1 / (1 + exp(z0 - z1)) AS prob, CASE WHEN z1 > z0 T
 SELECT 'MultinomialNB' AS classifier, round((SELECT avg((binary_severity = pred)::INT) FROM probs WHERE split = 'tr'), 6) AS train_accuracy,
   round((SELECT auc FROM areas WHERE split = 'val'), 6) AS auc_val, round((SELECT auc FROM areas WHERE split = 'test'), 6) AS auc_test"""))
 def train_valid_test(spark, sf):
-    found = cl.train_valid_test(_tied(_multinomial(spark, sf)), LABEL, "MultinomialNB")
+    scored = materialise(_tied(_multinomial(spark, sf)), "scored")
+    found = cl.train_valid_test(scored, LABEL, "MultinomialNB")
     return found.withColumns({c: r6(c) for c in ("train_accuracy", "auc_val", "auc_test")})
 
 
@@ -340,8 +348,9 @@ SELECT p.seed, CAST(p.fold AS INT) AS fold, count(*) AS n, round(avg((binary_sev
 FROM probs p JOIN areas a ON a.seed = p.seed AND a.fold = p.fold GROUP BY p.seed, p.fold"""))
 def cv_table(spark, sf):
     d = docs(spark, sf)
-    folds = stratified_kfold(d.select(KEY, LABEL), KEY, LABEL, 5, [0, 1])
-    scored = _tied(nb.cross_validate(_counts(spark, sf), folds, KEY, LABEL))
+    folds = materialise(stratified_kfold(d.select(KEY, LABEL), KEY, LABEL, 5, [0, 1]), "folds")
+    counts = materialise(_counts(spark, sf), "counts")
+    scored = materialise(_tied(nb.cross_validate(counts, folds, KEY, LABEL)), "scored")
     right = accuracy(scored, LABEL, "pred", ["seed", "fold"])
     areas = auc(scored, LABEL, "prob", ["seed", "fold"])
     return right.join(areas, ["seed", "fold"]).select(
@@ -391,16 +400,16 @@ def _trials(spark, sf):
 
 
 def _trial_scores(spark, sf, parts):
-    counts, split = _counts(spark, sf), _split_docs(spark, sf)
-    rows, train_rows, _ = _scaled(counts, split)
-    asked = split.filter(F.col("split").isin(*parts))
-    trials = _trials(spark, sf)
+    split, counts, sizes, stats = _fitted(spark, sf)
+    wanted = F.col("split").isin(*parts)
+    trials = materialise(_trials(spark, sf), "drawn")
     scores = se.trial_scores(
         trials,
-        train_rows,
-        _train_docs(split),
-        rows.join(asked.select(KEY), KEY, "left_semi"),
-        asked,
+        stats,
+        sizes,
+        _train(counts),
+        counts.filter(wanted),
+        split.filter(wanted),
         KEY,
         LABEL,
     )
@@ -448,6 +457,7 @@ def search_best(spark, sf):
 def reproduce_best(spark, sf):
     """The best validation trial, scored again on the full validation and test sets."""
     trials, scores = _trial_scores(spark, sf, ["val", "test"])
+    scores = materialise(scores, "scores")
     values = se.evaluate_trials(scores.filter("split = 'val'"), LABEL)
     best = se.best_trial(trials, values, "study")
     again = scores.join(best.select("study", "trial", "classifier"), "trial")
@@ -470,13 +480,13 @@ def _quality(scored, classifier):
 def _text_vectors(spark, sf):
     s = stratified_split(docs(spark, sf), KEY, LABEL).withColumnRenamed(LABEL, "y")
     model = cl.fit_text_features(s.filter("split = 'tr'"))
-    return model.transform(s).select(KEY, "y", "split", "features")
+    return materialise(model.transform(s).select(KEY, "y", "split", "features"), "vectors")
 
 
 def _svm(rows, name, c=1.0, balanced=False):
     train = rows.filter("split = 'tr'")
     model = cl.fit_linear_svm(train, "y", c, balanced)
-    scored = cl.margins(model, rows)
+    scored = materialise(cl.margins(model, rows).drop("features", "rawPrediction"), "margins")
     held_out = scored.filter("split = 'val'")
     calibrated = cl.platt_scale(scored, held_out, "y").withColumn("pred", F.col("prediction").cast("int"))
     return _quality(calibrated, name)
@@ -490,7 +500,9 @@ def svc_linear(spark, sf):
 @query("svc_rbf_approx")
 def svc_rbf_approx(spark, sf):
     s = stratified_split(vectors(spark, sf), "vec_id", "y")
-    rows = cl.fourier_features(s, "embedding", 64, 256, gamma=0.001)
+    rows = materialise(
+        cl.fourier_features(s, "embedding", 64, 256, gamma=0.001).drop("embedding"), "vectors"
+    )
     return _svm(rows, "RBF", c=100.0)
 
 
@@ -498,7 +510,7 @@ def svc_rbf_approx(spark, sf):
 def platt_scale(spark, sf):
     rows = _text_vectors(spark, sf)
     model = cl.fit_linear_svm(rows.filter("split = 'tr'"), "y")
-    scored = cl.margins(model, rows)
+    scored = materialise(cl.margins(model, rows).drop("features", "rawPrediction"), "margins")
     return cl.platt_scale(scored, scored.filter("split = 'val'"), "y").select(
         KEY, "split", r6("margin").alias("margin"), r6("prob").alias("prob")
     )
@@ -509,6 +521,7 @@ def mlp_embeddings(spark, sf):
     s = stratified_split(vectors(spark, sf), "vec_id", "y")
     train = s.filter("split = 'tr'")
     rows = ft.scale_vectors(s, "embedding", train).withColumn("features", array_to_vector("scaled"))
+    rows = materialise(rows.drop("embedding", "scaled"), "vectors")
     model = cl.fit_mlp(rows.filter("split = 'tr'"), "y", [64, 16, 2], max_iter=60)
     from pyspark.ml.functions import vector_to_array
 

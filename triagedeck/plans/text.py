@@ -149,7 +149,7 @@ def derived_names(spark, sf):
 
 
 @query("nested_metrics", sql(SCORED, body="""
-SELECT user_id, n00 + n11 AS correct, round((n00 + n11) / n::DOUBLE, 6) AS accuracy,
+SELECT user_id, (n00 + n11)::BIGINT AS correct, round((n00 + n11) / n::DOUBLE, 6) AS accuracy,
   round(CASE WHEN 2 * n11 + n01 + n10 = 0 THEN 0 ELSE 2.0 * n11 / (2 * n11 + n01 + n10) END, 6) AS f1_severe,
   round((CASE WHEN 2 * n11 + n01 + n10 = 0 THEN 0 ELSE 2.0 * n11 / (2 * n11 + n01 + n10) END
    + CASE WHEN 2 * n00 + n01 + n10 = 0 THEN 0 ELSE 2.0 * n00 / (2 * n00 + n01 + n10) END) / 2, 6) AS f1_mean
@@ -183,8 +183,8 @@ def nested_metrics(spark, sf):
 
 
 @query("nan_guard", sql(DOCS, JUDGED, body="""
-SELECT count_if(binary_severity IS NULL) AS binary_severity,
-  count_if(severity_pred IS NULL OR isnan(severity_pred)) AS severity_pred FROM judged"""))
+SELECT count_if(binary_severity IS NULL)::BIGINT AS binary_severity,
+  count_if(severity_pred IS NULL OR isnan(severity_pred))::BIGINT AS severity_pred FROM judged"""))
 def nan_guard(spark, sf):
     return lb.nan_report(judged(spark, sf), ["binary_severity", "severity_pred"])
 
