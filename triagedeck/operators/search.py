@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..session import materialise
 from .curves import auc
 from .dedup import best_per_group
-from .naive_bayes import one_row, probability, scaled, texts_above
+from .naive_bayes import one_row, scaled, texts_above
 from .ranks import hash_order, hash_uniform
 
 # The searched classifiers and the ranges of their parameters.
@@ -62,24 +62,44 @@ def _drawn(trials: DataFrame) -> list:
     return rows
 
 
-def _side(t, i: int, c: int) -> Column:
-    """Weight of one unit of a term for class ``c`` under trial ``t``."""
-    a = F.lit(t["alpha"])
+def _num(value: float) -> str:
+    return f"{float(value)!r}D"
+
+
+def _side(t, i: int, c: int) -> str:
+    """SQL: weight of one unit of a term for class ``c`` under trial ``t``."""
+    a = _num(t["alpha"])
     if t["classifier"] == "BernoulliNB":
-        have, lack = F.col(f"c{c}_{i}"), F.col(f"n.n{c}") - F.col(f"c{c}_{i}")
-        return F.log(have + a) - F.log(lack + a)
+        return f"(ln(c{c}_{i} + {a}) - ln(n.n{c} - c{c}_{i} + {a}))"
     of = 1 - c if t["classifier"] == "ComplementNB" else c
-    share = F.log((F.col(f"s{of}") + a) / (F.col(f"t.t{of}") + a * F.col("t.v")))
-    return -share if t["classifier"] == "ComplementNB" else share
+    share = f"ln((s{of} + {a}) / (t.t{of} + {a} * t.v))"
+    return f"(-{share})" if t["classifier"] == "ComplementNB" else share
+
+
+def _constant(t, i: int, c: int) -> str:
+    """SQL: what a text without any term gets from the whole vocabulary, for class ``c``."""
+    a = _num(t["alpha"])
+    if t["classifier"] == "BernoulliNB":
+        return f"sum(ln((n.n{c} - c{c}_{i} + {a}) / (n.n{c} + 2 * {a})))"
+    return f"sum(absent * {_side(t, i, c)})"
 
 
-def _constant(t, i: int, c: int) -> Column:
-    """What a text without any term gets per vocabulary term, for class ``c``."""
-    a = F.lit(t["alpha"])
+def _unit(t) -> str:
+    """SQL: how much of its weight a present term counts."""
     if t["classifier"] == "BernoulliNB":
-        lack = F.col(f"n.n{c}") - F.col(f"c{c}_{i}")
-        return F.sum(F.log((lack + a) / (F.col(f"n.n{c}") + 2 * a)))
-    return F.sum(F.col("absent") * _side(t, i, c))
+        return f"CAST(x > {_num(t['binarize'])} AS DOUBLE)"
+    return "(x - absent)"
+
+
+def _margin(t, i: int, normed: bool) -> str:
+    """SQL: score of class 1 minus score of class 0."""
+    if normed:
+        side = [f"(coalesce(z{c}_{i}, 0D) + _k.k{c}_{i}) / _k.a{c}_{i}" for c in (0, 1)]
+        return f"{side[1]} - {side[0]}"
+    prior = "0D"
+    if t["classifier"] != "ComplementNB":
+        prior = f"ln(1D - {_num(t['class_prior'])}) - ln({_num(t['class_prior'])})"
+    return f"coalesce(z{i}, 0D) + _k.k{i} + {prior}"
 
 
 def trial_scores(
@@ -110,59 +130,37 @@ def trial_scores(
 
     # A normalised complement model divides each class by its own sum of
     # weights; every other model only needs the difference of the classes.
-    weights = ready.select(
+    plain = [(i, t) for i, t in drawn if i not in normed]
+    apart = [(i, t, c) for i, t in drawn if i in normed for c in (0, 1)]
+    weights = ready.selectExpr(
         "term",
         "lo",
         "span",
         "absent",
-        *[(_side(t, i, 1) - _side(t, i, 0)).alias(f"m{i}") for i, t in drawn if i not in normed],
-        *[_side(t, i, c).alias(f"w{c}_{i}") for i, t in drawn if i in normed for c in (0, 1)],
+        *[f"{_side(t, i, 1)} - {_side(t, i, 0)} AS m{i}" for i, t in plain],
+        *[f"{_side(t, i, c)} AS w{c}_{i}" for i, t, c in apart],
     )
-    consts = ready.agg(
-        *[(_constant(t, i, 1) - _constant(t, i, 0)).alias(f"k{i}") for i, t in drawn if i not in normed],
-        *[_constant(t, i, c).alias(f"k{c}_{i}") for i, t in drawn if i in normed for c in (0, 1)],
-        *[F.sum(F.abs(_side(t, i, c))).alias(f"a{c}_{i}") for i, t in drawn if i in normed for c in (0, 1)],
+    consts = ready.groupBy().agg(
+        *[F.expr(f"{_constant(t, i, 1)} - {_constant(t, i, 0)} AS k{i}") for i, t in plain],
+        *[F.expr(f"{_constant(t, i, c)} AS k{c}_{i}") for i, t, c in apart],
+        *[F.expr(f"sum(abs({_side(t, i, c)})) AS a{c}_{i}") for i, t, c in apart],
     )
-
-    def unit(t) -> Column:
-        if t["classifier"] == "BernoulliNB":
-            return (F.col("x") > t["binarize"]).cast("double")
-        return F.col("x") - F.col("absent")
-
     per_text = (
         counts.select(key, "term", "n")
-        .join(materialise(weights, "weights"), "term")
+        .join(weights, "term")
         .withColumn("x", scaled())
         .groupBy(key)
         .agg(
-            *[F.sum(unit(t) * F.col(f"m{i}")).alias(f"z{i}") for i, t in drawn if i not in normed],
-            *[F.sum(unit(t) * F.col(f"w{c}_{i}")).alias(f"z{c}_{i}") for i, t in drawn if i in normed for c in (0, 1)],
+            *[F.expr(f"sum({_unit(t)} * m{i}) AS z{i}") for i, t in plain],
+            *[F.expr(f"sum({_unit(t)} * w{c}_{i}) AS z{c}_{i}") for i, t, c in apart],
         )
     )
     joined = docs.join(per_text, key, "left").withColumn("_k", one_row(consts))
-
-    def margin(i: int, t) -> Column:
-        if i in normed:
-            side = [
-                (F.coalesce(F.col(f"z{c}_{i}"), F.lit(0.0)) + F.col(f"_k.k{c}_{i}")) / F.col(f"_k.a{c}_{i}")
-                for c in (0, 1)
-            ]
-            return side[1] - side[0]
-        prior = F.lit(0.0)
-        if t["classifier"] != "ComplementNB":
-            prior = F.log(F.lit(1.0 - t["class_prior"])) - F.log(F.lit(t["class_prior"]))
-        return F.coalesce(F.col(f"z{i}"), F.lit(0.0)) + F.col(f"_k.k{i}") + prior
-
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(t["trial"]).alias("trial"),
-                probability(F.lit(0.0), margin(i, t)).alias("prob"),
-            )
-            for i, t in drawn
-        ]
+    cells = ", ".join(
+        f"struct({t['trial']} AS trial, 1D / (1D + exp(-({_margin(t, i, i in normed)}))) AS prob)"
+        for i, t in drawn
     )
-    return joined.select(*docs.columns, F.inline(cells))
+    return joined.selectExpr(*docs.columns, f"inline(array({cells}))")
 
 
 def evaluate_trials(scores: DataFrame, label: str) -> DataFrame:
