@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import label_grid
-from .ranks import exact_quantiles
+from .dedup import top_per_group
+from .ranks import attach, exact_quantiles, value_table
 
 
 def ratio(num: Column, den: Column) -> Column:
@@ -102,8 +103,7 @@ def representatives(
     df: DataFrame, true: str, pred: str, key: str, n: int, payload: Sequence[str]
 ) -> DataFrame:
     """Up to ``n`` rows, in key order, of every (true, predicted) pair; empty pairs too."""
-    w = Window.partitionBy(true, pred).orderBy(key)
-    first = df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n)
+    first = top_per_group(df, [true, pred], [F.asc(key)], n)
     picked = first.groupBy(
         F.col(true).alias("true_label"), F.col(pred).alias("pred_label")
     ).agg(F.sort_array(F.collect_list(F.struct(key, *payload))).alias("samples"))
@@ -114,19 +114,37 @@ def representatives(
 
 
 def describe(df: DataFrame, col: str, group: Sequence[str] = ()) -> DataFrame:
-    """Count, mean, deviation, minimum, exact quartiles and maximum."""
-    basic = df.groupBy(*group).agg(
-        F.count(col).alias("count"),
-        F.avg(col).alias("mean"),
-        F.stddev_samp(col).alias("std"),
-        F.min(col).alias("min"),
-        F.max(col).alias("max"),
+    """Count, mean, deviation, minimum, exact quartiles and maximum.
+
+    The rows are read once, for a table of distinct values; all the figures come from it.
+    """
+    group = list(group)
+    values = value_table(df, col, group)
+    x, n = F.col("_q").cast("double"), F.col("_n")
+    basic = values.groupBy(*group).agg(
+        F.sum(n).alias("count"),
+        (F.sum(n * x) / F.sum(n)).alias("mean"),
+        F.min("_q").alias("min"),
+        F.max("_q").alias("max"),
     )
-    quartiles = exact_quantiles(df, col, {"q25": 0.25, "q50": 0.5, "q75": 0.75}, group)
+    quartiles = exact_quantiles(values, {"q25": 0.25, "q50": 0.5, "q75": 0.75}, group)
+
+    def spread(centred: DataFrame) -> DataFrame:
+        gap = x - F.col("mean")
+        return centred.groupBy(*group).agg(
+            F.sqrt(F.try_divide(F.sum(n * gap * gap), F.sum(n) - 1)).alias("std")
+        )
+
     if group:
-        return basic.join(quartiles, list(group), "left")
-    row = quartiles.select(F.struct("q25", "q50", "q75").alias("q"))
-    return basic.withColumn("q", row.scalar()).select("*", "q.*").drop("q")
+        std = spread(attach(values, basic.select(*group, "mean"), group))
+        found = attach(attach(basic, std, group), quartiles, group)
+    else:
+        std = spread(values.withColumn("mean", basic.select("mean").scalar()))
+        row = quartiles.select(F.struct("q25", "q50", "q75").alias("q"))
+        found = (
+            basic.withColumn("std", std.scalar()).withColumn("q", row.scalar()).select("*", "q.*")
+        )
+    return found.select(*group, "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def profile_columns(df: DataFrame) -> DataFrame:

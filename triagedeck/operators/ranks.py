@@ -33,7 +33,7 @@ def hash_uniform(key: Column) -> Column:
     return F.conv(F.substring(key, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def _attach(df: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
+def attach(df: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Inner join on keys that may be null, keeping the left key columns."""
     renamed = small.select(
         *[F.col(k).alias(f"_k_{k}") for k in keys],
@@ -75,7 +75,7 @@ def shuffled_rank(
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
         F.sum("_n").over(part).alias("_total"),
     )
-    placed = _attach(keyed, offsets, [*group, "_b"])
+    placed = attach(keyed, offsets, [*group, "_b"])
     if limit is not None:
         placed = placed.filter(F.col("_off") < limit)
     inside = Window.partitionBy(*group, "_b").orderBy("_h", key)
@@ -150,7 +150,7 @@ def running_totals(
         "_b",
         *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in named],
     )
-    placed = _attach(cut, offsets, [*group, "_b"])
+    placed = attach(cut, offsets, [*group, "_b"])
     col = F.desc(order) if descending else F.asc(order)
     inside = (
         Window.partitionBy(*group, "_b")
@@ -174,27 +174,26 @@ def ordered_rank(
     return running_totals(df, order, {rank: F.lit(1)}, group, descending)
 
 
+def value_table(df: DataFrame, col: str, group: Sequence[str] = ()) -> DataFrame:
+    """(group, _q, _n): rows per distinct value, written once."""
+    present = df.filter(F.col(col).isNotNull())
+    counted = present.groupBy(*group, F.col(col).alias("_q")).agg(F.count(F.lit(1)).alias("_n"))
+    return materialise(counted, "values")
+
+
 def exact_quantiles(
-    df: DataFrame,
-    col: str,
-    probs: Mapping[str, float],
-    group: Sequence[str] = (),
+    counts: DataFrame, probs: Mapping[str, float], group: Sequence[str] = ()
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, one column per named probability.
 
-    Built from counts per distinct value, so neither a heavy value nor a wide
-    value range gathers in one task.
+    Works on a ``value_table``, so neither a heavy value nor a wide value range
+    gathers in one task.
     """
     group = list(group)
-    present = df.filter(F.col(col).isNotNull())
-    counts = materialise(
-        present.groupBy(*group, F.col(col).alias("_q")).agg(F.count(F.lit(1)).alias("_n")),
-        "values",
-    )
     upto = running_totals(counts, "_q", {"_c": "_n"}, group)
     totals = counts.groupBy(*group).agg(F.sum("_n").alias("_t"))
     if group:
-        both = _attach(upto, totals, group)
+        both = attach(upto, totals, group)
     else:
         both = upto.withColumn("_t", totals.select("_t").scalar())
     aggs = []
@@ -205,12 +204,7 @@ def exact_quantiles(
             aggs.append(F.max(F.when(hit, F.col("_q").cast("double"))).alias(f"_{name}_{tag}"))
         aggs.append(F.max(place - F.floor(place)).alias(f"_{name}_f"))
     picked = both.groupBy(*group).agg(*aggs)
+    lo, hi, share = (lambda n, tag=tag: F.col(f"_{n}_{tag}") for tag in ("lo", "hi", "f"))
     return picked.select(
-        *group,
-        *[
-            (
-                F.col(f"_{n}_lo") + (F.col(f"_{n}_hi") - F.col(f"_{n}_lo")) * F.col(f"_{n}_f")
-            ).alias(n)
-            for n in probs
-        ],
+        *group, *[(lo(n) + (hi(n) - lo(n)) * share(n)).alias(n) for n in probs]
     )

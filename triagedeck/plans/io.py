@@ -6,13 +6,30 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers as nx
 from ..functions import text as tx
-from ..operators.features import scale_terms, fit_term_range, term_counts
+from ..operators.features import binary_counts, term_counts
 from ..operators.splits import stratified_split
-from ..session import fresh_folder
+from ..session import fresh_folder, materialise
 from ..sources import embeddings as em
 from ..sources import reports as rd
 from ..sources import sinks as sk
-from .base import DOCS, JUDGED, RAW, REPORTS, RESULTS, SCORED, SPLIT, STEPS, docs, judged, query, r6, raw, reports, results, sql, steps, table
+from .base import (
+    DOCS,
+    JUDGED,
+    REPORTS,
+    RESULTS,
+    SCORED,
+    SPLIT,
+    STEPS,
+    docs,
+    judged,
+    query,
+    r6,
+    reports,
+    results,
+    sql,
+    steps,
+    table,
+)
 
 
 def _raw_records(spark, sf):
@@ -48,10 +65,10 @@ def src_jsonl(spark, sf):
 def src_json_array(spark, sf):
     path = fresh_folder(spark, "json-array")
     records = docs(spark, sf).select(
-        "source", F.to_json(F.struct("bug_id", F.col("lang").alias("bug_severity"), "binary_severity", "description")).alias("r")
+        "bug_id", F.to_json(F.struct("bug_id", F.col("lang").alias("bug_severity"), "binary_severity", "description")).alias("r")
     )
-    # One array per source and hash part: a file stays small however large a source is.
-    arrays = records.groupBy("source", F.pmod(F.xxhash64("r"), F.lit(8))).agg(
+    # One array per range of ids: every file has a bounded size.
+    arrays = records.groupBy(F.expr("bug_id div 500").alias("part")).agg(
         F.concat(F.lit("["), F.array_join(F.collect_list("r"), ","), F.lit("]")).alias("value")
     )
     arrays.select("value").write.option("maxRecordsPerFile", 1).text(path)
@@ -101,7 +118,7 @@ def src_predictions_glob(spark, sf):
     arrays = j.filter("binary_severity = 0").groupBy(F.expr("bug_id div 100").alias("part")).agg(
         F.to_json(F.collect_list(F.struct("bug_id", "binary_severity", "severity_pred"))).alias("value")
     )
-    arrays.selectExpr("concat(value, '\n\n') AS value").coalesce(4).write.text(f"{path}/arrays.tmp")
+    arrays.selectExpr("concat(value, '\n\n') AS value").write.text(f"{path}/arrays.tmp")
     read = rd.read_predictions(spark, f"{path}/lines").union(_arrays_as_json(spark, f"{path}/arrays.tmp"))
     return read.select(
         "bug_id", "binary_severity", nx.missing_to_failed(F.col("severity_pred")).alias("severity_pred")
@@ -113,28 +130,34 @@ def _arrays_as_json(spark, path):
     return rd.read_predictions(spark, path, glob="*.txt")
 
 
+def _folder():
+    """Runs with the same parameters share a folder."""
+    return F.concat(F.lit("run_"), (F.col("run") % 20).cast("string"))
+
+
 def _write_runs(spark, sf):
     root = fresh_folder(spark, "runs")
-    s = steps(spark, sf).filter("dataset_type = 'val'")
-    rows = s.select(
-        F.concat(F.lit("run_"), "run").alias("name"),
+    rows = steps(spark, sf).filter("dataset_type = 'val'").select(
+        _folder().alias("name"),
         "bug_id",
         "binary_severity",
         F.lit("").alias("answer"),
         F.col("loss").cast("double").alias("severity_pred"),
     )
-    rows.repartition("name").write.partitionBy("name").json(f"{root}/predictions")
-    params = results(spark, sf).filter("dataset_type = 'val'").select(
-        F.concat(F.lit("run_"), "run").alias("name"),
-        F.to_json(F.create_map(F.lit("learning_rate"), "learning_rate", F.lit("lora_r"), "lora_r")).alias("value"),
+    rows.write.partitionBy("name").json(f"{root}/predictions")
+    params = F.create_map(F.lit("learning_rate"), "learning_rate", F.lit("lora_r"), "lora_r")
+    folders = results(spark, sf).groupBy(_folder().alias("name")).agg(
+        F.min("learning_rate").alias("learning_rate"), F.min("lora_r").alias("lora_r")
+    )
+    folders.select("name", F.to_json(params).alias("value")).write.partitionBy("name").text(
+        f"{root}/parameters"
     )
-    params.repartition("name").write.partitionBy("name").text(f"{root}/parameters")
     return root
 
 
 @query("src_runs_with_params", sql(SCORED, STEPS, RESULTS, body="""
-SELECT 'name=run_' || s.run AS run, s.bug_id, s.loss::DOUBLE AS severity_pred, r.learning_rate, r.lora_r
-FROM steps s JOIN results r ON r.run = s.run AND r.dataset_type = 'val' WHERE s.dataset_type = 'val'"""))
+SELECT 'name=run_' || s.run % 20 AS run, s.bug_id, s.loss::DOUBLE AS severity_pred, r.learning_rate, r.lora_r
+FROM steps s JOIN (SELECT DISTINCT run % 20 AS folder, learning_rate, lora_r FROM results) r ON r.folder = s.run % 20 WHERE s.dataset_type = 'val'"""))
 def src_runs_with_params(spark, sf):
     root = _write_runs(spark, sf)
     rows = rd.read_runs(spark, f"{root}/predictions", f"{root}/parameters")
@@ -182,19 +205,20 @@ def src_merge_embeddings(spark, sf):
 
 
 @query("src_aggr_runs", sql(SCORED, STEPS, RESULTS, body="""
-SELECT 'name=run_' || s.run AS run, s.epoch, max(s.loss)::DOUBLE AS loss, max(r.learning_rate) AS learning_rate FROM steps s JOIN results r
- ON r.run = s.run AND r.dataset_type = 'val' WHERE s.dataset_type = 'train' GROUP BY s.run, s.epoch"""))
+SELECT 'name=run_' || s.run % 20 AS run, s.epoch, max(s.loss)::DOUBLE AS loss, s.run::DOUBLE AS f1, max(r.learning_rate) AS learning_rate FROM steps s
+JOIN results r ON r.run = s.run WHERE s.dataset_type = 'train' GROUP BY s.run, s.epoch"""))
 def src_aggr_runs(spark, sf):
+    """One line per run, with the run's few epochs as an array."""
     root = _write_runs(spark, sf)
     epochs = steps(spark, sf).filter("dataset_type = 'train'").groupBy("run", "epoch").agg(
-        F.max("loss").cast("double").alias("loss"), F.lit(0.0).alias("f1")
+        F.max("loss").cast("double").alias("loss"), F.first("run").cast("double").alias("f1")
     )
-    files = epochs.groupBy(F.concat(F.lit("run_"), "run").alias("name")).agg(
+    lines = epochs.groupBy("run").agg(
         F.to_json(F.collect_list(F.struct("epoch", "loss", "f1"))).alias("value")
     )
-    files.repartition("name").write.partitionBy("name").text(f"{root}/metrics")
+    lines.select(_folder().alias("name"), "value").write.partitionBy("name").text(f"{root}/metrics")
     found = rd.read_run_metrics(spark, f"{root}/metrics", f"{root}/parameters")
-    return found.select("run", "epoch", "loss", F.col("params")["learning_rate"].alias("learning_rate"))
+    return found.select("run", "epoch", "loss", "f1", F.col("params")["learning_rate"].alias("learning_rate"))
 
 
 @query("src_parse_lines", """
@@ -219,9 +243,8 @@ def snk_json(spark, sf):
 
 def _write_features(spark, sf):
     path = fresh_folder(spark, "features")
-    split = stratified_split(docs(spark, sf), "bug_id", "binary_severity")
-    counts = term_counts(split, "bug_id", "description")
-    for name, rows in (("nb_bino", counts.withColumn("n", F.lit(1).cast("long"))), ("nb_non_bino", counts)):
+    counts = materialise(term_counts(docs(spark, sf), "bug_id", "description"), "counts")
+    for name, rows in (("nb_bino", binary_counts(counts)), ("nb_non_bino", counts)):
         sk.write_feature_set(rows, path, name, -1)
     return path
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,16 +26,17 @@ def local_session(cpus: int | str = 8, app: str = "triagedeck") -> SparkSession:
     )
 
 
+@lru_cache(maxsize=1)
+def _own_root() -> str:
+    return tempfile.mkdtemp(prefix="triagedeck-")
+
+
 def shared_root(spark: SparkSession) -> str:
     """Folder every executor can reach: the one the cluster names in its settings.
 
-    A session without that setting (a test) gets a folder of its own.
+    Only a session without that setting (a test) uses a folder of this machine.
     """
-    root = spark.conf.get(CHECKPOINT_KEY, None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="triagedeck-")
-        spark.conf.set(CHECKPOINT_KEY, root)
-    return root.rstrip("/")
+    return (spark.conf.get(CHECKPOINT_KEY, None) or _own_root()).rstrip("/")
 
 
 def fresh_folder(spark: SparkSession, name: str) -> str:
