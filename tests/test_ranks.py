@@ -56,10 +56,23 @@ def test_running_totals_stay_in_ranges(spark):
     ranked = rk.ordered_rank(df, "x", ["g"])
     plan = ranked._jdf.queryExecution().optimizedPlan().toString()
     windows = [line for line in plan.splitlines() if "Window" in line and "row_number" not in line]
-    assert windows and all("_b#" in line for line in windows)
+    assert windows and all("_b#" in line or "_at#" in line for line in windows)
     assert {r["rank"] for r in ranked.collect()} == set(range(1, 1001))
 
 
+def test_one_shuffle_of_the_rows(spark):
+    """Join and window share the partitioning: the rows themselves are exchanged once."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.range(100).select("id", (F.col("id") % 2).alias("y"))
+        plan = rk.shuffled_rank(df, "id", 0, ["y"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    exchanges = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+    assert sum("hashpartitioning(_at#" in x for x in exchanges) == 2  # rows, offsets
+
+
 def test_one_heavy_value(spark):
     df = spark.range(3000).select(F.when(F.col("id") < 1500, 1.0).otherwise(F.col("id").cast("double")).alias("x"))
     values = rk.value_table(df, "x")

@@ -33,17 +33,22 @@ def hash_uniform(key: Column) -> Column:
     return F.conv(F.substring(key, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
+def place(keys: Sequence[str]) -> Column:
+    """Key columns as one value: never null itself, and equal where its nulls are equal.
+
+    Joining and windowing on the same value needs a single shuffle, nulls included.
+    """
+    return F.struct(*keys)
+
+
 def attach(df: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Inner join on keys that may be null, keeping the left key columns."""
-    renamed = small.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys],
-        *[c for c in small.columns if c not in keys],
+    extra = [c for c in small.columns if c not in keys]
+    return (
+        df.withColumn("_at", place(keys))
+        .join(small.select(place(keys).alias("_at"), *extra), "_at")
+        .drop("_at")
     )
-    cond = None
-    for k in keys:
-        part = df[k].eqNullSafe(renamed[f"_k_{k}"])
-        cond = part if cond is None else cond & part
-    return df.join(renamed, cond, "inner").drop(*[f"_k_{k}" for k in keys])
 
 
 def shuffled_rank(
@@ -70,15 +75,14 @@ def shuffled_rank(
     part = Window.partitionBy(*(group or [F.lit(0)]))
     before = part.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
-        *group,
-        "_b",
+        place([*group, "_b"]).alias("_at"),
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
         F.sum("_n").over(part).alias("_total"),
     )
-    placed = attach(keyed, offsets, [*group, "_b"])
+    placed = keyed.withColumn("_at", place([*group, "_b"])).join(offsets, "_at")
     if limit is not None:
         placed = placed.filter(F.col("_off") < limit)
-    inside = Window.partitionBy(*group, "_b").orderBy("_h", key)
+    inside = Window.partitionBy("_at").orderBy("_h", key)
     ranked = placed.withColumn(
         rank, (F.row_number().over(inside) + F.col("_off")).cast("long")
     )
@@ -86,7 +90,7 @@ def shuffled_rank(
         ranked = ranked.filter(F.col(rank) <= limit)
     if total:
         ranked = ranked.withColumnRenamed("_total", total)
-    return ranked.drop("_h", "_b", "_off", "_total")
+    return ranked.drop("_at", "_h", "_b", "_off", "_total")
 
 
 def range_limits(df: DataFrame, col: str, parts: int | None = None) -> list[float]:
@@ -146,21 +150,20 @@ def running_totals(
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     offsets = sub.select(
-        *group,
-        "_b",
+        place([*group, "_b"]).alias("_at"),
         *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in named],
     )
-    placed = attach(cut, offsets, [*group, "_b"])
+    placed = cut.withColumn("_at", place([*group, "_b"])).join(offsets, "_at")
     col = F.desc(order) if descending else F.asc(order)
     inside = (
-        Window.partitionBy(*group, "_b")
+        Window.partitionBy("_at")
         .orderBy(col)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     added = placed.withColumns(
         {n: F.sum(c).over(inside) + F.col(f"_o_{n}") for n, c in named.items()}
     )
-    return added.drop("_b", *[f"_o_{n}" for n in named])
+    return added.drop("_at", "_b", *[f"_o_{n}" for n in named])
 
 
 def ordered_rank(

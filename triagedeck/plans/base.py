@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import use_all_cores
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -34,6 +36,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents, ready for work on their text."""
+    return use_all_cores(table(spark, sf, "documents"), "doc_id")
+
+
 def r6(c: Column | str) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
 
@@ -83,7 +90,7 @@ DOCS = """docs AS (
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
     return (
-        table(spark, sf, "documents")
+        texts(spark, sf)
         .join(table(spark, sf, "labels"), "doc_id")
         .select(
             F.col("doc_id").alias("bug_id"),
@@ -106,8 +113,7 @@ RAW = """raw AS (
 
 
 def raw(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents")
-    return d.select(
+    return texts(spark, sf).select(
         F.col("doc_id").alias("bug_id"),
         "lang",
         "source",

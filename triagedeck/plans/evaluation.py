@@ -28,6 +28,7 @@ from .base import (
     sql,
     steps,
     table,
+    texts,
 )
 from .text import tokens_sql
 
@@ -81,7 +82,7 @@ SELECT lang, count(*) AS count, round(avg(n), 6) AS mean, round(stddev_samp(n),
   round(quantile_cont(n, 0.25), 6) AS q25, round(quantile_cont(n, 0.5), 6) AS q50, round(quantile_cont(n, 0.75), 6) AS q75 FROM t GROUP BY lang""")
 def describe_tokens(spark, sf):
     n = F.size(tx.tokens(F.col("text"))).cast("long")
-    found = mt.describe(table(spark, sf, "documents").select("lang", n.alias("n")), "n", ["lang"])
+    found = mt.describe(texts(spark, sf).select("lang", n.alias("n")), "n", ["lang"])
     return found.withColumns({c: r6(c) for c in ("mean", "std", "q25", "q50", "q75")})
 
 

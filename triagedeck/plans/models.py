@@ -24,6 +24,7 @@ from .base import (
     r6,
     sql,
     table,
+    texts,
     vectors,
 )
 
@@ -57,10 +58,10 @@ def _prepared(spark, sf):
     are grouped within it.
     """
     split = materialise(_split_docs(spark, sf), "split")
-    texts = table(spark, sf, "documents").select(
+    described = texts(spark, sf).select(
         F.col("doc_id").alias(KEY), F.col("text").alias("description")
     )
-    counts = ft.term_counts(texts.join(split, KEY), KEY, "description", KEEP)
+    counts = ft.term_counts(described.join(split, KEY), KEY, "description", KEEP)
     return split, materialise(counts, "counts")
 
 
@@ -416,7 +417,9 @@ def _trial_scores(spark, sf, parts):
     return trials, _tied(scores)
 
 
-SEARCH = f"""stt AS (SELECT trial, term, max(absent) AS absent, sum(CASE WHEN y = 0 THEN x ELSE 0 END) AS s0, sum(CASE WHEN y = 1 THEN x ELSE 0 END) AS s1,
+def search_sql(parts: str) -> str:
+    """Scores of every trial for the texts of the named splits."""
+    return f"""stt AS (SELECT trial, term, max(absent) AS absent, sum(CASE WHEN y = 0 THEN x ELSE 0 END) AS s0, sum(CASE WHEN y = 1 THEN x ELSE 0 END) AS s1,
   count_if(y = 0 AND x > binarize) AS c0, count_if(y = 1 AND x > binarize) AS c1 FROM labelled, trials GROUP BY trial, term),
 tott AS (SELECT trial, sum(s0) AS t0, sum(s1) AS t1, count(*) AS v FROM stt GROUP BY trial),
 wt AS (SELECT t.trial, t.classifier, t.norm, t.binarize, term, absent,
@@ -428,11 +431,14 @@ kt AS (SELECT trial, sum(CASE WHEN classifier = 'BernoulliNB' THEN l0 ELSE absen
   sum(abs(w0)) AS a0, sum(abs(w1)) AS a1 FROM wt GROUP BY trial),
 zt AS (SELECT w.trial, s.bug_id, sum(w0 * CASE WHEN classifier = 'BernoulliNB' THEN (x > binarize)::INT ELSE x - s.absent END) AS z0,
   sum(w1 * CASE WHEN classifier = 'BernoulliNB' THEN (x > binarize)::INT ELSE x - s.absent END) AS z1
-  FROM scaled s JOIN wt w ON s.term = w.term JOIN sdocs d ON d.bug_id = s.bug_id AND d.split = 'val' GROUP BY w.trial, s.bug_id),
-mt AS (SELECT t.trial, d.bug_id, d.binary_severity, CASE WHEN t.classifier = 'ComplementNB' AND t.norm = 1 THEN (coalesce(z1, 0) + k1) / a1 - (coalesce(z0, 0) + k0) / a0
+  FROM scaled s JOIN wt w ON s.term = w.term JOIN sdocs d ON d.bug_id = s.bug_id AND d.split IN ({parts}) GROUP BY w.trial, s.bug_id),
+mt AS (SELECT t.trial, d.bug_id, d.binary_severity, d.split, CASE WHEN t.classifier = 'ComplementNB' AND t.norm = 1 THEN (coalesce(z1, 0) + k1) / a1 - (coalesce(z0, 0) + k0) / a0
   ELSE coalesce(z1, 0) - coalesce(z0, 0) + k1 - k0 + CASE WHEN t.classifier = 'ComplementNB' THEN 0 ELSE ln(1 - class_prior) - ln(class_prior) END END AS margin
-  FROM trials t JOIN (SELECT * FROM sdocs WHERE split = 'val') d ON true LEFT JOIN zt ON zt.trial = t.trial AND zt.bug_id = d.bug_id JOIN kt ON kt.trial = t.trial),
-probs AS (SELECT trial, bug_id, binary_severity, 1 / (1 + exp(-margin)) AS prob FROM mt)"""
+  FROM trials t JOIN (SELECT * FROM sdocs WHERE split IN ({parts})) d ON true LEFT JOIN zt ON zt.trial = t.trial AND zt.bug_id = d.bug_id JOIN kt ON kt.trial = t.trial),
+probs AS (SELECT trial, bug_id, binary_severity, split, 1 / (1 + exp(-margin)) AS prob FROM mt)"""
+
+
+SEARCH = search_sql("'val'")
 ONE_STUDY = trials_sql("SELECT DISTINCT 'documents' AS study FROM labels")
 
 
@@ -453,16 +459,20 @@ def search_best(spark, sf):
     return se.best_trial(trials, values, "study").select("study", "trial", "classifier", "value")
 
 
-@query("reproduce_best")
+@query("reproduce_best", sql(*TEXT, ONE_STUDY, search_sql("'val', 'test'"), _auc_sql("probs", "trial, split"), body="""
+, best AS (SELECT trial FROM (SELECT trial, row_number() OVER (ORDER BY round(auc, 5) DESC, trial) AS rn FROM areas WHERE split = 'val') WHERE rn = 1)
+SELECT t.study, t.trial, t.classifier, a.split, round(auc, 5) AS auc FROM best b JOIN areas a ON a.trial = b.trial JOIN trials t ON t.trial = b.trial"""))
 def reproduce_best(spark, sf):
     """The best validation trial, scored again on the full validation and test sets."""
     trials, scores = _trial_scores(spark, sf, ["val", "test"])
     scores = materialise(scores, "scores")
-    values = se.evaluate_trials(scores.filter("split = 'val'"), LABEL)
+    values = se.evaluate_trials(scores.filter("split = 'val'"), LABEL).withColumn(
+        "value", F.round("value", 5)
+    )
     best = se.best_trial(trials, values, "study")
     again = scores.join(best.select("study", "trial", "classifier"), "trial")
     areas = auc(again, LABEL, "prob", ["study", "trial", "classifier", "split"])
-    return areas.withColumn("auc", r6("auc"))
+    return areas.withColumn("auc", F.round("auc", 5))
 
 
 # --- spark.ml models ---

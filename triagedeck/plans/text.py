@@ -33,6 +33,7 @@ from .base import (
     sql,
     steps,
     table,
+    texts,
 )
 
 TOKENS_SQL = r"regexp_extract_all({c}, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]')"
@@ -226,7 +227,7 @@ def clean_text(spark, sf):
 @query("join_list_text", r"""
 SELECT doc_id, regexp_replace(array_to_string(string_split(text, chr(10)), ' '), '^[\s\x{A0}]+|[\s\x{A0}]+$', '', 'g') AS description FROM documents""")
 def join_list_text(spark, sf):
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf).select(
         "doc_id", tx.join_text(F.split("text", "\n")).alias("description")
     )
 
@@ -234,7 +235,7 @@ def join_list_text(spark, sf):
 @query("tokenize_words", f"""
 SELECT doc_id, array_to_string({tokens_sql('text')}, ' ') AS tokens, len({tokens_sql('text')}) AS n_tokens FROM documents""")
 def tokenize_words(spark, sf):
-    tok = table(spark, sf, "documents").select("doc_id", tx.tokens(F.col("text")).alias("t"))
+    tok = texts(spark, sf).select("doc_id", tx.tokens(F.col("text")).alias("t"))
     return tok.select("doc_id", F.array_join("t", " ").alias("tokens"), F.size("t").cast("long").alias("n_tokens"))
 
 
@@ -243,7 +244,7 @@ SELECT doc_id, array_to_string(list_filter({tokens_sql('text')},
   lambda t: NOT list_contains({quoted(tx.PUNCTUATION)}, t) AND NOT list_contains({quoted(tx.STOP_WORDS)}, lower(t))), ' ') AS tokens
 FROM documents""")
 def filter_tokens(spark, sf):
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf).select(
         "doc_id", F.array_join(tx.keep_content(tx.tokens(F.col("text"))), " ").alias("tokens")
     )
 
@@ -261,6 +262,38 @@ def _labelled_raw(spark, sf):
     return raw(spark, sf).join(labels, "bug_id")
 
 
+def _chain_sql(cleaned: str, dropped: str) -> str:
+    """The chain without its last step: every column but the stems."""
+    tokens = tokens_sql(cleaned)
+    return sql(RAW, body=f"""
+, lab AS (SELECT r.bug_id, r.description, CASE WHEN quality = 0 THEN 'blocker' WHEN toxic = 1 THEN 'normal' ELSE 'minor' END AS bug_severity
+  FROM raw r JOIN labels l ON r.bug_id = l.doc_id),
+done AS (SELECT bug_id, bug_severity, CASE WHEN bug_severity = 'blocker' THEN 1 ELSE 0 END AS binary_severity,
+  array_to_string(list_filter({tokens}, lambda t: NOT list_contains({quoted(tx.PUNCTUATION)}, t)
+    AND NOT list_contains({quoted(tx.STOP_WORDS)}, lower(t))), ' ') AS description FROM lab WHERE {dropped})
+SELECT * FROM done WHERE length(trim(description)) > 0""")
+
+
+URL_SQL = "regexp_replace(description, 'http[^\\s\\x{A0}]+', 'URL', 'g')"
+CODE_SQL = "regexp_replace(regexp_replace(" + URL_SQL + ", '(?s)```.*?```', 'CODE', 'g'), '`[^`]+`', '', 'g')"
+KEPT_SQL = "bug_severity <> 'normal'"
+
+
+@query("preprocess_description", _chain_sql(URL_SQL, "true"))
+def preprocess_description(spark, sf):
+    return preprocess_text(spark, sf).drop("stemmed_description")
+
+
+@query("custom_description", _chain_sql(CODE_SQL, KEPT_SQL))
+def custom_description(spark, sf):
+    return custom_transformations(spark, sf).drop("stemmed_description")
+
+
+@query("paper_description", _chain_sql(URL_SQL, KEPT_SQL))
+def paper_description(spark, sf):
+    return paper_transformations(spark, sf).drop("stemmed_description")
+
+
 @query("preprocess_text")
 def preprocess_text(spark, sf):
     return rp.preprocess_text(lb.add_binary_label(_labelled_raw(spark, sf)))
@@ -352,7 +385,7 @@ SELECT doc_id, array_to_string(p, ' ') AS prompt, len(p) AS n_tokens FROM p""")
 def prompt_tokens(spark, sf):
     described = F.concat(F.array(F.lit("<s>")), tx.tokens(F.col("text")))
     template = F.array(*[F.lit(t) for t in TEMPLATE_TOKENS])
-    built = table(spark, sf, "documents").select(
+    built = texts(spark, sf).select(
         "doc_id", px.splice(template, F.lit(5), described, 50).alias("p")
     )
     return built.select("doc_id", F.array_join("p", " ").alias("prompt"), F.size("p").cast("long").alias("n_tokens"))
@@ -362,7 +395,7 @@ def prompt_tokens(spark, sf):
 SELECT doc_id, len({tokens_sql('text')}) AS n_tokens, len({tokens_sql('text')}) + {len(TEMPLATE_TOKENS)} AS n_with_template FROM documents""")
 def token_count(spark, sf):
     n = F.size(tx.tokens(F.col("text"))).cast("long")
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf).select(
         "doc_id", n.alias("n_tokens"), (n + len(TEMPLATE_TOKENS)).alias("n_with_template")
     )
 
@@ -371,7 +404,7 @@ def token_count(spark, sf):
 WITH t AS (SELECT doc_id, {tokens_sql('text')} AS t FROM documents)
 SELECT doc_id, array_to_string(t[1:100], ' ') AS text, CASE WHEN len(t) > 100 THEN 1 ELSE 0 END AS is_long FROM t""")
 def truncate_tokens(spark, sf):
-    tok = table(spark, sf, "documents").select("doc_id", tx.tokens(F.col("text")).alias("t"))
+    tok = texts(spark, sf).select("doc_id", tx.tokens(F.col("text")).alias("t"))
     return tok.select(
         "doc_id",
         F.array_join(px.truncate(F.col("t"), 100), " ").alias("text"),

@@ -44,6 +44,16 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/triagedeck/{name}-{uuid.uuid4().hex}"
 
 
+def use_all_cores(df: DataFrame, key: str) -> DataFrame:
+    """Spread a scan of few splits by its key before costly row work.
+
+    Fewer splits than cores means a small table, whose shuffle is cheap. A table with
+    enough splits is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
