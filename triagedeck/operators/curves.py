@@ -14,7 +14,7 @@ from .ranks import running_totals
 def score_counts(df: DataFrame, label: str, score: str, group: Sequence[str] = ()) -> DataFrame:
     """Positives and negatives per distinct score."""
     return df.groupBy(*group, F.col(score).cast("double").alias("threshold")).agg(
-        F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n")
+        F.count_if(F.col(label) == 1).alias("_pos"), F.count_if(F.col(label) == 0).alias("_neg")
     )
 
 
@@ -26,8 +26,8 @@ def _curve(df: DataFrame, label: str, score: str, group: Sequence[str]) -> DataF
     """
     group = list(group)
     counts = materialise(score_counts(df, label, score, group), "scores")
-    run = running_totals(counts, "threshold", {"tp": "p", "fp": "n"}, group, True)
-    totals = counts.groupBy(*group).agg(F.sum("p").alias("n_pos"), F.sum("n").alias("n_neg"))
+    run = running_totals(counts, "threshold", {"tp": "_pos", "fp": "_neg"}, group, True)
+    totals = counts.groupBy(*group).agg(F.sum("_pos").alias("n_pos"), F.sum("_neg").alias("n_neg"))
     if group:
         return run.join(totals, group, "inner")
     row = totals.select(F.struct("n_pos", "n_neg").alias("t"))
@@ -56,7 +56,7 @@ def auc(df: DataFrame, label: str, score: str, group: Sequence[str] = ()) -> Dat
     the trapezoids of the curve without looking at the previous row.
     """
     curve = _curve(df, label, score, group)
-    area = F.sum(F.col("n") * (F.col("tp") - F.col("p") / 2.0))
+    area = F.sum(F.col("_neg") * (F.col("tp") - F.col("_pos") / 2.0))
     return curve.groupBy(*group).agg(
         (area / (F.max("n_pos") * F.max("n_neg"))).alias("auc")
     )
@@ -169,7 +169,7 @@ def run_summary(df: DataFrame, label: str, score: str, group: Sequence[str]) ->
         "fp",
         "n_pos",
         "n_neg",
-        (F.col("n") * (F.col("tp") - F.col("p") / 2.0)).alias("area"),
+        (F.col("_neg") * (F.col("tp") - F.col("_pos") / 2.0)).alias("area"),
         (F.col("tp") + n - F.col("fp")).alias("right"),
     )
     best = rows.groupBy(*group).agg(

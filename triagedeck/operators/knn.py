@@ -9,7 +9,7 @@ over many tasks. Each block pair returns at most k rows per query, never all pai
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -183,3 +183,28 @@ def knn_predict(
         )
     prob = F.col("one") / F.col("all")
     return votes.select("query_id", prob.alias("prob"), (prob > 0.5).cast("int").alias("pred"))
+
+
+def knn_trials(
+    neighbours: DataFrame, train: DataFrame, key: str, label: str, ks: Sequence[int]
+) -> DataFrame:
+    """(query_id, k, weights, prob) for every k and both weightings from one neighbour table.
+
+    The table must hold the largest k; a smaller one uses the first ranks.
+    """
+    voted = neighbours.join(
+        train.select(F.col(key).alias("neighbour_id"), F.col(label).alias("_y")), "neighbour_id"
+    )
+    zero = F.col("distance") == 0
+    inverse = F.when(~zero, F.lit(1.0) / F.col("distance"))
+    aggs, cells = [], []
+    for k in ks:
+        within = F.col("rank") <= k
+        aggs += [
+            F.avg(F.when(within, F.col("_y"))).alias(f"u{k}"),
+            F.avg(F.when(within & zero, F.col("_y"))).alias(f"z{k}"),
+            (F.sum(F.when(within, inverse * F.col("_y"))) / F.sum(F.when(within, inverse))).alias(f"d{k}"),
+        ]
+        for name, prob in (("uniform", F.col(f"u{k}")), ("distance", F.coalesce(f"z{k}", f"d{k}"))):
+            cells.append(F.struct(F.lit(k).alias("k"), F.lit(name).alias("weights"), prob.alias("prob")))
+    return voted.groupBy("query_id").agg(*aggs).select("query_id", F.inline(F.array(*cells)))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialise
@@ -17,6 +17,15 @@ from .ranks import hash_order, hash_uniform
 CLASSIFIERS = ("MultinomialNB", "BernoulliNB", "ComplementNB")
 ALPHA = (1e-10, 1.0)
 VAR_SMOOTHING = (1e-14, 1.0)
+SVM_C = (1e-5, 1e5)
+CLASS_WEIGHTS = ("none", "balanced")
+NEIGHBOURS = (1, 5, 7)
+WEIGHTS = ("uniform", "distance")
+POWERS = (1, 2, 3)
+MLP_LAYERS = (1, 2, 3, 4)
+MLP_UNITS = (4, 128)
+MLP_BATCH = (2, 16, 32, 64)
+MLP_RATE = (1e-5, 1e-1)
 MAX_TRIALS = 1000
 
 
@@ -54,6 +63,44 @@ def random_trials(studies: DataFrame, study: str, n_trials: int, seed: int = 0)
     )
 
 
+def random_model_trials(studies: DataFrame, study: str, n_trials: int, seed: int = 0) -> DataFrame:
+    """Drawn parameters of the other families: linear SVM, nearest neighbours, network."""
+    trials = studies.select(study, F.explode(F.sequence(F.lit(0), F.lit(n_trials - 1))).alias("trial"))
+
+    def u(name: str) -> Column:
+        return draw(seed, name, study, "trial")
+
+    lo, hi = MLP_UNITS
+    n_layers = pick(u("layers"), MLP_LAYERS)
+    units = [(F.floor(u(f"units_{i}") * (hi - lo + 1)) + lo).cast("int") for i in MLP_LAYERS]
+    return trials.select(
+        study,
+        "trial",
+        log_uniform(u("svm_c"), *SVM_C).alias("svm_c"),
+        pick(u("class_weight"), CLASS_WEIGHTS).alias("class_weight"),
+        pick(u("k"), NEIGHBOURS).alias("k"),
+        pick(u("weights"), WEIGHTS).alias("weights"),
+        pick(u("p"), POWERS).alias("p"),
+        F.slice(F.array(*units), F.lit(1), n_layers).alias("mlp_units"),
+        pick(u("batch"), MLP_BATCH).alias("batch_size"),
+        log_uniform(u("rate"), *MLP_RATE).alias("learning_rate"),
+    )
+
+
+def fit_trials(trials: DataFrame, evaluate: Callable[[Row], float], spark: SparkSession) -> DataFrame:
+    """(trial, value) for models that are fitted one by one; each fit is a Spark job of its own.
+
+    A trial that cannot be fitted is left out, as a pruned trial is.
+    """
+    values = []
+    for t in _drawn(trials):
+        try:
+            values.append((t["trial"], float(evaluate(t))))
+        except ValueError:
+            continue
+    return spark.createDataFrame(values, "trial int, value double")
+
+
 def _drawn(trials: DataFrame) -> list:
     """The trials on the driver: their number is a parameter of the search."""
     rows = trials.orderBy("trial").limit(MAX_TRIALS + 1).collect()

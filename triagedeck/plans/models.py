@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from ..operators import classifiers as cl
@@ -10,7 +10,8 @@ from ..operators import features as ft
 from ..operators import naive_bayes as nb
 from ..operators import search as se
 from ..operators.curves import auc
-from ..operators.metrics import accuracy
+from ..operators.knn import knn_join, knn_trials
+from ..operators.metrics import accuracy, f1_averages
 from ..session import materialise
 from ..operators.splits import sample_ladder, stratified_kfold, stratified_split
 from .base import (
@@ -475,6 +476,112 @@ def reproduce_best(spark, sf):
     return areas.withColumn("auc", F.round("auc", 5))
 
 
+MODEL_TRIALS = f"""mtrials AS (SELECT study, trial, exp(ln(1e-5::DOUBLE) + {_u('svm_c')} * (ln(1e5::DOUBLE) - ln(1e-5::DOUBLE))) AS svm_c,
+  ['none', 'balanced'][(floor({_u('class_weight')} * 2) + 1)::INT] AS class_weight, [1, 5, 7][(floor({_u('k')} * 3) + 1)::INT] AS k,
+  ['uniform', 'distance'][(floor({_u('weights')} * 2) + 1)::INT] AS weights, [1, 2, 3][(floor({_u('p')} * 3) + 1)::INT] AS p,
+  list_transform([1, 2, 3, 4][1:([1, 2, 3, 4][(floor({_u('layers')} * 4) + 1)::INT])], lambda i: (floor(('0x' || substr(md5('0|units_' || i || '|' || study || '|' || trial), 1, 8))::BIGINT / 4294967296.0::DOUBLE * 125) + 4)::INT) AS mlp_units,
+  [2, 16, 32, 64][(floor({_u('batch')} * 4) + 1)::INT] AS batch_size, exp(ln(1e-5::DOUBLE) + {_u('rate')} * (ln(1e-1::DOUBLE) - ln(1e-5::DOUBLE))) AS learning_rate
+  FROM (SELECT study, unnest(range(0, {N_TRIALS}))::INT AS trial FROM (SELECT DISTINCT lang AS study FROM documents)))"""
+
+
+@query("random_model_trials", sql(MODEL_TRIALS, body="""
+SELECT study, trial, round(log10(svm_c), 6) AS log_c, class_weight, k, weights, p, array_to_string(mlp_units, ',') AS mlp_units, batch_size,
+  round(log10(learning_rate), 6) AS log_rate FROM mtrials"""))
+def random_model_trials(spark, sf):
+    studies = table(spark, sf, "documents").select(F.col("lang").alias("study")).distinct()
+    t = se.random_model_trials(studies, "study", N_TRIALS)
+    return t.select(
+        "study",
+        "trial",
+        r6(F.log10("svm_c")).alias("log_c"),
+        "class_weight",
+        "k",
+        "weights",
+        "p",
+        F.array_join(F.col("mlp_units").cast("array<string>"), ",").alias("mlp_units"),
+        "batch_size",
+        r6(F.log10("learning_rate")).alias("log_rate"),
+    )
+
+
+def _near_sql(p: int) -> str:
+    gap = {
+        1: "list_sum(list_transform(range(1, 65), lambda i: abs(q.embedding[i]::DOUBLE - t.embedding[i]::DOUBLE)))",
+        2: "sqrt(list_sum(list_transform(range(1, 65), lambda i: power(q.embedding[i]::DOUBLE - t.embedding[i]::DOUBLE, 2))))",
+        3: "power(list_sum(list_transform(range(1, 65), lambda i: power(abs(q.embedding[i]::DOUBLE - t.embedding[i]::DOUBLE), 3))), 1.0 / 3)",
+    }[p]
+    return f"""SELECT {p} AS p, q.vec_id AS query_id, q.y AS binary_severity, t.vec_id AS neighbour_id, t.y AS ty, {gap} AS distance
+  FROM svec q, svec t WHERE q.split = 'val' AND t.split = 'tr'"""
+
+
+KNN_SEARCH = f"""pairs AS ({" UNION ALL ".join(_near_sql(p) for p in (1, 2, 3))}),
+near AS (SELECT *, row_number() OVER (PARTITION BY p, query_id ORDER BY distance, neighbour_id) AS rank FROM pairs QUALIFY rank <= 7),
+probs AS (SELECT p, ks.k, ws.weights, query_id, binary_severity, CASE ws.weights WHEN 'uniform' THEN avg(ty) ELSE sum(ty / distance) / sum(1 / distance) END AS prob
+  FROM near, (SELECT unnest([1, 5, 7]) AS k) ks, (SELECT unnest(['uniform', 'distance']) AS weights) ws WHERE rank <= ks.k GROUP BY ALL)"""
+
+
+@query("search_knn", sql(VECTORS, SVECTORS, KNN_SEARCH, _auc_sql("probs", "p, k, weights"), body="SELECT p, k, weights, round(auc, 5) AS value FROM areas"))
+def search_knn(spark, sf):
+    """Every neighbour setting on the validation vectors: one neighbour join per power."""
+    s = materialise(stratified_split(vectors(spark, sf), "vec_id", "y"), "vectors")
+    train, val = s.filter("split = 'tr'"), s.filter("split = 'val'")
+    tried = None
+    for p in se.POWERS:
+        near = knn_join(val, train, "vec_id", "embedding", max(se.NEIGHBOURS), p)
+        part = knn_trials(near, train, "vec_id", "y", se.NEIGHBOURS).withColumn("p", F.lit(p))
+        tried = part if tried is None else tried.union(part)
+    truth = val.select(F.col("vec_id").alias("query_id"), "y")
+    scored = _tied(tried.join(truth, "query_id"))
+    return auc(scored, "y", "prob", ["p", "k", "weights"]).select(
+        "p", "k", "weights", F.round("auc", 5).alias("value")
+    )
+
+
+def _vector_study(spark, sf, n_trials):
+    study = table(spark, sf, "embeddings").select(F.lit("vectors").alias("study")).distinct()
+    return materialise(se.random_model_trials(study, "study", n_trials), "drawn")
+
+
+@query("search_svm")
+def search_svm(spark, sf):
+    """Drawn linear SVMs on the vectors, by validation AUC."""
+    rows = stratified_split(vectors(spark, sf), "vec_id", "y").withColumn(
+        "features", array_to_vector(F.col("embedding").cast("array<double>"))
+    )
+    rows = materialise(rows.drop("embedding"), "vectors")
+    train, val = rows.filter("split = 'tr'"), rows.filter("split = 'val'")
+
+    def evaluate(t):
+        model = cl.fit_linear_svm(train, "y", t["svm_c"], t["class_weight"] == "balanced", 20)
+        return auc(cl.margins(model, val), "y", "margin").first()["auc"]
+
+    trials = _vector_study(spark, sf, 3)
+    return trials.join(se.fit_trials(trials, evaluate, spark), "trial").select(
+        "trial", "svm_c", "class_weight", r6("value").alias("value")
+    )
+
+
+@query("search_mlp")
+def search_mlp(spark, sf):
+    """Drawn networks on the scaled vectors, by support-weighted F1 of validation."""
+    s = stratified_split(vectors(spark, sf), "vec_id", "y")
+    rows = ft.scale_vectors(s, "embedding", s.filter("split = 'tr'")).withColumn(
+        "features", array_to_vector("scaled")
+    )
+    rows = materialise(rows.drop("embedding", "scaled"), "vectors")
+    train, val = rows.filter("split = 'tr'"), rows.filter("split = 'val'")
+
+    def evaluate(t):
+        model = cl.fit_mlp(train, "y", [64, *t["mlp_units"], 2], 20, t["learning_rate"])
+        pred = model.transform(val).withColumn("pred", F.col("prediction").cast("int"))
+        return f1_averages(pred, "y", "pred").first()["f1_weighted"]
+
+    trials = _vector_study(spark, sf, 3)
+    return trials.join(se.fit_trials(trials, evaluate, spark), "trial").select(
+        "trial", F.array_join(F.col("mlp_units").cast("array<string>"), ",").alias("mlp_units"), r6("value").alias("value")
+    )
+
+
 # --- spark.ml models ---
 
 
@@ -533,8 +640,6 @@ def mlp_embeddings(spark, sf):
     rows = ft.scale_vectors(s, "embedding", train).withColumn("features", array_to_vector("scaled"))
     rows = materialise(rows.drop("embedding", "scaled"), "vectors")
     model = cl.fit_mlp(rows.filter("split = 'tr'"), "y", [64, 16, 2], max_iter=60)
-    from pyspark.ml.functions import vector_to_array
-
     scored = model.transform(rows).select(
         "vec_id",
         "y",

@@ -9,6 +9,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+_stages: list[str] = []
 
 
 def local_session(cpus: int | str = 8, app: str = "triagedeck") -> SparkSession:
@@ -62,4 +63,15 @@ def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
     """
     path = fresh_folder(df.sparkSession, name)
     df.write.parquet(path)
+    _stages.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release_stages(spark: SparkSession) -> int:
+    """Delete the tables ``materialise`` wrote in this process; results read from them end here."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    done = 0
+    while _stages:
+        path = jvm.org.apache.hadoop.fs.Path(_stages.pop())
+        done += bool(path.getFileSystem(conf).delete(path, True))
+    return done
