@@ -11,6 +11,7 @@ URL_WORD = "URL"
 FENCE_PATTERN = r"(?s)```.*?```"
 FENCE_WORD = "CODE"
 SPAN_PATTERN = r"`[^`]+`"
+ANY_MARK = r"(?U)\S"
 EDGE_SPACE = r"(?U)^\s+|\s+$"
 # Words, or single marks other than letters, digits, underscore and white space.
 TOKEN_PATTERN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
@@ -39,7 +40,7 @@ def strip_space(c: Column) -> Column:
 
 def has_text(c: Column) -> Column:
     """True for text that is more than white space; null counts as empty."""
-    return F.coalesce(F.length(strip_space(c)) > 0, F.lit(False))
+    return F.coalesce(c.rlike(ANY_MARK), F.lit(False))
 
 
 def replace_urls(c: Column) -> Column:
@@ -121,3 +122,12 @@ def fill_template(template: str, **slots: Column) -> Column:
         pieces.append(F.coalesce(slots[name].cast("string"), F.lit("")))
         rest = rest[at + len(name) + 1 :]
     return F.concat(*pieces)
+
+
+def once(c: Column, keep) -> Column:
+    """Generator of ``c`` for the rows where ``keep(c)`` holds.
+
+    A plain filter on a computed column is pushed below it and computes it again;
+    a generator computes it a single time.
+    """
+    return F.explode(F.filter(F.array(c), keep))

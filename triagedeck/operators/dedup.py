@@ -15,6 +15,8 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
     to one row, so a key that holds much of the table is no hot spot.
     """
     rest = [c for c in df.columns if c not in keys]
+    if not rest:
+        return df.distinct()
     best = F.min_by(F.struct(*rest), F.struct(*order)).alias("_row")
     kept = df.groupBy(*keys).agg(best)
     return kept.select(

@@ -12,14 +12,6 @@ from ..functions.stem import stem_tokens
 from .dedup import first_per_key
 from .labels import add_binary_label, filter_severity
 
-REPORT_COLUMNS = (
-    "bug_id",
-    "bug_severity",
-    "binary_severity",
-    "description",
-    "stemmed_description",
-)
-
 
 def drop_empty_text(df: DataFrame, column: str = "description") -> DataFrame:
     return df.filter(tx.has_text(F.col(column)))
@@ -39,15 +31,19 @@ def preprocess_text(
     """
     first = first_per_key(df, [key], [order or key, column])
     tokens = tx.keep_content(tx.tokens(tx.replace_urls(F.col(column))))
-    kept = (
-        drop_empty_text(first, column)
-        .withColumn("_tokens", tokens)
-        .withColumn("description", F.array_join("_tokens", " "))
-        .transform(drop_empty_text, "description")
+    kept = drop_empty_text(first, column).select(
+        "bug_id",
+        "bug_severity",
+        "binary_severity",
+        tx.once(tokens, lambda t: F.size(t) > 0).alias("_tokens"),
+    )
+    return kept.select(
+        "bug_id",
+        "bug_severity",
+        "binary_severity",
+        F.array_join("_tokens", " ").alias("description"),
+        F.array_join(stem_tokens("_tokens"), " ").alias("stemmed_description"),
     )
-    return kept.withColumn(
-        "stemmed_description", F.array_join(stem_tokens("_tokens"), " ")
-    ).select(*REPORT_COLUMNS)
 
 
 def custom_transformations(

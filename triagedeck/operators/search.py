@@ -123,14 +123,6 @@ def _side(t, i: int, c: int) -> str:
     return f"(-{share})" if t["classifier"] == "ComplementNB" else share
 
 
-def _constant(t, i: int, c: int) -> str:
-    """SQL: what a text without any term gets from the whole vocabulary, for class ``c``."""
-    a = _num(t["alpha"])
-    if t["classifier"] == "BernoulliNB":
-        return f"sum(ln((n.n{c} - c{c}_{i} + {a}) / (n.n{c} + 2 * {a})))"
-    return f"sum(absent * {_side(t, i, c)})"
-
-
 def _unit(t) -> str:
     """SQL: how much of its weight a present term counts."""
     if t["classifier"] == "BernoulliNB":
@@ -138,15 +130,15 @@ def _unit(t) -> str:
     return "(x - absent)"
 
 
-def _margin(t, i: int, normed: bool) -> str:
+def _margin(t, i: int, normed: bool, at: dict[str, str]) -> str:
     """SQL: score of class 1 minus score of class 0."""
     if normed:
-        side = [f"(coalesce(z{c}_{i}, 0D) + _k.k{c}_{i}) / _k.a{c}_{i}" for c in (0, 1)]
+        side = [f"(coalesce(z{c}_{i}, 0D) + {at[f'k{c}_{i}']}) / {at[f'a{c}_{i}']}" for c in (0, 1)]
         return f"{side[1]} - {side[0]}"
     prior = "0D"
     if t["classifier"] != "ComplementNB":
         prior = f"ln(1D - {_num(t['class_prior'])}) - ln({_num(t['class_prior'])})"
-    return f"coalesce(z{i}, 0D) + _k.k{i} + {prior}"
+    return f"coalesce(z{i}, 0D) + {at[f'k{i}']} + {prior}"
 
 
 def trial_scores(
@@ -187,11 +179,22 @@ def trial_scores(
         *[f"{_side(t, i, 1)} - {_side(t, i, 0)} AS m{i}" for i, t in plain],
         *[f"{_side(t, i, c)} AS w{c}_{i}" for i, t, c in apart],
     )
-    consts = ready.groupBy().agg(
-        *[F.expr(f"{_constant(t, i, 1)} - {_constant(t, i, 0)} AS k{i}") for i, t in plain],
-        *[F.expr(f"{_constant(t, i, c)} AS k{c}_{i}") for i, t, c in apart],
-        *[F.expr(f"sum(abs({_side(t, i, c)})) AS a{c}_{i}") for i, t, c in apart],
-    )
+    # What a text without any term gets. A Bernoulli model sums over every term, a
+    # linear one only over those whose scaled value is not 0 where they lack.
+    lack = [
+        f"sum(ln((n.n1 - c1_{i} + {a}) / (n.n1 + 2 * {a})) - ln((n.n0 - c0_{i} + {a}) / (n.n0 + 2 * {a}))) AS k{i}"
+        for i, t in plain
+        if str(i) in cuts
+        for a in [_num(t["alpha"])]
+    ]
+    lack += [f"sum(abs({_side(t, i, c)})) AS a{c}_{i}" for i, t, c in apart]
+    linear = [f"coalesce(sum(absent * m{i}), 0D) AS k{i}" for i, t in plain if str(i) not in cuts]
+    linear += [f"coalesce(sum(absent * w{c}_{i}), 0D) AS k{c}_{i}" for i, t, c in apart]
+    consts = [
+        source.groupBy().agg(*[F.expr(x) for x in exprs])
+        for source, exprs in ((ready, lack), (weights.filter("absent <> 0"), linear))
+        if exprs
+    ]
     per_text = (
         counts.select(key, "term", "n")
         .join(weights, "term")
@@ -202,9 +205,13 @@ def trial_scores(
             *[F.expr(f"sum({_unit(t)} * w{c}_{i}) AS z{c}_{i}") for i, t, c in apart],
         )
     )
-    joined = docs.join(per_text, key, "left").withColumn("_k", one_row(consts))
+    joined = docs.join(per_text, key, "left")
+    at = {}
+    for j, part in enumerate(consts):
+        joined = joined.withColumn(f"_c{j}", one_row(part))
+        at.update({c: f"_c{j}.{c}" for c in part.columns})
     cells = ", ".join(
-        f"struct({t['trial']} AS trial, 1D / (1D + exp(-({_margin(t, i, i in normed)}))) AS prob)"
+        f"struct({t['trial']} AS trial, 1D / (1D + exp(-({_margin(t, i, i in normed, at)}))) AS prob)"
         for i, t in drawn
     )
     return joined.selectExpr(*docs.columns, f"inline(array({cells}))")

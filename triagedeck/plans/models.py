@@ -310,10 +310,10 @@ def _tied(scored):
 
 
 def _auc_sql(src: str, group: str, name: str = "areas", where: str = "") -> str:
-    return f"""{name}_c AS (SELECT {group}, s, count_if(binary_severity = 1) AS p, count_if(binary_severity = 0) AS n FROM
+    return f"""{name}_c AS (SELECT {group}, s, count_if(binary_severity = 1) AS pos, count_if(binary_severity = 0) AS neg FROM
   (SELECT *, round(prob, 9) AS s FROM {src} {where}) GROUP BY {group}, s),
-{name}_r AS (SELECT *, sum(p) OVER (PARTITION BY {group} ORDER BY s DESC ROWS UNBOUNDED PRECEDING) AS tp FROM {name}_c),
-{name} AS (SELECT {group}, (sum(n * (tp - p / 2.0::DOUBLE)) / (sum(p) * sum(n)))::DOUBLE AS auc FROM {name}_r GROUP BY {group})"""
+{name}_r AS (SELECT *, sum(pos) OVER (PARTITION BY {group} ORDER BY s DESC ROWS UNBOUNDED PRECEDING) AS tp FROM {name}_c),
+{name} AS (SELECT {group}, (sum(neg * (tp - pos / 2.0::DOUBLE)) / (sum(pos) * sum(neg)))::DOUBLE AS auc FROM {name}_r GROUP BY {group})"""
 
 
 PROBS = "probs AS (SELECT *, 1 / (1 + exp(z0 - z1)) AS prob, CASE WHEN z1 > z0 THEN 1 ELSE 0 END AS pred FROM scores)"
@@ -517,7 +517,7 @@ def _near_sql(p: int) -> str:
 KNN_SEARCH = f"""pairs AS ({" UNION ALL ".join(_near_sql(p) for p in (1, 2, 3))}),
 near AS (SELECT *, row_number() OVER (PARTITION BY p, query_id ORDER BY distance, neighbour_id) AS rank FROM pairs QUALIFY rank <= 7),
 probs AS (SELECT p, ks.k, ws.weights, query_id, binary_severity, CASE ws.weights WHEN 'uniform' THEN avg(ty) ELSE sum(ty / distance) / sum(1 / distance) END AS prob
-  FROM near, (SELECT unnest([1, 5, 7]) AS k) ks, (SELECT unnest(['uniform', 'distance']) AS weights) ws WHERE rank <= ks.k GROUP BY ALL)"""
+  FROM near, (SELECT unnest([1, 5, 7]) AS k) ks, (SELECT unnest(['uniform', 'distance']) AS weights) ws WHERE rank <= ks.k GROUP BY p, ks.k, ws.weights, query_id, binary_severity)"""
 
 
 @query("search_knn", sql(VECTORS, SVECTORS, KNN_SEARCH, _auc_sql("probs", "p, k, weights"), body="SELECT p, k, weights, round(auc, 5) AS value FROM areas"))

@@ -93,19 +93,18 @@ def read_split(spark: SparkSession, path: str, key: str = "bug_id") -> DataFrame
 
 def parse_report_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     """Raw lines -> (_id, bug_id, severity, description); broken, dropped and empty rows vanish."""
-    row = F.from_json(F.trim(F.col(column)), RAW_REPORT)
-    rows = lines.select(row.alias("r")).select("r.*")
+    rows = lines.select(F.inline(F.array(F.from_json(F.trim(F.col(column)), RAW_REPORT))))
     listed = F.coalesce(F.col("bug_severity").isin(*DROPPED), F.lit(False))
+    text = tx.strip_space(list_or_text(F.col("description")))
     return (
         rows.filter(F.col("bug_id").isNotNull() & ~listed)
-        .withColumn("description", tx.strip_space(list_or_text(F.col("description"))))
-        .filter(tx.has_text(F.col("description")))
         .select(
             "_id",
             "bug_id",
             binary_label(F.col("bug_severity")).alias("severity"),
-            tx.replace_urls(F.col("description")).alias("description"),
+            tx.once(text, lambda t: F.length(t) > 0).alias("description"),
         )
+        .withColumn("description", tx.replace_urls(F.col("description")))
     )
 
 
