@@ -53,7 +53,7 @@ def split_severity_counts(spark, sf):
 
 
 @query("coverage_table", sql(DOCS, SPLIT, body="""
-SELECT t.dataset, t.n_total, c.* EXCLUDE (dataset),
+SELECT t.dataset, t.n_total, n_tr, n_val, n_test,
   CASE WHEN x_tr - floor(x_tr) = 0.5 THEN 2 * round(x_tr / 2) ELSE round(x_tr) END AS pct_tr,
   CASE WHEN x_val - floor(x_val) = 0.5 THEN 2 * round(x_val / 2) ELSE round(x_val) END AS pct_val,
   CASE WHEN x_test - floor(x_test) = 0.5 THEN 2 * round(x_test / 2) ELSE round(x_test) END AS pct_test
@@ -62,8 +62,7 @@ JOIN (SELECT lang AS dataset, count_if(split = 'tr')::BIGINT AS n_tr, count_if(s
   FROM sdocs GROUP BY lang) c ON t.dataset = c.dataset
 JOIN (SELECT s.lang AS ds, 100.0::DOUBLE * count_if(split = 'tr') / max(n) AS x_tr, 100.0::DOUBLE * count_if(split = 'val') / max(n) AS x_val,
   100.0::DOUBLE * count_if(split = 'test') / max(n) AS x_test
-  FROM sdocs s JOIN (SELECT lang, count(*) AS n FROM documents GROUP BY lang) d ON s.lang = d.lang GROUP BY s.lang) p ON p.ds = t.dataset""").replace(
-    "c.* EXCLUDE (dataset)", "n_tr, n_val, n_test"))
+  FROM sdocs s JOIN (SELECT lang, count(*) AS n FROM documents GROUP BY lang) d ON s.lang = d.lang GROUP BY s.lang) p ON p.ds = t.dataset"""))
 def coverage_table(spark, sf):
     rows = stratified_split(
         docs(spark, sf).select("bug_id", "binary_severity", F.col("lang").alias("dataset")),
@@ -176,11 +175,10 @@ def epoch_loss(spark, sf):
 
 
 @query("mean_matrix", sql(SCORED, STEPS, body="""
-WITH c AS (SELECT run, epoch, count_if(binary_severity = 0 AND probability < 0.05) AS a, count_if(binary_severity = 0 AND probability >= 0.05) AS b,
+, c AS (SELECT run, epoch, count_if(binary_severity = 0 AND probability < 0.05) AS a, count_if(binary_severity = 0 AND probability >= 0.05) AS b,
   count_if(binary_severity = 1 AND probability < 0.05) AS c, count_if(binary_severity = 1 AND probability >= 0.05) AS d FROM steps GROUP BY run, epoch)
 SELECT run, 0 AS row, 0 AS col, round(avg(a), 6) AS mean FROM c GROUP BY run UNION ALL SELECT run, 0, 1, round(avg(b), 6) FROM c GROUP BY run
-UNION ALL SELECT run, 1, 0, round(avg(c), 6) FROM c GROUP BY run UNION ALL SELECT run, 1, 1, round(avg(d), 6) FROM c GROUP BY run""").replace(
-    "\nWITH c AS", ", c AS", 1))
+UNION ALL SELECT run, 1, 0, round(avg(c), 6) FROM c GROUP BY run UNION ALL SELECT run, 1, 1, round(avg(d), 6) FROM c GROUP BY run"""))
 def mean_matrix(spark, sf):
     hit = F.col("probability") >= 0.05
     cell = lambda y, p: F.count_if((F.col("binary_severity") == y) & (hit if p else ~hit))
@@ -198,9 +196,8 @@ def mean_over_folds(spark, sf):
 
 
 @query("vector_min_max", """
-SELECT CAST(i - 1 AS INT) AS dim, min(v)::DOUBLE AS min, max(v)::DOUBLE AS max FROM (SELECT unnest(range(1, 65)) AS i, embedding[i] AS v FROM
- (SELECT embedding FROM embeddings)) GROUP BY i""".replace("unnest(range(1, 65)) AS i, embedding[i] AS v FROM\n (SELECT embedding FROM embeddings)",
- "i, embedding[i] AS v FROM (SELECT embedding, unnest(range(1, 65)) AS i FROM embeddings)"))
+SELECT CAST(i - 1 AS INT) AS dim, min(v)::DOUBLE AS min, max(v)::DOUBLE AS max
+FROM (SELECT i, embedding[i] AS v FROM (SELECT embedding, unnest(range(1, 65)) AS i FROM embeddings)) GROUP BY i""")
 def vector_min_max(spark, sf):
     return mt.vector_min_max(table(spark, sf, "embeddings"), "embedding")
 
@@ -327,9 +324,9 @@ def run_summary(spark, sf):
 
 
 @query("learning_curve", sql(SCORED, STEPS, RESULTS, body="""
-WITH r AS (SELECT prompt_id AS classifier, lora_r::INT AS n_samples, avg(CASE WHEN dataset_type = 'train' THEN roc_auc END) AS val,
+, r AS (SELECT prompt_id AS classifier, lora_r::INT AS n_samples, avg(CASE WHEN dataset_type = 'train' THEN roc_auc END) AS val,
   avg(CASE WHEN dataset_type = 'val' THEN roc_auc END) AS test FROM results GROUP BY ALL)
-SELECT classifier, n_samples, 'val' AS split, round(val, 6) AS auc FROM r UNION ALL SELECT classifier, n_samples, 'test', round(test, 6) FROM r""").replace("\nWITH r AS", ", r AS", 1))
+SELECT classifier, n_samples, 'val' AS split, round(val, 6) AS auc FROM r UNION ALL SELECT classifier, n_samples, 'test', round(test, 6) FROM r"""))
 def learning_curve(spark, sf):
     value = lambda t: F.when(F.col("dataset_type") == t, F.col("roc_auc"))
     rows = results(spark, sf).select(

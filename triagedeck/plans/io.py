@@ -106,10 +106,6 @@ def src_split_explode(spark, sf):
     return rd.read_split(spark, path)
 
 
-def _write_predictions(df, path, *by):
-    df.write.partitionBy(*by).json(path) if by else df.write.json(path)
-
-
 @query("src_predictions_glob", sql(DOCS, JUDGED, body="SELECT bug_id, binary_severity, code AS severity_pred FROM judged"))
 def src_predictions_glob(spark, sf):
     path = fresh_folder(spark, "predictions")
@@ -118,18 +114,15 @@ def src_predictions_glob(spark, sf):
     arrays = j.filter("binary_severity = 0").groupBy(F.expr("bug_id div 100").alias("part")).agg(
         F.to_json(F.collect_list(F.struct("bug_id", "binary_severity", "severity_pred"))).alias("value")
     )
-    arrays.selectExpr("concat(value, '\n\n') AS value").write.text(f"{path}/arrays.tmp")
-    read = rd.read_predictions(spark, f"{path}/lines").union(_arrays_as_json(spark, f"{path}/arrays.tmp"))
+    arrays.selectExpr("concat(value, '\n\n') AS value").write.text(f"{path}/arrays")
+    read = rd.read_predictions(spark, f"{path}/lines").union(
+        rd.read_predictions(spark, f"{path}/arrays", glob="*.txt")
+    )
     return read.select(
         "bug_id", "binary_severity", nx.missing_to_failed(F.col("severity_pred")).alias("severity_pred")
     )
 
 
-def _arrays_as_json(spark, path):
-    """Array files keep another suffix than ``.json``: the reader takes any glob."""
-    return rd.read_predictions(spark, path, glob="*.txt")
-
-
 def _folder():
     """Runs with the same parameters share a folder."""
     return F.concat(F.lit("run_"), (F.col("run") % 20).cast("string"))
@@ -188,13 +181,13 @@ def src_filename_meta(spark, sf):
 
 
 @query("src_merge_embeddings", """
-SELECT vec_id, CAST(CASE WHEN vec_id % 2 = 0 THEN 0 ELSE 1 END AS INT) AS chunk, round(embedding[1]::DOUBLE, 6) AS first_value, len(embedding) AS width FROM embeddings""")
+SELECT vec_id, CAST(CASE WHEN label < 5 THEN 0 ELSE 1 END AS INT) AS chunk, round(embedding[1]::DOUBLE, 6) AS first_value, len(embedding) AS width FROM embeddings""")
 def src_merge_embeddings(spark, sf):
     """Two overlapping chunks: the second holds every vector again."""
     path = fresh_folder(spark, "chunks")
-    e = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    e.filter("vec_id % 2 = 0").write.parquet(f"{path}/chunk=0")
-    e.write.parquet(f"{path}/chunk=1")
+    e = table(spark, sf, "embeddings")
+    e.filter("label < 5").drop("label").write.parquet(f"{path}/chunk=0")
+    e.drop("label").write.parquet(f"{path}/chunk=1")
     merged = em.merge_chunks(em.read_chunks(spark, path), "vec_id")
     return merged.select(
         "vec_id",

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..session import fresh_folder
 from ..streaming import jobs
-from .base import BOW, DOCS, SCORED, STEPS, docs, query, r6, sql, steps, table
+from .base import DOCS, SCORED, STEPS, docs, query, sql, steps, table
 
 
 @query("stream_nb_counts", sql(DOCS, body="""

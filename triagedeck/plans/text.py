@@ -31,7 +31,6 @@ from .base import (
     results,
     scored,
     sql,
-    steps,
     table,
     texts,
 )
@@ -66,17 +65,22 @@ def binary_label(spark, sf):
     return lb.add_binary_label(reports(spark, sf)).select("bug_id", "bug_severity", "binary_severity")
 
 
-BLANKED = r"""blanked AS (SELECT page_id AS bug_id, CASE page_id % 4 WHEN 0 THEN chr(10) || ' ' || chr(9) WHEN 1 THEN ''
-  WHEN 2 THEN NULL ELSE html END AS description FROM pages)"""
+BLANKED = """blanked AS (SELECT conv_id, turn, CASE WHEN role = 'system' THEN chr(10) || ' ' || chr(9)
+  WHEN role = 'user' AND turn = 0 THEN '' WHEN role = 'assistant' AND turn = 1 THEN NULL ELSE text END AS description FROM conversations)"""
 
 
 @query("drop_empty_text", sql(BLANKED, body=r"""
-SELECT bug_id, description FROM blanked
+SELECT conv_id, turn, description FROM blanked
 WHERE length(regexp_replace(description, '^[\s\x{A0}]+|[\s\x{A0}]+$', '', 'g')) > 0"""))
 def drop_empty_text(spark, sf):
-    m = F.col("page_id") % 4
-    text = F.when(m == 0, "\n \t").when(m == 1, "").when(m == 3, F.col("html"))
-    blanked = table(spark, sf, "pages").select(F.col("page_id").alias("bug_id"), text.alias("description"))
+    """Conversations whose openings are blank, empty or missing."""
+    role, turn = F.col("role"), F.col("turn")
+    text = (
+        F.when(role == "system", "\n \t")
+        .when((role == "user") & (turn == 0), "")
+        .when(~((role == "assistant") & (turn == 1)), F.col("text"))
+    )
+    blanked = table(spark, sf, "conversations").select("conv_id", "turn", text.alias("description"))
     return rp.drop_empty_text(blanked)
 
 

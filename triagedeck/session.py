@@ -9,6 +9,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+SMALL_BYTES = 1 << 30
 _stages: list[str] = []
 
 
@@ -46,13 +47,15 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
 
 
 def use_all_cores(df: DataFrame, key: str) -> DataFrame:
-    """Spread a scan of few splits by its key before costly row work.
+    """Spread a small scan of few splits by its key before costly row work.
 
-    Fewer splits than cores means a small table, whose shuffle is cheap. A table with
-    enough splits is returned as it is.
+    Only a table below ``SMALL_BYTES`` is shuffled for it; any other is returned as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > SMALL_BYTES or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key)
 
 
 def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
