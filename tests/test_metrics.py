@@ -84,3 +84,11 @@ def test_pooling(spark):
     df = spark.createDataFrame([(1, [[1.0, 2.0], [3.0, 6.0]])], "k long, s array<array<double>>")
     values = lambda how: [r["value"] for r in mt.pool_vectors(df, "k", "s", how).orderBy("dim").collect()]
     assert values("mean") == [2.0, 4.0] and values("sum") == [4.0, 8.0] and values("first") == [1.0, 2.0]
+
+
+def test_one_class_has_no_auc(spark):
+    df = spark.createDataFrame([("a", 1, 0.3), ("b", 0, 0.1), ("b", 1, 0.4)], "m string, y int, p double")
+    assert {r["m"]: r["auc"] for r in cv.auc(df, "y", "p", ["m"]).collect()} == {"a": None, "b": 1.0}
+    assert {r["m"]: r["auc"] for r in cv.run_summary(df, "y", "p", ["m"]).collect()} == {"a": None, "b": 1.0}
+    points = cv.roc_points(df.filter("m = 'a'"), "y", "p", ["m"]).collect()
+    assert {r["fpr"] for r in points} == {None, 0.0}

@@ -40,8 +40,8 @@ def roc_points(df: DataFrame, label: str, score: str, group: Sequence[str] = ())
     points = curve.select(
         *group,
         "threshold",
-        (F.col("fp") / F.col("n_neg")).alias("fpr"),
-        (F.col("tp") / F.col("n_pos")).alias("tpr"),
+        F.try_divide("fp", "n_neg").alias("fpr"),
+        F.try_divide("tp", "n_pos").alias("tpr"),
     )
     start = curve.groupBy(*group).agg(
         F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")
@@ -53,12 +53,12 @@ def auc(df: DataFrame, label: str, score: str, group: Sequence[str] = ()) -> Dat
     """Area under the ROC curve.
 
     Each score adds its negatives times the positives above it, ties by half:
-    the trapezoids of the curve without looking at the previous row.
+    the trapezoids of the curve without looking at the previous row. Null if a class is missing.
     """
     curve = _curve(df, label, score, group)
     area = F.sum(F.col("_neg") * (F.col("tp") - F.col("_pos") / 2.0))
     return curve.groupBy(*group).agg(
-        (area / (F.max("n_pos") * F.max("n_neg"))).alias("auc")
+        F.try_divide(area, F.max("n_pos") * F.max("n_neg")).alias("auc")
     )
 
 
@@ -184,7 +184,7 @@ def run_summary(df: DataFrame, label: str, score: str, group: Sequence[str]) ->
     flagged = tp + fp + p
     return best.select(
         *group,
-        (F.col("area") / (p * n)).alias("auc"),
+        F.try_divide(F.col("area"), p * n).alias("auc"),
         F.when(none, F.lit(float("inf"))).otherwise(F.col("b.threshold")).alias("threshold"),
         ((tp + n - fp) / (p + n)).alias("accuracy"),
         (n - fp).alias("tn"),

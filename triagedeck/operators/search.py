@@ -87,7 +87,7 @@ def random_model_trials(studies: DataFrame, study: str, n_trials: int, seed: int
     )
 
 
-def fit_trials(trials: DataFrame, evaluate: Callable[[Row], float], spark: SparkSession) -> DataFrame:
+def fit_trials(trials: DataFrame, evaluate: Callable[[Row], float | None], spark: SparkSession) -> DataFrame:
     """(trial, value) for models that are fitted one by one; each fit is a Spark job of its own.
 
     A trial that cannot be fitted is left out, as a pruned trial is.
@@ -95,9 +95,11 @@ def fit_trials(trials: DataFrame, evaluate: Callable[[Row], float], spark: Spark
     values = []
     for t in _drawn(trials):
         try:
-            values.append((t["trial"], float(evaluate(t))))
+            value = evaluate(t)
         except ValueError:
             continue
+        if value is not None:
+            values.append((t["trial"], float(value)))
     return spark.createDataFrame(values, "trial int, value double")
 
 
