@@ -1,4 +1,4 @@
 """Imports every operator of the subpackage, which registers its query."""
 
-from . import line_dedup, mixing, token_counts  # noqa: F401
+from . import line_dedup, mixing, packing, token_counts, token_files  # noqa: F401
 from .base import ORACLES, QUERIES  # noqa: F401
