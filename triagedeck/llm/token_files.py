@@ -18,7 +18,7 @@ from .tokens import encoder
 BLOCK = 4096  # ids that share a minimum and a width
 SEGMENT = 1 << 17  # ids after which a segment ends with its document
 PERCENTILE = 90  # share of a block's ids whose width is packed; the rest are exceptions
-HEAD = struct.Struct("<IBHH")  # minimum, width, ids, exceptions
+HEAD = "<IBHH"  # minimum, width, ids, exceptions
 
 
 def pack_block(ids: np.ndarray, percentile: float = PERCENTILE) -> bytes:
@@ -33,7 +33,7 @@ def pack_block(ids: np.ndarray, percentile: float = PERCENTILE) -> bytes:
     bits = (kept[:, None] >> np.arange(width, dtype=np.uint32)) & np.uint32(1)
     packed = np.packbits(bits.astype(np.uint8).ravel(), bitorder="little").tobytes()
     return (
-        HEAD.pack(low, width, len(ids), len(out))
+        struct.pack(HEAD, low, width, len(ids), len(out))
         + packed
         + out.astype("<u2").tobytes()
         + rest[out].astype("<u4").tobytes()
@@ -41,8 +41,8 @@ def pack_block(ids: np.ndarray, percentile: float = PERCENTILE) -> bytes:
 
 
 def unpack_block(data: memoryview, at: int) -> np.ndarray:
-    low, width, n, n_out = HEAD.unpack_from(data, at)
-    at += HEAD.size
+    low, width, n, n_out = struct.unpack_from(HEAD, data, at)
+    at += struct.calcsize(HEAD)
     size = -(-n * width // 8)
     bits = np.unpackbits(
         np.frombuffer(data, np.uint8, size, at), count=n * width, bitorder="little"
