@@ -71,7 +71,7 @@ def unpack_segment(data: bytes) -> np.ndarray:
     return np.concatenate([unpack_block(view, int(s)) for s in starts] or [np.empty(0, np.uint32)])
 
 
-SEGMENTS = "part int, seq int, n_ids long, doc_ids array<long>, lengths array<int>, payload binary"
+SEGMENTS = "part int, seq int, before long, n_ids long, doc_ids array<long>, lengths array<int>, payload binary"
 
 
 def _write(path: str, lower: bool, end_id: int, segment: int):
@@ -79,18 +79,19 @@ def _write(path: str, lower: bool, end_id: int, segment: int):
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path, lower).encode
-        part, seq = TaskContext.get().partitionId(), 0
+        part, seq, before = TaskContext.get().partitionId(), 0, 0
         doc_ids, lengths, held, n = [], [], [], 0
 
         def row():
             ids = np.frombuffer(b"".join(held), "<u4")
-            values = [[part], [seq], [n], [doc_ids], [lengths], [pack_segment(ids)]]
+            values = [[part], [seq], [before], [n], [doc_ids], [lengths], [pack_segment(ids)]]
             kinds = [
-                pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()
+                *(pa.int32(), pa.int32(), pa.int64(), pa.int64()),
+                *(pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()),
             ]
             return pa.RecordBatch.from_arrays(
                 [pa.array(v, k) for v, k in zip(values, kinds)],
-                ["part", "seq", "n_ids", "doc_ids", "lengths", "payload"],
+                ["part", "seq", "before", "n_ids", "doc_ids", "lengths", "payload"],
             )
 
         for batch in batches:
@@ -102,7 +103,8 @@ def _write(path: str, lower: bool, end_id: int, segment: int):
                 n += len(data) // 4
                 if n >= segment:
                     yield row()
-                    doc_ids, lengths, held, n, seq = [], [], [], 0, seq + 1
+                    seq, before = seq + 1, before + n
+                    doc_ids, lengths, held, n = [], [], [], 0
         if doc_ids:
             yield row()
 
@@ -123,8 +125,8 @@ def write_token_files(
 
     The rows are dealt out by ranges of the id, so a text moves once. A segment holds whole
     documents and at least ``segment`` ids (the last of a task fewer): blocks of ``BLOCK`` ids with
-    their starts, beside the ids and lengths of its documents. Segments are ordered by ``part`` and
-    ``seq``; ``folder``/parts has the ids before each part.
+    their starts, beside the ids and lengths of its documents and the number of ids ``before`` it in its
+    part. Segments are ordered by ``part`` and ``seq``; ``folder``/parts has the ids before each part.
 
     Missing texts are empty: the end id alone. Rows without an id come first; rows with the same
     id follow each other by text. Every row is written.
@@ -170,18 +172,11 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     Segments are decoded where they are read. The table of parts has one row per task that wrote,
     at most as many as the shuffle partitions of that job, so every reader gets it whole.
     """
-    before = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     segments = spark.read.parquet(f"{folder}/segments")
-    inner = segments.select(
-        "part", "seq", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("_in")
-    )
     parts = spark.read.parquet(f"{folder}/parts")
-    starts = inner.join(F.broadcast(parts), "part").select(
-        "part", "seq", (F.col("first") + F.col("_in")).alias("start")
-    )
     return (
-        segments.join(starts, ["part", "seq"])
-        .select("start", "doc_ids", "lengths", "payload")
+        segments.join(F.broadcast(parts), "part")
+        .select((F.col("first") + F.col("before")).alias("start"), "doc_ids", "lengths", "payload")
         .mapInArrow(_read, "doc_id long, start long, n_tokens long, ids binary")
     )
 
