@@ -1,4 +1,4 @@
 """Imports every operator of the subpackage, which registers its query."""
 
-from . import embedding_dedup, line_dedup, mixing, packing, token_counts, token_files  # noqa: F401
+from . import embedding_dedup, line_dedup, mixing, near_dedup, packing, token_counts, token_files  # noqa: F401
 from .base import ORACLES, QUERIES  # noqa: F401
