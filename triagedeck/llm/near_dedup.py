@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..session import materialise
 from .base import query, rows_of, table
 from .components import components
+from .embedding_dedup import join_labels
 
 REGISTERS = 128
 BAND = 4  # registers in a band: at a similarity of 0.8 a link shares none of 32 bands once in 2e7
@@ -21,7 +22,8 @@ BASE = 1.001  # registers are spaced by this factor
 RATE = 20.0  # of the exponential hash values
 TOP = (1 << 16) - 1  # registers are cut to 0 .. TOP
 LIKELY = 0.18  # estimates this far below the threshold are still verified: five standard errors
-TILE_ROWS = 1024  # classes of one bucket that are compared in one task at once
+TILE_ROWS = 512  # sets in a block; a tile holds two blocks
+COLUMNS = 4096  # shared shingles of a tile that are counted at once
 MAX_WORDS = 1_000_000  # entries of a task's table of word hashes before it starts anew
 
 _words: dict[bytes, int] = {}
@@ -163,49 +165,38 @@ def _likely(cut: float):
     return likely
 
 
-def _tile(cut: float, percent: int, forest: bool):
-    """Pairs of a bucket's classes from two blocks that may link and are not connected yet."""
+def shared_counts(items: list[np.ndarray], n_first: int, columns: int = COLUMNS) -> np.ndarray:
+    """Sizes of the intersections of the first n_first sets with each of all sets."""
+    row = np.repeat(np.arange(len(items)), [len(x) for x in items])
+    _, item, times = np.unique(np.concatenate(items), return_inverse=True, return_counts=True)
+    common = times[item] > 1
+    row, item = row[common], item[common]
+    order = np.argsort(item, kind="stable")
+    row, item = row[order], item[order]
+    item = np.cumsum(np.r_[0, item[1:] != item[:-1]]) if len(item) else item
+    counts = np.zeros((n_first, len(items)), np.float64)
+    for at in range(0, int(item[-1]) + 1 if len(item) else 0, columns):
+        low, high = np.searchsorted(item, [at, at + columns])
+        held = np.zeros((len(items), columns), np.float32)
+        held[row[low:high], item[low:high] - at] = 1
+        counts += held[:n_first] @ held.T
+    return counts
+
+
+def _tile(percent: int):
+    """Links between two blocks of a neighbourhood: each set with the first one it connects to."""
 
     def tile(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("second", "ascending"), ("cls", "ascending")])
-        cls, comp, n = (np.asarray(rows[c].combine_chunks(), np.int64) for c in ("cls", "comp", "n_shingles"))
-        regs = _regs(rows["regs"].combine_chunks())
+        cls = np.asarray(rows["cls"].combine_chunks(), np.int64)
+        items = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows["items"].combine_chunks()]
+        n = np.array([len(x) for x in items], np.float64)
         n_first = len(cls) - int(np.asarray(rows["second"].combine_chunks()).sum())
-        same = rows["low"][0].as_py() == rows["high"][0].as_py()
-        bucket = np.int64(rows["bucket"][0].as_py()).view(np.uint64)
-        buckets = band_keys(regs)
-        band = int(np.flatnonzero((buckets == bucket).all(axis=0))[0])
-        out_a, out_b, out_j = [], [], []
-        for i in range(n_first):
-            js = np.arange(i + 1 if same else n_first, len(cls))
-            js = js[(comp[js] != comp[i]) & (100 * np.minimum(n[js], n[i]) >= percent * np.maximum(n[js], n[i]))]
-            # a pair belongs to the first band it shares
-            js = js[~(buckets[js, :band] == buckets[i, :band]).any(axis=1)]
-            if len(js):
-                j = likelihood_similarity(
-                    np.broadcast_to(regs[i], (len(js), regs.shape[1])), regs[js], np.full(len(js), float(n[i])), n[js]
-                )
-                keep = j >= cut
-                out_a += [i] * int(keep.sum())
-                out_b += js[keep].tolist()
-                out_j += j[keep].tolist()
-        if forest:  # the likeliest pairs that connect what can be connected
-            root = {c: c for c in comp.tolist()}
-
-            def find(c):
-                while root[c] != c:
-                    root[c] = c = root[root[c]]
-                return c
-
-            kept = []
-            for k in np.argsort(-np.array(out_j), kind="stable"):
-                x, y = find(int(comp[out_a[k]])), find(int(comp[out_b[k]]))
-                if x != y:
-                    root[x] = y
-                    kept.append(k)
-            out_a, out_b = [out_a[k] for k in kept], [out_b[k] for k in kept]
-        a, b = cls[np.array(out_a, np.int64)], cls[np.array(out_b, np.int64)]
-        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+        both = shared_counts(items, n_first)
+        i, j = np.nonzero(100 * both >= percent * (n[:n_first, None] + n[None, :] - both))
+        label = join_labels(np.arange(len(cls)), i, j)
+        joined = np.flatnonzero(label != np.arange(len(cls)))
+        return pa.table({"a": pa.array(cls[joined]), "b": pa.array(cls[label[joined]])})
 
     return tile
 
@@ -241,25 +232,68 @@ def _confirm(percent: int):
     return confirm
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n_words: int, percent: int) -> DataFrame:
-    """(a, b, linked) by the full sets of one text of each class."""
-    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+def _full_sets(wanted: DataFrame, docs: DataFrame, classes: DataFrame, n_words: int) -> DataFrame:
+    """(cls, items): the full set of each wanted class, from one of its texts."""
     reps = materialise(classes.select("cls", "rep", "k1", "k2").join(wanted, "cls"), "wanted_sets")
-    sets = materialise(
+    return materialise(
         docs.join(reps, docs["doc_id"].eqNullSafe(reps["rep"]))
         .select("text", "cls", "k1", "k2")
-        .mapInArrow(_sets(n_words), "cls long, items binary"),
+        .mapInArrow(_sets(n_words), "cls long, items binary")
+        .dropDuplicates(["cls"]),
         "sets",
     )
+
+
+def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) whose full sets link."""
     left = sets.select(F.col("cls").alias("a"), F.col("items").alias("x"))
     right = sets.select(F.col("cls").alias("b"), F.col("items").alias("y"))
-    return materialise(
-        pairs.join(left, "a")
-        .join(right, "b")
-        .select("a", "b", "x", "y")
-        .mapInArrow(_confirm(percent), "a long, b long, linked boolean"),
-        "verified",
+    checked = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    confirmed = checked.mapInArrow(_confirm(percent), "a long, b long, linked boolean")
+    return materialise(confirmed.filter("linked").select("a", "b"), "verified")
+
+
+def _rest(
+    members: DataFrame, roots: DataFrame, docs: DataFrame, classes: DataFrame, n_words: int, percent: int
+) -> DataFrame:
+    """Links among the classes of buckets that are not connected yet, by full sets in tiles.
+
+    Such classes that share buckets, directly or through others, are a neighbourhood. Within it,
+    sets whose sizes allow a link meet in tiles of two blocks.
+    """
+    placed = members.join(roots, F.col("cls") == F.col("node"), "left").select(
+        "bucket", "first", "cls", F.coalesce("root", "cls").alias("comp")
     )
+    placed = materialise(placed, "placed")
+    split = placed.groupBy("bucket").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high"))
+    split = materialise(split.filter("_low < _high").select("bucket"), "unconnected")
+    near = placed.join(split, "bucket").select(F.col("cls").alias("a"), F.col("first").alias("b"))
+    groups = materialise(components(near), "neighbourhoods")
+    sets = _full_sets(groups.select(F.col("node").alias("cls")), docs, classes, n_words)
+    n = F.octet_length("items") / 8
+    band = F.floor(F.log(n) / math.log(100 / percent)).cast("int")
+    sized = materialise(
+        sets.join(groups, F.col("cls") == F.col("node")).select(
+            "root", F.explode(F.array(band, band - 1)).alias("band"), "cls", "items"
+        ),
+        "sized_sets",
+    )
+    blocks = sized.groupBy("root", "band").agg(F.ceil(F.count(F.lit(1)) / TILE_ROWS).cast("int").alias("_blocks"))
+    tiles = (
+        sized.join(materialise(blocks, "blocks"), ["root", "band"])
+        .withColumn("_own", F.pmod(F.xxhash64("cls"), F.col("_blocks")).cast("int"))
+        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+        .select(
+            "root",
+            "band",
+            F.least("_own", "_other").alias("low"),
+            F.greatest("_own", "_other").alias("high"),
+            (F.col("_other") < F.col("_own")).alias("second"),
+            "cls",
+            "items",
+        )
+    )
+    return tiles.groupBy("root", "band", "low", "high").applyInArrow(_tile(percent), "a long, b long")
 
 
 def near_duplicates(
@@ -277,13 +311,11 @@ def near_duplicates(
 
     1. Each class of a bucket is paired with the bucket's first. Pairs whose likelihood estimate
        is near the threshold or above are verified on the full sets.
-    2. Where a bucket still holds unconnected classes, blocks of it are compared by their registers,
-       and the likeliest pairs that could connect it are verified.
-    3. What is still unconnected and likely is verified pair by pair.
+    2. Where a bucket still holds unconnected classes, these and all that share such a bucket with
+       them are compared by their full sets, in tiles of two bounded blocks.
 
-    So a group of copies costs pairs in proportion to its texts unless its texts hover about the
-    threshold, and no pair that shares a band and is likely is left out: pairs within one
-    component already need no link of their own.
+    A pair within one component needs no link of its own, so every pair that shares a band is
+    settled. A tile returns at most one row per set, so no group returns its pairs.
 
     Texts without words, missing ones included, have no shingles and link with nothing. ``component_id`` is the
     smallest id reachable, missing only where all of them are. Repeated rows and rows that share
@@ -320,50 +352,10 @@ def near_duplicates(
         .mapInArrow(_likely(cut), "a long, b long"),
         "likely_pairs",
     )
-    verified = _verify(likely, docs, classes, n_words, percent)
-    links = verified.filter("linked").select("a", "b")
-    roots = components(links)
-    for forest in (True, False):
-        placed = materialise(
-            members.join(roots, F.col("cls") == F.col("node"), "left").select(
-                "bucket", "cls", F.coalesce("root", "cls").alias("comp")
-            ),
-            "placed",
-        )
-        split = placed.groupBy("bucket").agg(
-            F.min("comp").alias("_low"), F.max("comp").alias("_high"), F.count(F.lit(1)).alias("_n")
-        )
-        split = materialise(split.filter("_low < _high").select("bucket", "_n"), "unconnected")
-        blocks = F.ceil(F.col("_n") / TILE_ROWS).cast("int")
-        own = F.pmod(F.xxhash64("cls"), F.col("_blocks")).cast("int")
-        tiles = (
-            placed.join(split, "bucket")
-            .withColumn("_blocks", blocks)
-            .withColumn("_own", own)
-            .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-            .select(
-                "bucket",
-                F.least("_own", "_other").alias("low"),
-                F.greatest("_own", "_other").alias("high"),
-                (F.col("_other") < F.col("_own")).alias("second"),
-                "cls",
-                "comp",
-            )
-            .join(sizes, "cls")
-        )
-        pairs = materialise(
-            tiles.groupBy("bucket", "low", "high")
-            .applyInArrow(_tile(cut, percent, forest), "a long, b long")
-            .distinct()
-            .join(verified, ["a", "b"], "left_anti"),
-            "more_pairs",
-        )
-        more = _verify(pairs, docs, classes, n_words, percent)
-        verified = materialise(verified.union(more), "verified")
-        links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(
-            more.filter("linked").select("a", "b")
-        )
-        roots = components(links)
+    wanted = likely.select(F.col("a").alias("cls")).union(likely.select("b")).distinct()
+    roots = components(_verify(likely, _full_sets(wanted, docs, classes, n_words), percent))
+    rest = _rest(members, roots, docs, classes, n_words, percent)
+    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(rest))
     known = materialise(
         classes.select("k1", "k2", "cls", "rep")
         .join(roots, F.col("cls") == F.col("node"), "left")
