@@ -65,7 +65,8 @@ def mix_sources(
 
     One row per row of ``docs``: ``doc_id``, ``source``, ``size`` (words), ``source_size``,
     ``target`` (its source's), ``copies`` (whole repetitions), ``part`` (words of one more,
-    partial repetition) and ``taken`` = copies * size + part.
+    partial repetition), ``taken`` = copies * size + part, and ``text_hash``, which tells rows that
+    share an id apart.
 
     Each source is taken floor(target / source_size) times whole. The rest of its target is the first
     words of its documents in a seeded order: those documents get one more copy, and the last is
@@ -83,6 +84,7 @@ def mix_sources(
             F.col(source_col).cast("string").alias("source"),
             n_words(F.col(text_col)).alias("size"),
             F.substring(hash_order(seed, id_col), 1, ORDER_DIGITS).alias("_h"),
+            F.xxhash64(text_col).alias("text_hash"),
         ),
         "sized",
     )
@@ -112,7 +114,7 @@ def mix_sources(
     )
     inside = (
         Window.partitionBy("_at")
-        .orderBy("_h", "doc_id", "size")
+        .orderBy("_h", "doc_id", "size", "text_hash")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     start = F.col("_off") + F.coalesce(F.sum("size").over(inside), F.lit(0))
@@ -129,11 +131,42 @@ def mix_sources(
             "target",
             "copies",
             "part",
+            "text_hash",
             (F.col("copies") * F.col("size") + F.col("part")).alias("taken"),
         )
     )
 
 
+def first_words(text: Column, n: Column) -> Column:
+    """The text up to the end of its n-th word."""
+    words = F.regexp_extract_all(text, F.lit(f"[\\x20\\x09-\\x0D]*{WORD}"), F.lit(0))
+    return F.array_join(F.slice(words, F.lit(1), n.cast("int")), "")
+
+
+def repeat_documents(
+    docs: DataFrame, mix: DataFrame, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The rows of ``docs`` as often as ``mix_sources`` takes them, the partial repetition cut to its words.
+
+    Rows that are equal in id and text get one entry of the mix each. Columns stay as they are.
+    """
+    entries = mix.groupBy(F.struct(F.col("doc_id").alias("i"), F.col("text_hash").alias("h")).alias("_at")).agg(
+        F.array_sort(F.collect_list(F.struct("copies", "part"))).alias("_mix")
+    )
+    key = F.struct(F.col(id_col).alias("i"), F.xxhash64(text_col).alias("h"))
+    rest = [c for c in docs.columns if c != text_col]
+    keyed = docs.withColumn("_at", key)
+    placed = keyed.withColumn("_nth", F.row_number().over(Window.partitionBy("_at").orderBy(*rest)))
+    own = F.element_at("_mix", F.col("_nth"))
+    taken = placed.join(entries, "_at").withColumn("_own", own)
+    whole = F.array_repeat(F.col(text_col), F.col("_own.copies").cast("int"))
+    part = F.when(F.col("_own.part") > 0, F.array(first_words(F.col(text_col), F.col("_own.part"))))
+    texts = F.concat(whole, F.coalesce(part, F.array().cast("array<string>")))
+    return taken.withColumn("_text", F.explode(texts)).select(
+        *[F.col("_text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    )
+
+
 MIX_SQL = """{p}sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
     substr(md5('mix|' || doc_id), 1, 8) AS h FROM {docs}),
