@@ -82,15 +82,14 @@ def token_counts(
         .agg(F.min(F.struct(F.xxhash64("doc_id"), "doc_id")).getField("doc_id").alias("_rep"))
         .join(known, "digest", "left_anti")
     )
-    # one row per content; rows that repeat an id with the same content meet in the last step
+    # one row per content, or a few where rows repeat an id with its content; one count is appended
     chosen = whole.alias("w").join(
         misses.hint("shuffle_hash").alias("m"),
         F.col("w.doc_id").eqNullSafe(F.col("m._rep")) & (F.col("w.digest") == F.col("m.digest")),
         "left_semi",
     )
-    chosen.select("digest", "_text").mapInArrow(_count(tokenizer, version), CACHE).write.mode(
-        "append"
-    ).parquet(cache)
+    counted = chosen.select("digest", "_text").mapInArrow(_count(tokenizer, version), CACHE)
+    counted.dropDuplicates(["version", "digest"]).write.mode("append").parquet(cache)
     counts = materialise(
         spark.read.schema(CACHE)
         .parquet(cache)
