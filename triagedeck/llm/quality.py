@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from .base import query, table
 
 SAMPLE_DOCS = 4000  # labelled documents that the model is fitted on, at most
-SAMPLE_BYTES = 24_000_000  # of their texts, at most
+SAMPLE_BYTES = 12_000_000  # of their texts, at most
+STEP_BYTES = 1_000_000  # of texts whose passages are made at once
 PASSAGE = 512  # bytes
 TRIGRAMS = 256  # hashed kinds of three bytes
 HIDDEN, GATE = 32, 16
@@ -82,6 +83,18 @@ def passages(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     ).astype(np.float32), first
 
 
+def in_steps(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The passages of some texts after the other, so that what they are made from stays small."""
+    at = 0
+    while at < len(texts):
+        size, upto = 0, at
+        while upto < len(texts) and (upto == at or size < STEP_BYTES):
+            size += len(texts[upto] or "")
+            upto += 1
+        yield passages(texts[at:upto])
+        at = upto
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -125,7 +138,12 @@ def fit(texts: list[str | None], labels: list[int], seed: int = 7) -> dict[str,
     Without both labels the model gives every text the share of label 1 (a half without labels).
     """
     rng = np.random.default_rng(seed)
-    x, first = passages(texts) if texts else (np.zeros((0, N_FEATURES), np.float32), np.zeros(0, int))
+    x, first, n = [np.zeros((0, N_FEATURES), np.float32)], [np.zeros(0, np.int64)], 0
+    for own, starts in in_steps(texts):
+        x.append(own)
+        first.append(starts + n)
+        n += len(own)
+    x, first = np.concatenate(x), np.concatenate(first)
     y = np.asarray(labels, np.float64)
     share = (y.sum() + 0.5) / (len(y) + 1)
 
@@ -169,15 +187,8 @@ def fit(texts: list[str | None], labels: list[int], seed: int = 7) -> dict[str,
 def _score(model: dict[str, np.ndarray]):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, scores = 0, []
             texts = batch.column(batch.num_columns - 1).to_pylist()
-            while at < len(texts):  # texts of about a megabyte at once
-                size, upto = 0, at
-                while upto < len(texts) and (upto == at or size < 1_000_000):
-                    size += len(texts[upto] or "")
-                    upto += 1
-                scores.append(forward(model, *passages(texts[at:upto]))["p"])
-                at = upto
+            scores = [forward(model, *step)["p"] for step in in_steps(texts)]
             p = np.concatenate(scores).astype(np.float64) if scores else np.zeros(0)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array(p)], [*batch.schema.names[:-1], "_score"]
