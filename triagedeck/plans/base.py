@@ -181,7 +181,7 @@ def judged(spark: SparkSession, sf: str) -> DataFrame:
 
 ANSWERS = """answers AS (
   SELECT doc_id AS bug_id, CASE doc_id % 7 WHEN 0 THEN 'SEVERE' WHEN 1 THEN 'Not  severe' WHEN 2 THEN '0'
-    WHEN 3 THEN '1' WHEN 4 THEN '0 or 1' WHEN 5 THEN substr(text, 1, 40) || ' is severe' ELSE '' END AS answer,
+    WHEN 3 THEN '1' WHEN 4 THEN '0 or 1' WHEN 5 THEN text || ' is severe' ELSE '' END AS answer,
     text FROM documents)"""
 
 
@@ -189,7 +189,7 @@ def answers(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents")
     fixed = ["SEVERE", "Not  severe", "0", "1", "0 or 1"]
     m = F.col("doc_id") % 7
-    answer = F.when(m == 5, F.concat(F.substring("text", 1, 40), F.lit(" is severe")))
+    answer = F.when(m == 5, F.concat("text", F.lit(" is severe")))
     for i, value in enumerate(fixed):
         answer = answer.when(m == i, value)
     return d.select(
@@ -201,7 +201,7 @@ def answers(spark: SparkSession, sf: str) -> DataFrame:
 
 SCORED = """scored AS (
   SELECT event_id AS id, event_type AS model, user_id, ts,
-    least(value / 500.0, 1.0)::DOUBLE AS score,
+    (value / 500.0)::DOUBLE AS score,
     CASE WHEN CAST(regexp_extract(props, '"k": ([0-9]+)', 1) AS INT) >= 50 THEN 1 ELSE 0 END AS y
   FROM events)"""
 
@@ -213,7 +213,7 @@ def scored(spark: SparkSession, sf: str) -> DataFrame:
         F.col("event_type").alias("model"),
         "user_id",
         "ts",
-        F.least(F.col("value") / 500.0, F.lit(1.0)).alias("score"),
+        (F.col("value") / 500.0).alias("score"),
         F.when(F.get_json_object("props", "$.k").cast("int") >= 50, 1).otherwise(0).alias("y"),
     )
 

@@ -52,13 +52,13 @@ def semi_split(spark, sf):
 
 @query("assign_split", """
 WITH s AS (SELECT l_partkey AS p_partkey, min(CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END) AS o
-  FROM lineitem WHERE l_quantity < 10 GROUP BY l_partkey)
+  FROM lineitem GROUP BY l_partkey)
 SELECT p.p_partkey, p_name, CASE o WHEN 1 THEN 'tr' WHEN 2 THEN 'val' ELSE 'test' END AS split
 FROM part p JOIN s ON p.p_partkey = s.p_partkey""")
 def assign_split(spark, sf):
     """Parts fall in several splits through their order lines; the first split wins."""
     flag = F.col("l_returnflag")
-    lists = table(spark, sf, "lineitem").filter("l_quantity < 10").select(
+    lists = table(spark, sf, "lineitem").select(
         F.col("l_partkey").alias("p_partkey"),
         F.when(flag == "A", "tr").when(flag == "N", "val").otherwise("test").alias("split"),
     )

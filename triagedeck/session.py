@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import lru_cache
@@ -36,9 +37,13 @@ def _own_root() -> str:
 def shared_root(spark: SparkSession) -> str:
     """Folder every executor can reach: the one the cluster names in its settings.
 
-    Only a session without that setting (a test) uses a folder of this machine.
+    Without that setting a session in local mode (a test) uses a folder of this machine, and any
+    other fails: its executors would not see each other's parts.
     """
-    return (spark.conf.get(CHECKPOINT_KEY, None) or _own_root()).rstrip("/")
+    named = spark.conf.get(CHECKPOINT_KEY, None)
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
+    return (named or _own_root()).rstrip("/")
 
 
 def fresh_folder(spark: SparkSession, name: str) -> str:
