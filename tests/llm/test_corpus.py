@@ -130,6 +130,16 @@ def test_sketch_parts():
     assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(4) for j in range(9) if i != j)
 
 
+def test_id_filter(spark):
+    ids = spark.range(0, 3000, 3).withColumnRenamed("id", "doc_id")
+    bitmap = near_dedup.id_filter(ids, 1 << 20)
+    held = near_dedup.test(bitmap, near_dedup._id_places(np.arange(3000), 1 << 20))
+    assert held[::3].all() and held.sum() < 1100
+    kept = spark.range(3000).filter(near_dedup._among(spark, bitmap)("id"))
+    assert kept.count() == held.sum()
+    assert not near_dedup.id_filter(ids.limit(0), 1 << 20).any()
+
+
 def test_near_vectors(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(12, 8))

@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .base import query, rows_of, table
+from .base import NO_ID, query, rows_of, table
 from .components import components
 from .embedding_dedup import join_labels
+from .line_dedup import SEGMENT, places, put, test
 
 REGISTERS = 128
 BAND = 4  # registers in a band: at a similarity of 0.8 a link shares none of 32 bands once in 2e7
@@ -24,6 +27,7 @@ TOP = (1 << 16) - 1  # registers are cut to 0 .. TOP
 LIKELY = 0.18  # estimates this far below the threshold are still verified: five standard errors
 TILE_ROWS = 512  # sets in a block; a tile holds two blocks
 COLUMNS = 4096  # shared shingles of a tile that are counted at once
+FILTER_BITS = 1 << 27  # of the filter of wanted ids: 16 MB in a task and at most that on the driver
 MAX_WORDS = 1_000_000  # entries of a task's table of word hashes before it starts anew
 
 _words: dict[bytes, int] = {}
@@ -232,11 +236,91 @@ def _confirm(percent: int):
     return confirm
 
 
+def _id_places(ids: np.ndarray, bits: int) -> np.ndarray:
+    return places(mixed(np.asarray(ids, np.int64).view(np.uint64)), bits)
+
+
+def _build_ids(bits: int):
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = np.zeros(bits // 8, np.uint8)
+        for batch in batches:
+            put(bitmap, _id_places(batch.column(0), bits))
+        size = min(SEGMENT, bits // 8)
+        for i in range(0, bits // 8, size):
+            if bitmap[i : i + size].any():
+                part = zlib.compress(bitmap[i : i + size].tobytes(), 1)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([i // size], pa.int32()), pa.array([part], pa.binary())], ["segment", "bits"]
+                )
+
+    return build
+
+
+def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Segments arrive in order; each leaves once, with the bits of all tasks."""
+
+    def out():
+        return pa.RecordBatch.from_arrays(
+            [pa.array([now], pa.int32()), pa.array([zlib.compress(held.tobytes(), 1)], pa.binary())],
+            ["segment", "bits"],
+        )
+
+    now, held = None, None
+    for batch in batches:
+        for segment, part in zip(*(c.to_pylist() for c in batch.columns)):
+            part = np.frombuffer(zlib.decompress(part), np.uint8)
+            if segment == now:
+                held = held | part
+                continue
+            if now is not None:
+                yield out()
+            now, held = segment, part
+    if now is not None:
+        yield out()
+
+
+def id_filter(ids: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """Bloom filter of the ids: bits / 8 bytes, whatever their number."""
+    merged = (
+        ids.mapInArrow(_build_ids(bits), "segment int, bits binary")
+        .repartition("segment")
+        .sortWithinPartitions("segment")
+        .mapInArrow(_unite, "segment int, bits binary")
+    )
+    bitmap = np.zeros(bits // 8, np.uint8)
+    size = min(SEGMENT, bits // 8)
+    for row in merged.collect():  # at most bits / 8 / SEGMENT rows
+        bitmap[row.segment * size : (row.segment + 1) * size] = np.frombuffer(zlib.decompress(row.bits), np.uint8)
+    return bitmap
+
+
+def _among(spark, bitmap: np.ndarray):
+    """Function of an id column: may the filter hold it? Only ids travel to Python."""
+    bits = 8 * len(bitmap)
+    shared = spark.sparkContext.broadcast(zlib.compress(bitmap.tobytes(), 1))
+    held: list[np.ndarray] = []
+
+    @F.pandas_udf("boolean")
+    def among(ids: pd.Series) -> pd.Series:
+        if not held:
+            held.append(np.frombuffer(zlib.decompress(shared.value), np.uint8))
+        return pd.Series(test(held[0], _id_places(ids, bits)).astype(bool))
+
+    return among
+
+
 def _full_sets(wanted: DataFrame, docs: DataFrame, classes: DataFrame, n_words: int) -> DataFrame:
-    """(cls, items): the full set of each wanted class, from one of its texts."""
+    """(cls, items): the full set of each wanted class, from one of its texts.
+
+    A filter of the wanted ids keeps most other texts out of the shuffle; the join decides. More ids
+    than the filter suits mean more texts in the shuffle, never another result.
+    """
     reps = materialise(classes.select("cls", "rep", "k1", "k2").join(wanted, "cls"), "wanted_sets")
+    no_id = F.lit(NO_ID)
+    among = _among(docs.sparkSession, id_filter(reps.select(F.coalesce("rep", no_id))))
+    near = docs.filter(among(F.coalesce("doc_id", no_id)))
     return materialise(
-        docs.join(reps, docs["doc_id"].eqNullSafe(reps["rep"]))
+        near.join(reps, near["doc_id"].eqNullSafe(reps["rep"]))
         .select("text", "cls", "k1", "k2")
         .mapInArrow(_sets(n_words), "cls long, items binary")
         .dropDuplicates(["cls"]),
