@@ -135,8 +135,12 @@ def test_id_filter(spark):
     bitmap = near_dedup.id_filter(ids, 1 << 20)
     held = near_dedup.test(bitmap, near_dedup._id_places(np.arange(3000), 1 << 20))
     assert held[::3].all() and held.sum() < 1100
-    kept = spark.range(3000).filter(near_dedup._among(spark, bitmap)("id"))
-    assert kept.count() == held.sum()
+    shared = spark.sparkContext.broadcast(zlib.compress(bitmap.tobytes(), 1))
+    told = spark.range(3000).selectExpr("id", "concat('word ', id) AS text")
+    sets = told.mapInArrow(near_dedup._sets(5, shared), "k1 long, k2 long, items binary").collect()
+    want = {near_dedup.shingles(f"word {i}", 5).tobytes() for i in np.flatnonzero(held)}
+    assert {bytes(r.items) for r in sets} == want and len(sets) == held.sum()
+    assert all((r.k1, r.k2) == near_dedup.set_key(np.frombuffer(r.items, np.uint64)) for r in sets)
     assert not near_dedup.id_filter(ids.limit(0), 1 << 20).any()
 
 

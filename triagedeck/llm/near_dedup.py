@@ -7,7 +7,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -205,18 +204,25 @@ def _tile(percent: int):
     return tile
 
 
-def _sets(n_words: int):
+def _sets(n_words: int, shared):
+    """Keys and full set of each text whose id the filter may hold."""
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows_of(batches, 256):
-            found = [shingles(x, n_words) for x in batch.column(0).to_pylist()]
-            keys = [set_key(s) if len(s) else (None, None) for s in found]
-            hit = [
-                k == (x, y) for k, x, y in zip(keys, batch.column(2).to_pylist(), batch.column(3).to_pylist())
-            ]
-            out = pa.RecordBatch.from_arrays(
-                [batch.column(1), pa.array([s.tobytes() for s in found], pa.binary())], ["cls", "items"]
-            )
-            yield out.filter(pa.array(hit, pa.bool_()))
+        bitmap = np.frombuffer(zlib.decompress(shared.value), np.uint8)
+        for batch in batches:
+            ids = np.asarray(batch.column(0).fill_null(NO_ID), np.int64)
+            near = batch.column(1).filter(pa.array(test(bitmap, _id_places(ids, 8 * len(bitmap))).astype(bool)))
+            for at in range(0, len(near), 256):
+                found = [s for s in (shingles(x, n_words) for x in near.slice(at, 256).to_pylist()) if len(s)]
+                keys = [set_key(s) for s in found]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([k[0] for k in keys], pa.int64()),
+                        pa.array([k[1] for k in keys], pa.int64()),
+                        pa.array([s.tobytes() for s in found], pa.binary()),
+                    ],
+                    ["k1", "k2", "items"],
+                )
 
     return sets
 
@@ -294,36 +300,19 @@ def id_filter(ids: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
     return bitmap
 
 
-def _among(spark, bitmap: np.ndarray):
-    """Function of an id column: may the filter hold it? Only ids travel to Python."""
-    bits = 8 * len(bitmap)
-    shared = spark.sparkContext.broadcast(zlib.compress(bitmap.tobytes(), 1))
-    held: list[np.ndarray] = []
-
-    @F.pandas_udf("boolean")
-    def among(ids: pd.Series) -> pd.Series:
-        if not held:
-            held.append(np.frombuffer(zlib.decompress(shared.value), np.uint8))
-        return pd.Series(test(held[0], _id_places(ids, bits)).astype(bool))
-
-    return among
-
-
 def _full_sets(wanted: DataFrame, docs: DataFrame, classes: DataFrame, n_words: int) -> DataFrame:
     """(cls, items): the full set of each wanted class, from one of its texts.
 
-    A filter of the wanted ids keeps most other texts out of the shuffle; the join decides. More ids
-    than the filter suits mean more texts in the shuffle, never another result.
+    Tasks make the sets of texts whose id a filter of the wanted ids may hold; only these sets are
+    shuffled, and the join by their keys decides. More ids than the filter suits mean more sets in
+    the shuffle, never another result.
     """
     reps = materialise(classes.select("cls", "rep", "k1", "k2").join(wanted, "cls"), "wanted_sets")
-    no_id = F.lit(NO_ID)
-    among = _among(docs.sparkSession, id_filter(reps.select(F.coalesce("rep", no_id))))
-    near = docs.filter(among(F.coalesce("doc_id", no_id)))
+    bitmap = id_filter(reps.select(F.coalesce("rep", F.lit(NO_ID))))
+    shared = docs.sparkSession.sparkContext.broadcast(zlib.compress(bitmap.tobytes(), 1))
+    found = docs.mapInArrow(_sets(n_words, shared), "k1 long, k2 long, items binary")
     return materialise(
-        near.join(reps, near["doc_id"].eqNullSafe(reps["rep"]))
-        .select("text", "cls", "k1", "k2")
-        .mapInArrow(_sets(n_words), "cls long, items binary")
-        .dropDuplicates(["cls"]),
+        found.join(reps.select("k1", "k2", "cls"), ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("cls", "items"),
         "sets",
     )
 
