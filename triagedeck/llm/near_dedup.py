@@ -25,6 +25,7 @@ RATE = 20.0  # of the exponential hash values
 TOP = (1 << 16) - 1  # registers are cut to 0 .. TOP
 LIKELY = 0.18  # estimates this far below the threshold are still verified: five standard errors
 TILE_ROWS = 512  # sets in a block; a tile holds two blocks
+TILE_BYTES = 8 << 20  # of a block's sets
 COLUMNS = 4096  # shared shingles of a tile that are counted at once
 FILTER_BITS = 1 << 27  # of the filter of wanted ids: 16 MB in a task and at most that on the driver
 MAX_WORDS = 1_000_000  # entries of a task's table of word hashes before it starts anew
@@ -351,7 +352,8 @@ def _rest(
         ),
         "sized_sets",
     )
-    blocks = sized.groupBy("root", "band").agg(F.ceil(F.count(F.lit(1)) / TILE_ROWS).cast("int").alias("_blocks"))
+    fill = F.greatest(F.count(F.lit(1)) / TILE_ROWS, F.sum(F.octet_length("items")) / TILE_BYTES)
+    blocks = sized.groupBy("root", "band").agg(F.ceil(fill).cast("int").alias("_blocks"))
     tiles = (
         sized.join(materialise(blocks, "blocks"), ["root", "band"])
         .withColumn("_own", F.pmod(F.xxhash64("cls"), F.col("_blocks")).cast("int"))
