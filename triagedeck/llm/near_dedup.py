@@ -28,7 +28,7 @@ TILE_ROWS = 512  # sets in a block; a tile holds two blocks
 TILE_BYTES = 8 << 20  # of a block's sets
 COLUMNS = 4096  # shared shingles of a tile that are counted at once
 FILTER_BITS = 1 << 27  # of the filter of wanted ids: 16 MB in a task and at most that on the driver
-MAX_WORDS = 1_000_000  # entries of a task's table of word hashes before it starts anew
+MAX_WORDS = 200_000  # entries of a task's table of word hashes before it starts anew: about 40 MB
 
 _words: dict[bytes, int] = {}
 
