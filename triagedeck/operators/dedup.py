@@ -30,8 +30,10 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def has_duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row: is any key repeated, and by how many surplus rows."""
-    per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    """One row: is any key repeated, and by how many surplus rows. Texts are shuffled as 256-bit digests."""
+    texts = {name for name, kind in df.dtypes if kind == "string"}
+    short = [F.unhex(F.sha2(F.col(k), 256)).alias(k) if k in texts else F.col(k) for k in keys]
+    per_key = df.groupBy(*short).agg(F.count(F.lit(1)).alias("n"))
     return per_key.agg(
         F.coalesce(F.max((F.col("n") > 1).cast("int")), F.lit(0)).alias("has_duplicates"),
         F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("surplus_rows"),

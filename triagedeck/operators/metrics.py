@@ -193,26 +193,26 @@ def mean_matrix(df: DataFrame, matrix: str, group: Sequence[str] = ()) -> DataFr
     return cells.groupBy(*group, "row", "col").agg(F.avg("_v").alias("mean"))
 
 
+def pooled(states: str, how: str = "mean") -> Column:
+    """Token x dimension array -> one vector: mean, sum or that of the first token."""
+    first = F.element_at(F.col(states), 1)
+    if how == "first":
+        return F.transform(first, lambda x: x.cast("double"))
+    zero = F.transform(first, lambda x: F.lit(0.0))
+    n = F.size(states).cast("double") if how == "mean" else F.lit(1.0)
+    return F.aggregate(
+        F.col(states),
+        zero,
+        lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b.cast("double")),
+        lambda acc: F.transform(acc, lambda a: a / n),
+    )
+
+
 def pool_vectors(
     df: DataFrame, key: str, states: str, how: str = "mean"
 ) -> DataFrame:
-    """Token x dimension array -> one value per dimension, in long form.
-
-    Mean, sum or the first token's vector. A row's own array is folded in place, no shuffle.
-    """
-    first = F.element_at(F.col(states), 1)
-    if how == "first":
-        pooled = F.transform(first, lambda x: x.cast("double"))
-    else:
-        zero = F.transform(first, lambda x: F.lit(0.0))
-        n = F.size(states).cast("double") if how == "mean" else F.lit(1.0)
-        pooled = F.aggregate(
-            F.col(states),
-            zero,
-            lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b.cast("double")),
-            lambda acc: F.transform(acc, lambda a: a / n),
-        )
-    return df.select(key, F.posexplode(pooled).alias("dim", "value"))
+    """Pooled vectors in long form. A row's own array is folded in place, no shuffle."""
+    return df.select(key, F.posexplode(pooled(states, how)).alias("dim", "value"))
 
 
 def vector_min_max(df: DataFrame, vector: str) -> DataFrame:

@@ -130,11 +130,11 @@ def _folder():
 
 def _write_runs(spark, sf):
     root = fresh_folder(spark, "runs")
-    rows = steps(spark, sf).filter("dataset_type = 'val'").select(
+    rows = steps(spark, sf).select(
         _folder().alias("name"),
         "bug_id",
         "binary_severity",
-        F.lit("").alias("answer"),
+        F.col("dataset_type").alias("answer"),
         F.col("loss").cast("double").alias("severity_pred"),
     )
     rows.write.partitionBy("name").json(f"{root}/predictions")
@@ -149,13 +149,13 @@ def _write_runs(spark, sf):
 
 
 @query("src_runs_with_params", sql(SCORED, STEPS, RESULTS, body="""
-SELECT 'name=run_' || s.run % 20 AS run, s.bug_id, s.loss::DOUBLE AS severity_pred, r.learning_rate, r.lora_r
-FROM steps s JOIN (SELECT DISTINCT run % 20 AS folder, learning_rate, lora_r FROM results) r ON r.folder = s.run % 20 WHERE s.dataset_type = 'val'"""))
+SELECT 'name=run_' || s.run % 20 AS run, s.bug_id, s.dataset_type AS answer, s.loss::DOUBLE AS severity_pred, r.learning_rate, r.lora_r
+FROM steps s JOIN (SELECT DISTINCT run % 20 AS folder, learning_rate, lora_r FROM results) r ON r.folder = s.run % 20"""))
 def src_runs_with_params(spark, sf):
     root = _write_runs(spark, sf)
     rows = rd.read_runs(spark, f"{root}/predictions", f"{root}/parameters")
     return rows.select(
-        "run", "bug_id", "severity_pred", F.col("params")["learning_rate"].alias("learning_rate"), F.col("params")["lora_r"].alias("lora_r")
+        "run", "bug_id", "answer", "severity_pred", F.col("params")["learning_rate"].alias("learning_rate"), F.col("params")["lora_r"].alias("lora_r")
     )
 
 
@@ -181,29 +181,26 @@ def src_filename_meta(spark, sf):
 
 
 @query("src_merge_embeddings", """
-SELECT vec_id, CAST(CASE WHEN label < 5 THEN 0 ELSE 1 END AS INT) AS chunk, round(embedding[1]::DOUBLE, 6) AS first_value, len(embedding) AS width FROM embeddings""")
+SELECT vec_id, chunk, dim::INT AS dim, round(v::DOUBLE, 6) AS value FROM (SELECT vec_id, CAST(CASE WHEN label < 5 THEN 0 ELSE 1 END AS INT) AS chunk,
+  unnest(range(len(embedding))) AS dim, unnest(embedding) AS v FROM embeddings)""")
 def src_merge_embeddings(spark, sf):
-    """Two overlapping chunks: the second holds every vector again."""
+    """Two overlapping chunks: the second holds every vector again. Whole vectors, a row per element."""
     path = fresh_folder(spark, "chunks")
     e = table(spark, sf, "embeddings")
     e.filter("label < 5").drop("label").write.parquet(f"{path}/chunk=0")
     e.drop("label").write.parquet(f"{path}/chunk=1")
     merged = em.merge_chunks(em.read_chunks(spark, path), "vec_id")
-    return merged.select(
-        "vec_id",
-        "chunk",
-        r6(F.element_at("embedding", 1).cast("double")).alias("first_value"),
-        F.size("embedding").cast("long").alias("width"),
-    )
+    cells = merged.select("vec_id", "chunk", F.posexplode("embedding").alias("dim", "v"))
+    return cells.select("vec_id", "chunk", "dim", r6(F.col("v").cast("double")).alias("value"))
 
 
 @query("src_aggr_runs", sql(SCORED, STEPS, RESULTS, body="""
 SELECT 'name=run_' || s.run % 20 AS run, s.epoch, max(s.loss)::DOUBLE AS loss, s.run::DOUBLE AS f1, max(r.learning_rate) AS learning_rate FROM steps s
-JOIN results r ON r.run = s.run WHERE s.dataset_type = 'train' GROUP BY s.run, s.epoch"""))
+JOIN results r ON r.run = s.run GROUP BY s.run, s.epoch"""))
 def src_aggr_runs(spark, sf):
     """One line per run, with the run's few epochs as an array."""
     root = _write_runs(spark, sf)
-    epochs = steps(spark, sf).filter("dataset_type = 'train'").groupBy("run", "epoch").agg(
+    epochs = steps(spark, sf).groupBy("run", "epoch").agg(
         F.max("loss").cast("double").alias("loss"), F.first("run").cast("double").alias("f1")
     )
     lines = epochs.groupBy("run").agg(
@@ -263,7 +260,7 @@ def src_feature_sets(spark, sf):
 
 
 @query("snk_split_sets", sql(DOCS, SPLIT, body=f"""
-SELECT bug_id, split, 'Report: ' || description AS input FROM sdocs"""))
+SELECT bug_id, split, 'Report: ' || description AS input, CAST(len(regexp_extract_all(description, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_\\s]')) AS INT) AS n_tokens FROM sdocs"""))
 def snk_split_sets(spark, sf):
     path = fresh_folder(spark, "sets")
     d = docs(spark, sf)
@@ -272,19 +269,25 @@ def snk_split_sets(spark, sf):
     rows = d.select("bug_id", prompt.alias("input"), F.size(tx.tokens(F.col("description"))).alias("n_tokens"))
     for _ in range(2):  # the second call finds the target and leaves it
         sk.write_split_sets(rows, split.select("bug_id", "split"), path, "bug_id")
-    return spark.read.parquet(path).select("bug_id", "split", "input")
+    return spark.read.parquet(path).select("bug_id", "split", "input", "n_tokens")
 
 
 @query("snk_metrics", sql(DOCS, JUDGED, body="""
-SELECT '[' || string_agg(r, ', ' ORDER BY t) || ']' AS confusion_matrix FROM (SELECT t.l AS t, '[' || string_agg((SELECT count(*) FROM judged j
-   WHERE j.binary_severity = t.l AND j.code = p.l), ', ' ORDER BY p.l) || ']' AS r
- FROM (SELECT binary_severity AS l FROM judged UNION SELECT code FROM judged) t CROSS JOIN (SELECT binary_severity AS l FROM judged UNION SELECT code FROM judged) p GROUP BY t.l)"""))
+, labs AS (SELECT binary_severity AS l FROM judged UNION SELECT code FROM judged),
+matrix AS (SELECT t.l, '[' || string_agg((SELECT count(*) FROM judged j WHERE j.binary_severity = t.l AND j.code = p.l), ', ' ORDER BY p.l) || ']' AS confusion_row
+  FROM labs t CROSS JOIN labs p GROUP BY t.l),
+f AS (SELECT l, 2.0 * sum(CASE WHEN binary_severity = l AND code = l THEN 1 ELSE 0 END)
+  / (sum(CASE WHEN binary_severity = l THEN 1 ELSE 0 END) + sum(CASE WHEN code = l THEN 1 ELSE 0 END)) AS f1 FROM judged, labs GROUP BY l)
+SELECT CAST(row_number() OVER (ORDER BY l) - 1 AS INT) AS label_no, confusion_row, round(f1::DOUBLE, 6) AS f1 FROM matrix JOIN f USING (l)"""))
 def snk_metrics(spark, sf):
     path = fresh_folder(spark, "metrics")
     j = judged(spark, sf).withColumn("code", nx.missing_to_failed(F.col("severity_pred")))
     sk.write_json(sk.metrics_record(j, "binary_severity", "code"), path)
     stored = spark.read.schema("confusion_matrix array<array<long>>, f1 array<double>, written_at timestamp").json(path)
-    return stored.select(F.col("confusion_matrix").cast("string").alias("confusion_matrix"))
+    labels = stored.select(F.posexplode(F.arrays_zip("confusion_matrix", "f1")).alias("label_no", "s"))
+    return labels.select(
+        "label_no", F.col("s.confusion_matrix").cast("string").alias("confusion_row"), r6("s.f1").alias("f1")
+    )
 
 
 @query("snk_run_manifest", sql(DOCS, body="""

@@ -101,21 +101,15 @@ def inner_dedup_join(spark, sf):
 
 
 @query("embedding_label_join", sql(VECTORS, SVECTORS, body="""
-SELECT s.vec_id, s.split, l.quality, l.toxic, round(embedding[1]::DOUBLE, 6) AS first_value, len(embedding) AS width
-FROM svec s JOIN labels l ON s.vec_id = l.doc_id"""))
+SELECT vec_id, split, quality, toxic, dim::INT AS dim, round(v::DOUBLE, 6) AS value FROM (SELECT s.vec_id, s.split, l.quality, l.toxic,
+  unnest(range(len(embedding))) AS dim, unnest(embedding) AS v FROM svec s JOIN labels l ON s.vec_id = l.doc_id)"""))
 def embedding_label_join(spark, sf):
     v = vectors(spark, sf)
     split = stratified_split(v.select("vec_id", "y"), "vec_id", "y").select("vec_id", "split")
     labels = table(spark, sf, "labels").withColumnRenamed("doc_id", "vec_id")
     joined = v.join(labels, "vec_id").join(split, "vec_id")
-    return joined.select(
-        "vec_id",
-        "split",
-        "quality",
-        "toxic",
-        r6(F.element_at("embedding", 1).cast("double")).alias("first_value"),
-        F.size("embedding").cast("long").alias("width"),
-    )
+    cells = joined.select("vec_id", "split", "quality", "toxic", F.posexplode("embedding").alias("dim", "v"))
+    return cells.select("vec_id", "split", "quality", "toxic", "dim", r6(F.col("v").cast("double")).alias("value"))
 
 
 @query("missing_ids", """

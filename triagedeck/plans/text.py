@@ -427,11 +427,9 @@ def pool_vectors(spark, sf):
     )
     e = table(spark, sf, "embeddings").select("vec_id", states.alias("s"))
     ways = {"mean": "mean", "total": "sum", "first": "first"}
-    out = None
-    for name, how in ways.items():
-        part = mt.pool_vectors(e, "vec_id", "s", how).select("vec_id", "dim", r6("value").alias(name))
-        out = part if out is None else out.join(part, ["vec_id", "dim"])
-    return out
+    pooled = F.arrays_zip(*[mt.pooled("s", how).alias(name) for name, how in ways.items()])
+    cells = e.select("vec_id", F.posexplode(pooled).alias("dim", "p"))
+    return cells.select("vec_id", "dim", *[r6(f"p.{name}").alias(name) for name in ways])
 
 
 # --- numbers, dates, JSON ---
@@ -447,13 +445,15 @@ def pct_of_group(spark, sf):
 
 
 @query("bce_loss", """
-WITH p AS (SELECT vec_id, CASE WHEN label >= 5 THEN 1 ELSE 0 END AS y, 1 / (1 + exp(-embedding[1]::DOUBLE)) AS p FROM embeddings)
-SELECT vec_id, round(p, 6) AS p, round(-(y * greatest(ln(p), -100) + (1 - y) * greatest(ln(1 - p), -100)), 6) AS loss FROM p""")
+WITH e AS (SELECT vec_id, label, unnest(range(len(embedding))) AS dim, unnest(embedding) AS v FROM embeddings),
+p AS (SELECT vec_id, dim::INT AS dim, CASE WHEN label >= 5 THEN 1 ELSE 0 END AS y, 1 / (1 + exp(-v::DOUBLE)) AS p FROM e)
+SELECT vec_id, dim, round(p, 6) AS p, round(-(y * greatest(ln(p), -100) + (1 - y) * greatest(ln(1 - p), -100)), 6) AS loss FROM p""")
 def bce_loss(spark, sf):
-    p = nx.sigmoid(F.element_at("embedding", 1).cast("double"))
+    p = nx.sigmoid(F.col("v").cast("double"))
     y = (F.col("label") >= 5).cast("int")
-    return table(spark, sf, "embeddings").select(
-        "vec_id", r6(p).alias("p"), r6(nx.cross_entropy(y, p)).alias("loss")
+    cells = table(spark, sf, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("dim", "v"))
+    return cells.select(
+        "vec_id", "dim", r6(p).alias("p"), r6(nx.cross_entropy(y, p)).alias("loss")
     )
 
 
