@@ -5,7 +5,8 @@ from __future__ import annotations
 import hashlib
 import random
 import re
-from collections.abc import Iterator
+from bisect import bisect_left, insort
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,7 @@ SAMPLE_ROWS = 40_000  # of these candidates, at most
 TREES, DEPTH, SHRINK, CUTS, LEAST = 40, 3, 0.3, 24, 8
 PRECISION = 0.99  # wanted of accepted candidates among held-out ones
 CONTEXT = 40  # code points on each side
+SCORED = 5000  # candidates of a text that are judged together
 Span = tuple[str, int, int]
 
 # The base forms. Runs start where no digit precedes, which no match can miss.
@@ -33,7 +35,8 @@ NOT_DIGIT = re.compile(r"[^0-9]+")
 AT = re.compile(r"@|[(\[]at[)\]]| at ", re.I)
 BEFORE_AT = re.compile(r"[\w.+%-]{1,64} ?$")
 AFTER_AT = re.compile(r" ?[\w-]{1,64}(?: ?(?:\.|[(\[]dot[)\]]|\bdot\b) ?[\w-]{1,64}){1,6}", re.I)
-NUMBER = re.compile(r"\+?\(?[0-9][0-9 ().\-/]{5,60}[0-9]")
+RUN = re.compile(r"[0-9]++(?:[ ().\-/]*+[0-9]++)*+")
+GROUP = re.compile(r"[0-9]+")
 QUAD = re.compile(r"(?<![0-9])[0-9]{1,3}(?:(?:\.|\[\.\]| \. |,)[0-9]{1,3}){3}(?![0-9])")
 HEXES = re.compile(r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){5,7}(?![0-9A-Fa-f:])")
 CUES = {
@@ -78,6 +81,36 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
+def windows(text: str, start: int, end: int) -> Iterator[Span]:
+    """All neighbouring digit groups of a run, of any length, that together have the digits of a
+    phone or a card; a plus sign or bracket before the first belongs to them."""
+    groups = [m.span() for m in GROUP.finditer(text, start, end)]
+    for i, (first, _) in enumerate(groups):
+        n, at = 0, first - (text[first - 1 : first] == "(")
+        at -= text[at - 1 : at] == "+"
+        for a, b in groups[i:]:
+            n += b - a
+            if n > 19:
+                break
+            if 7 <= n <= 15:
+                yield "phone", at, b
+            if n >= 13:
+                yield "card", at, b
+
+
+def apart(spans: list[Span], others: Iterable[Span]) -> list[Span]:
+    """The spans that overlap none of the others."""
+    ends: list[int] = []
+    starts: list[int] = []
+    for _, a, b in sorted(others, key=lambda s: s[1:]):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return [s for s in spans if (k := bisect_left(starts, s[2])) == 0 or ends[k - 1] <= s[1]]
+
+
 def candidates(text: str) -> list[Span]:
     """Overlapping spans that might be personal data, for the trees to judge."""
     out: list[Span] = []
@@ -86,12 +119,8 @@ def candidates(text: str) -> list[Span]:
         after = AFTER_AT.match(text, m.end())
         if before and after:
             out.append(("email", before.start(), after.end()))
-    for m in NUMBER.finditer(text):
-        n = len(NOT_DIGIT.sub("", m.group()))
-        if 7 <= n <= 15:
-            out.append(("phone", *m.span()))
-        if 13 <= n <= 19:
-            out.append(("card", *m.span()))
+    for m in RUN.finditer(text):
+        out += windows(text, *m.span())
     out += [("ip", *m.span()) for r in (QUAD, HEXES) for m in r.finditer(text)]
     return out
 
@@ -176,25 +205,44 @@ def decoy(rng: random.Random) -> str:
     )
 
 
+def neighbour(rng: random.Random) -> str:
+    """A number that may stand beside another one."""
+    r = rng.randrange
+    return rng.choice([f"{r(10**16):016}", ".".join(str(r(256)) for _ in range(4)), f"+1 {200 + r(800)} {200 + r(800)} {r(10**4):04}"])
+
+
+def checked(text: str, span: Span) -> bool:
+    """Whether a candidate passes a check of its kind, so that it may well be personal data."""
+    kind, start, end = span
+    if kind == "card":
+        return luhn(NOT_DIGIT.sub("", text[start:end]))
+    return kind == "phone" and text[start] == "+"
+
+
 def examples(text: str, key: str) -> tuple[list[list[float]], list[int]]:
-    """Weakly labelled candidates: base spans and variants of them are personal data in their
-    context; other candidates, decoys, and cards that fail their check digit are not."""
+    """Weakly labelled candidates: base spans, variants of them, and both beside another number are
+    personal data in their context; parts of them, decoys, and other candidates without a check are not."""
     rng = random.Random(key)
     base = base_spans(text)
     x, y = [], []
     for kind, start, end in base:
-        for s, label in ((text[start:end], 1), (variant(kind, text[start:end], rng), 1), (decoy(rng), 0)):
-            around = text[max(0, start - 200) : start] + s + text[end : end + 200]
-            at = min(start, 200)
+        own = text[start:end]
+        forms = [(own, 1, "", ""), (variant(kind, own, rng), 1, "", ""), (decoy(rng), 0, "", "")]
+        if kind in ("card", "phone"):
+            number = neighbour(rng)
+            forms.append((own, 1, *rng.choice([("", " " + number), (number + " ", "")])))
+        for s, label, left, right in forms:
+            around = text[max(0, start - 200) : start] + left + s + right + text[end : end + 200]
+            at = min(start, 200) + len(left)
             hits = [c for c in candidates(around) if c[1] < at + len(s) and at < c[2]]
             for c in hits:
                 whole = c[0] == kind and c[1] <= at and c[2] >= at + len(s) - 1
-                if label and c[0] == kind and not whole:
+                if label and c[0] == kind and not whole and kind not in ("card", "phone"):
                     continue
                 x.append(features(around, c))
                 y.append(int(label and whole and c[2] - c[1] <= len(s) + 2))
-    for c in candidates(text):
-        if not any(b[1] < c[2] and c[1] < b[2] for b in base):
+    for c in apart(candidates(text), base):
+        if not checked(text, c):
             x.append(features(text, c))
             y.append(0)
     return x, y
@@ -274,15 +322,19 @@ def all_spans(text: str, model: dict | None) -> tuple[list[Span], list[Span]]:
     base = base_spans(text)
     if model is None:
         return base, base
-    loose = [c for c in candidates(text) if not any(b[1] < c[2] and c[1] < b[2] for b in base)] if base else candidates(text)
-    if not loose:
-        return base, base
-    p = chance(model, np.array([features(text, c) for c in loose], np.float64))
+    loose = apart(candidates(text), base)
+    ranked: list[tuple[float, int]] = []
+    for at in range(0, len(loose), SCORED):
+        p = chance(model, np.array([features(text, c) for c in loose[at : at + SCORED]], np.float64))
+        ranked += [(-v, at + i) for i, v in enumerate(p) if v >= model["limits"][KINDS.index(loose[at + i][0])]]
     taken: list[Span] = []
-    for i in np.argsort(-p, kind="stable"):
-        kind, start, end = loose[i]
-        if p[i] >= model["limits"][KINDS.index(kind)] and not any(t[1] < end and start < t[2] for t in taken):
+    at_start: list[tuple[int, int]] = []  # of the taken spans, which are apart
+    for _, i in sorted(ranked):
+        _, start, end = loose[i]
+        k = bisect_left(at_start, (end,))
+        if k == 0 or at_start[k - 1][1] <= start:
             taken.append(loose[i])
+            insort(at_start, (start, end))
     return base, sorted(base + taken, key=lambda s: (KINDS.index(s[0]), s[1]))
 
 
