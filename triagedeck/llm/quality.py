@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +14,7 @@ from .base import query, table
 
 SAMPLE_DOCS = 4000  # labelled documents that the model is fitted on, at most
 SAMPLE_BYTES = 12_000_000  # of their texts, at most
+LARGEST = 1 / 50  # of these bytes, that one text of the sample may have
 STEP_BYTES = 1_000_000  # of texts whose passages are made at once
 PASSAGE = 512  # bytes
 TRIGRAMS = 256  # hashed kinds of three bytes
@@ -211,7 +213,10 @@ def training_sample(
     sample_docs: int = SAMPLE_DOCS,
     sample_bytes: int = SAMPLE_BYTES,
 ) -> DataFrame:
-    """(text, label) of labelled documents outside fold 0: the first in a hash order, within both bounds."""
+    """(text, label) of labelled documents outside fold 0: the first in a hash order, within both bounds.
+
+    Texts over LARGEST of the bytes are passed over, so that none ends the sample early.
+    """
     known = (
         labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("_y"))
         .filter(F.col("_id").isNotNull() & F.col("_y").isNotNull())
@@ -221,7 +226,7 @@ def training_sample(
     sizes = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.octet_length(text_col), F.lit(0)).alias("_n"))
     first = (
         sizes.join(known, "_id")
-        .filter(id_fold("_id") != 0)
+        .filter((id_fold("_id") != 0) & (F.col("_n") <= sample_bytes * LARGEST))
         .withColumn("_h", F.xxhash64("_id", "_n"))
         .orderBy("_h", "_id", "_n")
         .limit(sample_docs)
@@ -254,8 +259,19 @@ def quality_scores(
 
 
 def quality_model(docs: DataFrame, labels: DataFrame, **options) -> dict[str, np.ndarray]:
-    """The model fitted on the bounded sample; only texts and labels reach it."""
+    """The model fitted on the bounded sample; only texts and labels reach it.
+
+    A sample of one label only is an error, as its model would keep or drop every text alike, and so
+    is one without labels for want of short texts; without any labels all get a half, with a warning.
+    """
     rows = training_sample(docs, labels, **options).collect()
+    found = {r.label for r in rows}
+    if len(found) == 1:
+        raise ValueError(f"all {len(rows)} sampled documents have label {found.pop()}: both labels are needed")
+    if not found:
+        if training_sample(docs, labels, **{**options, "sample_bytes": 1 << 62}).limit(1).count():
+            raise ValueError("all labelled documents are too long for the sample")
+        warnings.warn("no labelled documents to learn from: every text scores a half", stacklevel=2)
     return fit([r.text for r in rows], [r.label for r in rows])
 
 
