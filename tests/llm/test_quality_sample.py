@@ -34,3 +34,16 @@ def test_only_long_texts_are_an_error(spark):
     docs, labels = labelled(spark, [500] * 30)
     with pytest.raises(ValueError):
         quality.quality_model(docs, labels, sample_bytes=1000)
+
+
+def test_fit_holds_the_features_once():
+    """Passages of 24 MB of texts: never twice their features, besides a step's."""
+    import tracemalloc
+
+    texts = ["ab cd " * 1000 for _ in range(4000)]
+    held = sum(-(-len(t) // quality.PASSAGE) for t in texts) * quality.N_FEATURES * 4
+    tracemalloc.start()
+    quality.fit(texts, [1] * len(texts))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert quality.SAMPLE_BYTES == 24_000_000 and peak < 1.9 * held

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .base import query, table
 
 SAMPLE_DOCS = 4000  # labelled documents that the model is fitted on, at most
-SAMPLE_BYTES = 12_000_000  # of their texts, at most
+SAMPLE_BYTES = 24_000_000  # of their texts, at most
 LARGEST = 1 / 50  # of these bytes, that one text of the sample may have
 STEP_BYTES = 1_000_000  # of texts whose passages are made at once
 PASSAGE = 512  # bytes
@@ -140,12 +140,12 @@ def fit(texts: list[str | None], labels: list[int], seed: int = 7) -> dict[str,
     Without both labels the model gives every text the share of label 1 (a half without labels).
     """
     rng = np.random.default_rng(seed)
-    x, first, n = [np.zeros((0, N_FEATURES), np.float32)], [np.zeros(0, np.int64)], 0
-    for own, starts in in_steps(texts):
-        x.append(own)
-        first.append(starts + n)
+    sizes = [max(1, -(-len((t or "").encode()) // PASSAGE)) for t in texts]
+    x, first = np.empty((sum(sizes), N_FEATURES), np.float32), np.cumsum([0, *sizes])[:-1]
+    n = 0
+    for own, _ in in_steps(texts):
+        x[n : n + len(own)] = own
         n += len(own)
-    x, first = np.concatenate(x), np.concatenate(first)
     y = np.asarray(labels, np.float64)
     share = (y.sum() + 0.5) / (len(y) + 1)
 
