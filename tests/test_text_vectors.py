@@ -1,0 +1,26 @@
+"""Sparse text vectors without a bound on the vocabulary."""
+
+from collections import Counter
+
+import numpy as np
+
+from triagedeck.operators import classifiers as cl
+from triagedeck.plans import models
+
+
+def test_vectors_equal_scaled_counts(spark):
+    texts = ["aa bb bb cc", "aa aa aa", "bb cc cc dd", "zz bb", "!!", None]
+    rows = [(i, t, i < 3) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "bug_id long, description string, tr boolean")
+    got = {r.bug_id: r.features for r in cl.text_vectors(df, "tr", "bug_id", "description", ["tr"]).collect()}
+    counts = [Counter((t or "").split()) for t in texts]
+    x = np.array([[c[w] for w in ("aa", "bb", "cc", "dd")] for c in counts], float)
+    want = x / x[:3].max(axis=0)
+    have = np.array([got[i].toArray() for i in range(len(texts))])
+    assert have.shape == want.shape and np.allclose(sorted(map(tuple, have.T)), sorted(map(tuple, want.T)))
+
+
+def test_no_vocabulary_is_refused(spark, monkeypatch):
+    monkeypatch.setattr(cl, "MAX_VOCABULARY", 4, raising=False)
+    rows = models._text_vectors(spark, "/root/testdata/sf0.001")
+    assert rows.first()["features"].size > 4

@@ -6,51 +6,53 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     LinearSVC,
     LogisticRegression,
     MultilayerPerceptronClassifier,
 )
-from pyspark.ml.feature import CountVectorizer, MaxAbsScaler, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from ..functions import text as tx
 from ..functions.numbers import FAILED
+from ..session import materialise
 from .curves import auc
+from .features import binary_counts, term_counts
 from .metrics import accuracy
+from .ranks import shuffled_rank
 
-MAX_VOCABULARY = 1 << 20
+MAX_PLACES = (1 << 31) - 1  # of a vector: its places are 32-bit numbers
 
 
-def text_features(binary: bool = False, text: str = "description") -> Pipeline:
-    """Counts of vocabulary terms, scaled by their training maximum, as sparse vectors.
+def text_vectors(df: DataFrame, train: Column | str, key: str, text: str, keep: Sequence[str], binary: bool = False) -> DataFrame:
+    """``key``, ``keep`` and ``features``: counts of the training texts' terms, each scaled by its
+    training maximum, as sparse vectors.
 
-    Equal to min-max scaling for every term that some training text lacks, and stays
-    sparse. For more terms than the vector limit use the long form of ``features``.
+    Equal to min-max scaling for every term that some training text lacks, and stays sparse.
+    Terms are numbered by rank in a hash order, so the driver holds only their number;
+    a vector has places for 2^31 - 1. ``keep`` names columns that depend on the key.
     """
-    return Pipeline(
-        stages=[
-            RegexTokenizer(
-                inputCol=text, outputCol="_terms", pattern=tx.TERM_PATTERN, gaps=False
-            ),
-            CountVectorizer(
-                inputCol="_terms", outputCol="_counts", binary=binary, vocabSize=MAX_VOCABULARY
-            ),
-            MaxAbsScaler(inputCol="_counts", outputCol="features"),
-        ]
+    known = df.select(key, *keep, text)
+    counts = term_counts(known.withColumn("_train", F.expr(train) if isinstance(train, str) else train), key, text, ["_train"])
+    if binary:
+        counts = binary_counts(counts)
+    counts = materialise(counts, "counts")
+    tops = counts.filter("_train").groupBy("term").agg(F.max("n").alias("_top"))
+    terms = materialise(shuffled_rank(tops, "term", 0), "terms")
+    size = max(terms.count(), 1)
+    if size > MAX_PLACES:
+        raise ValueError("more terms than a vector has places: use the long-form features")
+    cells = (
+        counts.join(terms, "term")
+        .groupBy(key)
+        .agg(F.sort_array(F.collect_list(F.struct((F.col("rank") - 1).alias("i"), (F.col("n") / F.col("_top")).alias("v")))).alias("_cells"))
     )
-
-
-def fit_text_features(train: DataFrame, binary: bool = False, text: str = "description") -> PipelineModel:
-    """Fit on training texts; refuses a vocabulary the vectors would have to cut."""
-    model = text_features(binary, text).fit(train)
-    if len(model.stages[1].vocabulary) >= MAX_VOCABULARY:
-        raise ValueError("vocabulary exceeds the vector limit: use the long-form features")
-    return model
+    pack = F.udf(lambda c: Vectors.sparse(size, [x.i for x in c or []], [x.v for x in c or []]), VectorUDT())
+    return known.drop(text).join(cells, key, "left").withColumn("features", pack("_cells")).drop("_cells")
 
 
 def balanced_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:

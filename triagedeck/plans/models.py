@@ -596,8 +596,8 @@ def _quality(scored, classifier):
 
 def _text_vectors(spark, sf):
     s = stratified_split(docs(spark, sf), KEY, LABEL).withColumnRenamed(LABEL, "y")
-    model = cl.fit_text_features(s.filter("split = 'tr'"))
-    return materialise(model.transform(s).select(KEY, "y", "split", "features"), "vectors")
+    vectors = cl.text_vectors(s, "split = 'tr'", KEY, "description", ["y", "split"])
+    return materialise(vectors, "vectors")
 
 
 def _svm(rows, name, c=1.0, balanced=False):
