@@ -204,7 +204,7 @@ def crc_sql(text: str) -> str:
         "list_reduce(list_prepend(xor(crc, b), [0, 1, 2, 3, 4, 5, 6, 7]::BIGINT[]),"
         " lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)"
     )
-    codes = f"list_transform(string_split(coalesce({text}, ''), ''), lambda c: ascii(c)::BIGINT)"
+    codes = f"[ascii(c)::BIGINT FOR c IN string_split(coalesce({text}, ''), '') IF c <> '']"
     return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda crc, b: {step}), 4294967295)"
 
 
