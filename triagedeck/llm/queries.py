@@ -1,6 +1,7 @@
 """Imports every operator of the subpackage, which registers its query."""
 
 from . import (  # noqa: F401
+    context_trees,
     conversations,
     embedding_dedup,
     fingerprints,
