@@ -14,23 +14,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+import zstandard
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
 from .base import query, rows_of, table
 
-DEPTH = 4  # bytes of the longest context; at most 6, so that a context, its byte and its bit fit a long
+DEPTH = 5  # bytes of the longest context; at most 6, so that a context, its byte and its bit fit a long
 END = b"\n"
 PIECE_BYTES = 1 << 20  # a longer text is cut behind the next space
-BLOCK_BYTES = 1 << 24  # texts whose contexts are asked for together
+CHUNK_BYTES = 1 << 18  # pieces compressed together
+BLOCK_BYTES = 1 << 26  # texts whose contexts are asked for together
 UNIQUE_BYTES = 1 << 22  # bytes whose contexts are sorted at a time
 ALPHA = 0.1
 LOG_PI = math.log(math.pi)
 
-PIECES = "block long, row long, doc_id long, train boolean, lead int, body binary"
-WANTED = "block long, gram long, word binary, n long"
-PARTS = "row long, doc_id long, train boolean, n_tokens long, n_known long, n_bytes long, base double, bits double"
+CHUNKS = "block long, row array<long>, doc_id array<long>, train array<boolean>, size array<long>, body binary"
+PARTS = "row long, doc_id long, train boolean, n_tokens long, n_known long, n_bytes long, base double, bits double, n_new long"
 
 
 def token_bytes(text: str | None) -> bytes:
@@ -39,15 +41,24 @@ def token_bytes(text: str | None) -> bytes:
 
 
 def _cut(depth: int, piece_bytes: int, block_bytes: int):
-    """Documents -> pieces with the bytes before them, numbered by block."""
+    """Documents -> pieces with the bytes before them, compressed in chunks and numbered by block."""
+
+    def chunk(block: int, held: list[tuple]) -> pa.RecordBatch:
+        row, doc, train, parts = zip(*held)
+        body = zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
+        kinds = {"row": (row, pa.int64()), "doc_id": (doc, pa.int64()), "train": (train, pa.bool_())}
+        kinds["size"] = ([len(x) for x in parts], pa.int64())
+        lists = [pa.array([list(v)], pa.list_(k)) for v, k in kinds.values()]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([block]), *lists, pa.array([body], pa.binary())], ["block", *kinds, "body"]
+        )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         first = TaskContext.get().partitionId() << 33
-        block, row, held = first, first, 0
+        block, row, held, size, in_block = first, first, [], 0, 0
         for batch in rows_of(batches, 256):
-            out: list[tuple] = []
             for doc, train, text in zip(*(c.to_pylist() for c in batch.columns)):
                 whole = token_bytes(text)
                 at = 0
@@ -55,21 +66,32 @@ def _cut(depth: int, piece_bytes: int, block_bytes: int):
                     end = whole.find(b" ", at + piece_bytes) + 1 or len(whole)
                     if len(whole) - end <= 1:  # the end byte stays with its last word
                         end = len(whole)
-                    lead = whole[max(0, at - depth) : at].rjust(depth, END)
-                    if held and held + end - at > block_bytes:
-                        block, held = block + 1, 0
-                    held += end - at
-                    out.append((block, row, doc, train, depth, lead + whole[at:end]))
+                    full = in_block and in_block + end - at > block_bytes
+                    if held and (full or size + end - at > CHUNK_BYTES):
+                        yield chunk(block, held)
+                        held, size = [], 0
+                    if full:
+                        block, in_block = block + 1, 0
+                    held.append((row, doc, train, whole[max(0, at - depth) : at].rjust(depth, END) + whole[at:end]))
+                    size, in_block = size + end - at, in_block + end - at
                     at = end
                 row += 1
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary())
-            names = [x.split()[0] for x in PIECES.split(", ")]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out), kinds)], names)
+        if held:
+            yield chunk(block, held)
 
     return cut
 
 
+def _pieces(chunks: pa.RecordBatch | pa.Table) -> Iterator[tuple]:
+    """(block, row, doc_id, train, body) of every piece, one chunk unpacked at a time."""
+    for at in range(chunks.num_rows):
+        block, rows, docs, trains, sizes, body = (chunks.column(n)[at].as_py() for n in ("block", "row", "doc_id", "train", "size", "body"))
+        whole, start = zstandard.ZstdDecompressor().decompress(body), 0
+        for row, doc, train, size in zip(rows, docs, trains, sizes):
+            yield block, row, doc, train, whole[start : start + size]
+            start += size
+
+
 def grams(body: bytes, depth: int) -> np.ndarray:
     """Each byte behind the first ``depth`` ones, with the ``depth`` bytes before it, as one number."""
     data = np.frombuffer(body, np.uint8).astype(np.int64)
@@ -80,103 +102,96 @@ def grams(body: bytes, depth: int) -> np.ndarray:
     return out
 
 
-def words_of(body: bytes, lead: int) -> list[bytes]:
+def words_of(body: bytes, depth: int) -> list[bytes]:
     """Tokens of a piece; the end of a text is an empty word."""
-    own = body[lead:]
+    own = body[depth:]
     return own.split() + [b""] * own.endswith(END)
 
 
-class _Counts:
-    """Distinct contexts and words of the pieces of one block, with their numbers in training documents."""
+class _Grams:
+    """Distinct contexts and bytes of one block, with their number in training documents."""
 
     def __init__(self, depth: int):
-        self.depth, self.words, self.seen = depth, Counter(), set()
-        self.parts, self.waiting, self.size = [], [], 0
-
-    def add(self, train: bool, lead: int, body: bytes) -> None:
-        own = words_of(body, lead)
-        if train:
-            self.words.update(own)
-        else:
-            self.seen.update(own)
+        self.depth, self.parts, self.waiting, self.size = depth, [], [], 0
+
+    def add(self, train: bool, body: bytes) -> None:
         self.waiting.append((train, grams(body, self.depth)))
         self.size += len(body)
         if self.size >= UNIQUE_BYTES:
-            self._reduce()
+            self.reduce()
 
-    def _reduce(self) -> None:
+    def reduce(self) -> None:
         for kind in (True, False):
             found = [g for train, g in self.waiting if train == kind]
             if found:
                 keys, n = np.unique(np.concatenate(found), return_counts=True)
                 self.parts.append((keys, n if kind else np.zeros_like(n)))
         self.waiting, self.size = [], 0
+        if len(self.parts) > 8:
+            self.parts = [self.united()]
 
-    def batch(self, block: int) -> pa.RecordBatch:
-        self._reduce()
+    def united(self) -> tuple[np.ndarray, np.ndarray]:
         keys, at = np.unique(np.concatenate([k for k, _ in self.parts]), return_inverse=True)
-        n = np.bincount(at, np.concatenate([c for _, c in self.parts]), len(keys)).astype(np.int64)
-        words = list(self.words) + [w for w in self.seen if w not in self.words]
-        total = len(keys) + len(words)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.full(total, block, np.int64)),
-                pa.concat_arrays([pa.array(keys), pa.nulls(len(words), pa.int64())]),
-                pa.concat_arrays([pa.nulls(len(keys), pa.binary()), pa.array(words, pa.binary())]),
-                pa.concat_arrays([pa.array(n), pa.array([self.words[w] for w in words], pa.int64())]),
-            ],
-            ["block", "gram", "word", "n"],
-        )
+        return keys, np.bincount(at, np.concatenate([c for _, c in self.parts]), len(keys)).astype(np.int64)
+
+    def batch(self, block: int) -> pa.RecordBatch:
+        self.reduce()
+        keys, n = self.united()
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), block)), pa.array(keys), pa.array(n)], ["block", "gram", "n"])
+
+
+class _Words:
+    """Distinct tokens of one block, with their number in training documents."""
 
+    def __init__(self, depth: int):
+        self.depth, self.counts, self.others = depth, Counter(), set()
+
+    def add(self, train: bool, body: bytes) -> None:
+        (self.counts if train else self.others).update(words_of(body, self.depth))
+
+    def batch(self, block: int) -> pa.RecordBatch:
+        words = sorted(self.counts.keys() | self.others)
+        n = pa.array([self.counts.get(w, 0) for w in words], pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(words), block)), pa.array(words, pa.binary()), n], ["block", "word", "n"])
 
-def _count(depth: int):
-    """Pieces -> what each block needs to know. A block that two tasks read asks twice."""
+
+def _count(kind: type, depth: int):
+    """Chunks -> what each block needs to know. A block that two tasks read asks twice."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, None
-        for batch in rows_of(batches, 256):
-            for block, train, lead, body in zip(*(c.to_pylist() for c in batch.columns)):
+        for batch in batches:
+            for block, _, _, train, body in _pieces(batch):
                 if block != now:
                     if held:
                         yield from rows_of([held.batch(now)], 1 << 16)
-                    now, held = block, _Counts(depth)
-                held.add(train, lead, body)
+                    now, held = block, kind(depth)
+                held.add(train, body)
         if held:
             yield from rows_of([held.batch(now)], 1 << 16)
 
     return count
 
 
-def _answered(rows: np.ndarray, values: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    return values[np.searchsorted(rows, keys)]
-
+def _score(depth: int):
+    """Chunks of one block beside the answers for it -> sums of its pieces, and the training words first met in it."""
 
-def _score(depth: int, n_train: int, n_words: int):
-    """Pieces of one block beside the answers for it -> their sums."""
-    scale = math.log10(n_train + ALPHA * (n_words + 1))
-
-    def score(pieces: pa.Table, answers: pa.Table) -> pa.Table:
-        is_gram = answers.column("gram").is_valid()
-        told = answers.filter(is_gram)
+    def score(chunks: pa.Table, answers: pa.Table) -> pa.Table:
+        told = answers.filter(answers.column("gram").is_valid())
         keys = told.column("gram").to_numpy()
         order = np.argsort(keys, kind="stable")
         keys, bits = keys[order], told.column("value").to_numpy()[order]
         told = answers.filter(answers.column("word").is_valid())
         counts = dict(zip(told.column("word").to_pylist(), told.column("value").to_pylist()))
+        new = pc.sum(told.column("is_new")).as_py() or 0
         out = []
-        for at in range(0, pieces.num_rows, 256):
-            few = pieces.slice(at, 256)
-            for row, doc, train, lead, body in zip(*(few.column(n).to_pylist() for n in ("row", "doc_id", "train", "lead", "body"))):
-                found = [counts[w] for w in words_of(body, lead)]
-                own = np.asarray(found, np.float64)
-                out.append(
-                    (
-                        row, doc, train, len(found), int((own > 0).sum()), len(body) - lead,
-                        float((np.log10(own + ALPHA) - scale).sum()),
-                        float(_answered(keys, bits, grams(body, depth)).sum()),
-                    )
-                )
-        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        for _, row, doc, train, body in _pieces(chunks):
+            found = np.fromiter((counts[w] for w in words_of(body, depth)), np.float64)
+            lengths = bits[np.searchsorted(keys, grams(body, depth))]
+            known, base = int((found > 0).sum()), float(np.log10(found + ALPHA).sum())
+            out.append((row, doc, train, len(found), known, len(body) - depth, base, float(lengths.sum()), new))
+            new = 0
+        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
         names = [x.split()[0] for x in PARTS.split(", ")]
         return pa.table([pa.array(v, k) for v, k in zip(zip(*out) if out else [[]] * len(kinds), kinds)], names=names)
 
@@ -187,7 +202,8 @@ def log_gamma(x: Column) -> Column:
     """ln Γ(x) for x > 0 by Stirling's series, eight steps up; good to 1e-12."""
     z = x + 8
     series = (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi)
-    series = series + 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * z * z * z * z * z)
+    inverse = 1 / (z * z)
+    series = series + (1 / 12 - inverse * (1 / 360 - inverse * (1 / 1260 - inverse * (1 / 1680 - inverse / 1188)))) / z
     low = x * (x + 1) * (x + 2) * (x + 3)
     high = (x + 4) * (x + 5) * (x + 6) * (x + 7)
     return series - F.log(low) - F.log(high)
@@ -199,16 +215,8 @@ def kt_log(a: Column, b: Column) -> Column:
     return F.when(a + b == 0, F.lit(0.0)).otherwise(value)
 
 
-def _bits(counted: DataFrame) -> DataFrame:
-    """Eight rows (gram, node, bit, n) for each counted context and byte; node = context, then 1 and the bits before."""
-    bit = F.explode(F.sequence(F.lit(0), F.lit(7))).alias("_i")
-    rows = counted.select("gram", "n", bit)
-    return rows.select(
-        "gram",
-        "n",
-        F.expr("shiftleft(shiftright(gram, 8), 8) | shiftleft(1L, _i) | shiftright(gram & 255, 8 - _i)").alias("node"),
-        F.expr("shiftright(gram, 7 - _i) & 1").alias("bit"),
-    )
+NODE = "shiftleft(1, i) | shiftright(byte, 8 - i)"  # a one, then the bits of the byte before the i-th
+BIT = "shiftright(byte, 7 - i) & 1"
 
 
 def tree(counted: DataFrame, depth: int = DEPTH) -> list[DataFrame]:
@@ -218,8 +226,12 @@ def tree(counted: DataFrame, depth: int = DEPTH) -> list[DataFrame]:
     children. Level by level, nodes are summed into the context without its first byte; map tasks
     sum first, so the shortest contexts are no hot keys.
     """
+    context = counted.select(F.shiftright("gram", 8).alias("context"), F.expr("int(gram & 255)").alias("byte"), "n")
+    choices = context.repartition("context").select("*", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("i"))
+    choices = choices.select("context", F.expr(NODE).alias("node"), F.expr(BIT).alias("bit"), "n")
     a, b = F.sum(F.expr("if(bit = 0, n, 0L)")), F.sum(F.expr("if(bit = 1, n, 0L)"))
-    deepest = _bits(counted).groupBy("node").agg(a.alias("a"), b.alias("b"))
+    deepest = choices.groupBy("context", "node").agg(a.alias("a"), b.alias("b"))
+    deepest = deepest.select(F.expr("shiftleft(context, 8) | node").alias("node"), "a", "b")
     own = kt_log(F.col("a"), F.col("b"))
     levels = [materialise(deepest.withColumn("own", own).withColumn("below", F.col("own")), f"tree_{depth}")]
     for d in range(depth - 1, -1, -1):
@@ -253,11 +265,17 @@ def predictions(levels: list[DataFrame]) -> DataFrame:
 def code_lengths(counted: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(gram, value): bits of a byte behind its context, for counted (gram, n); n may be 0.
 
-    Contexts that no training document has count nothing and change no other node: their choices are even.
+    Contexts that no training document has count nothing and change no other node: their choices are even. The at most
+    255 choices of a context are gathered into one row.
     """
-    p = predictions(tree(counted, depth))
-    chosen = F.when(F.col("bit") == 1, F.col("p")).otherwise(1 - F.col("p"))
-    return _bits(counted).join(p, "node").groupBy("gram").agg((-F.sum(F.log2(chosen))).alias("value"))
+    p = predictions(tree(counted, depth)).select(
+        F.shiftright("node", 8).alias("context"), F.struct(F.expr("int(node & 255)").alias("node"), "p").alias("e")
+    )
+    p = p.groupBy("context").agg(F.map_from_entries(F.collect_list("e")).alias("p"))
+    rows = counted.select("gram", F.shiftright("gram", 8).alias("context"), F.expr("int(gram & 255)").alias("byte"))
+    chosen = f"if(({BIT}) = 1, p[{NODE}], 1 - p[{NODE}])"
+    value = f"aggregate(sequence(0, 7), 0D, (acc, i) -> acc - log2({chosen}))"
+    return rows.join(p, "context").select("gram", F.expr(value).alias("value"))
 
 
 def score_texts(
@@ -277,44 +295,37 @@ def score_texts(
 
     Texts are cut into pieces that overlap by a context and written in blocks. A block asks for each of its contexts and
     words once; their counts are summed over all blocks, the trees are made from all of them, and the answers go back to the
-    blocks that asked. So no task holds more than a block's texts and answers, and nothing is broadcast. A text
-    is cut only behind spaces: one word longer than a piece stays whole. Missing and empty texts are one end. Repeated rows are scored
-    each; a table without training rows gives even choices; an empty table an empty result; other columns are not
-    looked at.
+    blocks that asked. A context or word has one row a block at most, so none is a hot key, and no task
+    holds more than a block's texts and answers; nothing is broadcast. A text is cut only behind spaces: one
+    word longer than a piece stays whole. Missing and empty texts are one end. Repeated rows are scored each; a
+    table without training rows gives even choices; an empty table an empty result; other columns are not looked
+    at.
     """
-    spark = docs.sparkSession
     rows = docs.select(
         F.col(f"`{id_col}`").cast("long").alias("doc_id"),
         F.coalesce(train, F.lit(False)).alias("train"),
         F.col(f"`{text_col}`").alias("text"),
     )
-    pieces = materialise(rows.mapInArrow(_cut(depth, piece_bytes, block_bytes), PIECES), "pieces")
-    asked = pieces.select("block", "train", "lead", "body").mapInArrow(_count(depth), WANTED)
-    asked = materialise(asked, "wanted")
-    by_gram = asked.filter("gram is not null").groupBy("gram").agg(F.sum("n").alias("n"))
-    by_word = materialise(asked.filter("word is not null").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    known = by_word.filter("n > 0").agg(F.sum("n"), F.count("n")).first()
-    n_train, n_words = known[0] or 0, known[1]
-    lengths = materialise(code_lengths(materialise(by_gram, "grams"), depth), "code_lengths")
-    answers = (
-        asked.select("block", "gram")
-        .filter("gram is not null")
-        .distinct()
-        .join(lengths, "gram")
-        .select("block", "gram", F.lit(None).cast("binary").alias("word"), "value")
-        .union(
-            asked.filter("word is not null")
-            .select("block", "word")
-            .distinct()
-            .join(by_word, "word")
-            .select("block", F.lit(None).cast("long"), "word", F.col("n").cast("double"))
-        )
+    chunks = materialise(rows.mapInArrow(_cut(depth, piece_bytes, block_bytes), CHUNKS), "chunks")
+    by_block = materialise(chunks.mapInArrow(_count(_Grams, depth), "block long, gram long, n long"), "contexts")
+    counted = materialise(by_block.groupBy("gram").agg(F.sum("n").alias("n")), "grams")
+    lengths = materialise(code_lengths(counted, depth), "code_lengths")
+    same = Window.partitionBy("word")
+    total = F.sum("n").over(same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    first = F.row_number().over(same.orderBy("block")) == 1
+    words = (
+        chunks.mapInArrow(_count(_Words, depth), "block long, word binary, n long")
+        .select("block", "word", total.cast("double").alias("value"), first.alias("_first"))
+        .select("block", F.lit(None).cast("long").alias("gram"), "word", "value", (F.col("_first") & (F.col("value") > 0)).alias("is_new"))
     )
-    parts = (
-        pieces.groupBy("block")
-        .cogroup(answers.groupBy("block"))
-        .applyInArrow(_score(depth, n_train, n_words), PARTS)
+    contexts = by_block.join(lengths, "gram").select(
+        "block", "gram", F.lit(None).cast("binary").alias("word"), "value", F.lit(None).cast("boolean").alias("is_new")
     )
+    parts = chunks.groupBy("block").cogroup(contexts.union(words).groupBy("block")).applyInArrow(_score(depth), PARTS)
+    parts = materialise(parts, "scores")
+    known = parts.agg(F.sum("n_new"), F.sum(F.expr("if(train, n_tokens, 0)"))).first()
+    n_words, n_train = known[0] or 0, known[1] or 0
+    scale = math.log10(n_train + ALPHA * (n_words + 1))
     summed = parts.groupBy("row").agg(
         F.first("doc_id").alias("doc_id"),
         F.first("train").alias("train"),
@@ -327,7 +338,7 @@ def score_texts(
         "n_known",
         F.lit(n_train).cast("long").alias("train_tokens"),
         "n_bytes",
-        F.col("base").alias("base_score"),
+        (F.col("base") - F.col("n_tokens") * scale).alias("base_score"),
         (-F.col("bits") * math.log10(2)).alias("score"),
         (F.col("bits") / F.col("n_bytes")).alias("bits_per_byte"),
     )
