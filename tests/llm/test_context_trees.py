@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,3 +129,10 @@ def test_query_folds_and_beats_the_base_on_held_out_texts(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 10 == 0) for r in rows) and len(rows) == 1000
     held = [r for r in rows if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_table_finds_every_key():
+    rng = np.random.default_rng(3)
+    keys = rng.integers(0, 1 << 48, 5000)
+    table = ct._Table(np.concatenate([keys, keys[:9]]), np.concatenate([keys, keys[:9]]).astype(float))
+    assert (table[keys[::-1]] == keys[::-1]).all()

@@ -82,14 +82,12 @@ def _cut(depth: int, piece_bytes: int, block_bytes: int):
     return cut
 
 
-def _pieces(chunks: pa.RecordBatch | pa.Table) -> Iterator[tuple]:
-    """(block, row, doc_id, train, body) of every piece, one chunk unpacked at a time."""
+def _unpacked(chunks: pa.RecordBatch | pa.Table) -> Iterator[tuple]:
+    """(block, rows, doc_ids, trains, starts, sizes, bytes) of every chunk, one unpacked at a time."""
     for at in range(chunks.num_rows):
-        block, rows, docs, trains, sizes, body = (chunks.column(n)[at].as_py() for n in ("block", "row", "doc_id", "train", "size", "body"))
-        whole, start = zstandard.ZstdDecompressor().decompress(body), 0
-        for row, doc, train, size in zip(rows, docs, trains, sizes):
-            yield block, row, doc, train, whole[start : start + size]
-            start += size
+        block, *lists, body = (chunks.column(n)[at].as_py() for n in ("block", "row", "doc_id", "train", "size", "body"))
+        sizes = np.asarray(lists[3], np.int64)
+        yield block, *lists[:3], np.cumsum(sizes) - sizes, sizes, zstandard.ZstdDecompressor().decompress(body)
 
 
 def grams(body: bytes, depth: int) -> np.ndarray:
@@ -114,8 +112,13 @@ class _Grams:
     def __init__(self, depth: int):
         self.depth, self.parts, self.waiting, self.size = depth, [], [], 0
 
-    def add(self, train: bool, body: bytes) -> None:
-        self.waiting.append((train, grams(body, self.depth)))
+    def add(self, trains: list[bool], starts: np.ndarray, sizes: np.ndarray, body: bytes) -> None:
+        keys = grams(body, self.depth)
+        inside = np.ones(len(body), bool)  # not those that begin in the last bytes of a piece
+        inside[((starts + sizes)[:, None] - np.arange(1, self.depth + 1)).ravel()] = False
+        train = np.repeat(np.asarray(trains, bool), sizes)
+        for kind in (True, False):
+            self.waiting.append((kind, keys[(inside & (train == kind))[: len(keys)]]))
         self.size += len(body)
         if self.size >= UNIQUE_BYTES:
             self.reduce()
@@ -146,8 +149,9 @@ class _Words:
     def __init__(self, depth: int):
         self.depth, self.counts, self.others = depth, Counter(), set()
 
-    def add(self, train: bool, body: bytes) -> None:
-        (self.counts if train else self.others).update(words_of(body, self.depth))
+    def add(self, trains: list[bool], starts: np.ndarray, sizes: np.ndarray, body: bytes) -> None:
+        for train, start, size in zip(trains, starts.tolist(), sizes.tolist()):
+            (self.counts if train else self.others).update(words_of(body[start : start + size], self.depth))
 
     def batch(self, block: int) -> pa.RecordBatch:
         words = sorted(self.counts.keys() | self.others)
@@ -161,36 +165,69 @@ def _count(kind: type, depth: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, None
         for batch in batches:
-            for block, _, _, train, body in _pieces(batch):
+            for block, _, _, *pieces in _unpacked(batch):
                 if block != now:
                     if held:
                         yield from rows_of([held.batch(now)], 1 << 16)
                     now, held = block, kind(depth)
-                held.add(train, body)
+                held.add(*pieces)
         if held:
             yield from rows_of([held.batch(now)], 1 << 16)
 
     return count
 
 
+class _Table:
+    """Values by number in an open table of twice their size, read a whole array at a time."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(4, int(2 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits)
+        at, left = self.places(keys), np.arange(len(keys))
+        while len(left):
+            free = self.keys[at] == -1
+            self.keys[at[free]] = keys[left[free]]  # of several, the last one stays
+            stays = self.keys[at] == keys[left]
+            self.values[at[stays]] = values[left[stays]]
+            at, left = (at[~stays] + 1) & self.mask, left[~stays]
+
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def __getitem__(self, keys: np.ndarray) -> np.ndarray:
+        """Every key must be there."""
+        at = self.places(keys)
+        off = np.flatnonzero(self.keys[at] != keys)
+        while len(off):
+            at[off] = (at[off] + 1) & self.mask
+            off = off[self.keys[at[off]] != keys[off]]
+        return self.values[at]
+
+
 def _score(depth: int):
     """Chunks of one block beside the answers for it -> sums of its pieces, and the training words first met in it."""
 
     def score(chunks: pa.Table, answers: pa.Table) -> pa.Table:
         told = answers.filter(answers.column("gram").is_valid())
-        keys = told.column("gram").to_numpy()
-        order = np.argsort(keys, kind="stable")
-        keys, bits = keys[order], told.column("value").to_numpy()[order]
+        bits = _Table(told.column("gram").to_numpy(), told.column("value").to_numpy())
         told = answers.filter(answers.column("word").is_valid())
-        counts = dict(zip(told.column("word").to_pylist(), told.column("value").to_pylist()))
+        count = dict(zip(told.column("word").to_pylist(), told.column("value").to_pylist())).__getitem__
         new = pc.sum(told.column("is_new")).as_py() or 0
         out = []
-        for _, row, doc, train, body in _pieces(chunks):
-            found = np.fromiter((counts[w] for w in words_of(body, depth)), np.float64)
-            lengths = bits[np.searchsorted(keys, grams(body, depth))]
-            known, base = int((found > 0).sum()), float(np.log10(found + ALPHA).sum())
-            out.append((row, doc, train, len(found), known, len(body) - depth, base, float(lengths.sum()), new))
-            new = 0
+        for _, rows, docs, trains, starts, sizes, body in _unpacked(chunks):
+            keys = grams(body, depth)
+            cross = np.ones(len(body), bool)
+            cross[((starts + sizes)[:, None] - np.arange(1, depth + 1)).ravel()] = False
+            inside = np.flatnonzero(cross[: len(keys)])
+            lengths = np.zeros(len(body))
+            lengths[inside] = bits[keys[inside]]
+            for row, doc, train, start, size in zip(rows, docs, trains, starts.tolist(), sizes.tolist()):
+                found = np.array([*map(count, words_of(body[start : start + size], depth))], np.float64)
+                known, base = int((found > 0).sum()), float(np.log10(found + ALPHA).sum())
+                length = float(lengths[start : start + size - depth].sum())
+                out.append((row, doc, train, len(found), known, size - depth, base, length, new))
+                new = 0
         kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
         names = [x.split()[0] for x in PARTS.split(", ")]
         return pa.table([pa.array(v, k) for v, k in zip(zip(*out) if out else [[]] * len(kinds), kinds)], names=names)
