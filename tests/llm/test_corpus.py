@@ -5,10 +5,12 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -306,12 +308,57 @@ def test_gradients_agree_with_differences():
         m[name][at] += 1e-5
 
 
-def test_pipeline_stages(spark, docs):
+def pipeline_folder(spark, docs, labels):
     folder = fresh_folder(spark, "test_sf")
-    docs.select("doc_id", "text", "source").write.parquet(f"{folder}/documents.parquet")
-    spark.createDataFrame([(i, 1, 0) for i in range(30)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return folder
+
+
+def test_pipeline_stages(spark, docs):
+    folder = pipeline_folder(spark, docs.select("doc_id", "text", "source"), [(i, int(i % 3 > 0), 0) for i in range(30)])
     now = spark.read.parquet(f"{folder}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
         now = stage(spark, now, folder)
         assert now.columns == ["doc_id", "text", "source"], name
     assert corpus_pipeline.run(spark, folder).filter("length > 4096").count() == 0
+
+
+def test_pipeline_needs_both_labels(spark, docs):
+    folder = pipeline_folder(spark, docs.select("doc_id", "text", "source"), [(i, 1, 0) for i in range(30)])
+    with pytest.raises(ValueError, match="label 1"):
+        corpus_pipeline.run(spark, folder)
+
+
+CLASHES = ["_score", "_text", "_quality", "quality", "_ld_id", "_ld_drops", "n_lines", "n_dropped", "_mix", "_at", "_own", "_nth", "rest", "pos", "_none_", "n_chars", "_salt"]
+
+
+def test_pipeline_stages_keep_clashing_columns(spark, docs):
+    extra = docs.select("doc_id", "text", "source", *[F.concat(F.lit(c + " of "), F.col("doc_id").cast("string")).alias(c) for c in CLASHES if c != "n_chars"], F.lit(-1).cast("long").alias("n_chars"))
+    folder = pipeline_folder(spark, extra, [(i, int(i % 3 > 0), 0) for i in range(30)])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
+        assert got.dtypes == extra.dtypes, name
+        for r in got.limit(5).collect():
+            for c in CLASHES:
+                if c != "n_chars" and r.doc_id is not None:
+                    assert r[c] == f"{c} of {r.doc_id}", (name, c)
+
+
+def test_near_dedup_stage_keeps_one_of_repeated_rows(spark):
+    body = " ".join(f"w{i}" for i in range(50))
+    told = [(1, body), (1, body), (2, body), (None, body), (3, "other words entirely here now"), (3, body + " more"), (4, "")]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in told], "doc_id long, text string, source string")
+    got = corpus_pipeline.keep_one_of_each_group(spark, docs, "")
+    assert sorted((r.doc_id, r.text) for r in got.collect()) == [(1, body), (3, "other words entirely here now"), (4, "")]
+
+
+def test_odd_pieces_pair_with_the_next_length():
+    lengths = range(1400, 2000, 10)
+    plan = packing.plan_sequences({n: 1 for n in lengths}, 4096)
+    assert max(first + -(-(hi - lo + 1) // each) for _, lo, hi, first, each, _ in plan) == 30
+    fill = Counter()
+    for length, lo, hi, first, each, _ in plan:
+        for k in range(hi - lo + 1):
+            fill[first + k // each] += length
+    assert sum(fill.values()) == sum(lengths) and max(fill.values()) <= 4096

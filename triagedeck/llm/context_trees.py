@@ -26,8 +26,8 @@ DEPTH = 5  # bytes of the longest context; at most 6, so that a context, its byt
 END = b"\n"
 PIECE_BYTES = 1 << 20  # a longer text is cut behind the next space
 CHUNK_BYTES = 1 << 18  # pieces compressed together
-BLOCK_BYTES = 1 << 26  # texts whose contexts are asked for together
-UNIQUE_BYTES = 1 << 22  # bytes whose contexts are sorted at a time
+BLOCK_BYTES = 1 << 25  # texts whose contexts are asked for together
+UNIQUE_BYTES = 1 << 21  # bytes whose contexts are sorted at a time
 ALPHA = 0.1
 LOG_PI = math.log(math.pi)
 
@@ -130,7 +130,7 @@ class _Grams:
                 keys, n = np.unique(np.concatenate(found), return_counts=True)
                 self.parts.append((keys, n if kind else np.zeros_like(n)))
         self.waiting, self.size = [], 0
-        if len(self.parts) > 8:
+        if len(self.parts) > 4:
             self.parts = [self.united()]
 
     def united(self) -> tuple[np.ndarray, np.ndarray]:

@@ -54,9 +54,11 @@ def plan_sequences(counts: Mapping[int, int], capacity: int = CAPACITY) -> list[
     while large:
         a = large[-1]
         at = bisect_right(large, capacity - a) - 1
+        if at >= 0 and large[at] == a and left[a] < 2:
+            at -= 1  # an odd piece goes with the next shorter one
         b = large[at] if at >= 0 else None
-        if b is None or (b == a and left[a] < 2):
-            n, b = left[a], None
+        if b is None:
+            n = left[a]
         else:
             n = left[a] // 2 if a == b else min(left[a], left[b])
         put(a, n, n_bins, 1, 0)
