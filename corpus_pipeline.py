@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from triagedeck.llm.base import in_order
 from triagedeck.llm.line_dedup import line_dedup
 from triagedeck.llm.mixing import mix_sources, repeat_documents
 from triagedeck.llm.near_dedup import near_duplicates
@@ -18,37 +19,64 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 
 
-def _resized(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """The columns, with ``n_chars``, if there, that of the present text."""
-    if "n_chars" in columns:
-        docs = docs.withColumn("n_chars", F.char_length("text").cast("long"))
-    return docs.select(*[F.col(f"`{c}`") for c in columns])
+OWN = ("doc_id", "text", "source")
+SHINGLE_WORDS = 4  # as in the operator's own query
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    """Only the columns the stages work on, the others by number in one struct, so that no name of theirs can clash."""
+    rest = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c not in OWN]
+    return docs.select(*OWN, F.struct(*rest, F.lit(True).alias("last")).alias("rest"))
+
+
+def _unpacked(docs: DataFrame, columns: list[str], resized: bool = True) -> DataFrame:
+    """The columns of the stage's input, with ``n_chars``, if there, that of the present text."""
+    out = []
+    for i, c in enumerate(columns):
+        value = F.col(c) if c in OWN else F.col("rest").getField(f"c{i}")
+        out.append((F.char_length("text").cast("long") if c == "n_chars" and resized else value).alias(c))
+    return docs.select(*out)
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents whose quality score is below the threshold; the classifier learns from these documents."""
+    """Drop documents whose quality score is below the threshold; the classifier learns from these documents.
+
+    A missing text scores as an empty one; repeated rows score alike. Columns stay as they are.
+    """
     model = quality_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = quality_scores(docs, model, out="_quality")
-    return scored.filter(F.col("_quality") >= THRESHOLD).select(*[F.col(f"`{c}`") for c in docs.columns])
+    scored = quality_scores(_packed(docs), model, out="quality")
+    return _unpacked(scored.filter(F.col("quality") >= THRESHOLD), docs.columns, resized=False)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop lines that three documents share, except in the largest id; missing texts become empty."""
-    return _resized(line_dedup(docs), docs.columns)
+    """Drop lines that three documents share, except in the largest id; missing texts become empty.
+
+    Rows with the same id count as one document. Other columns stay as they are.
+    """
+    return _unpacked(line_dedup(_packed(docs)), docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each group of near-duplicates.
 
-    Rows with the same id are the same document; rows without an id cannot be named and stay.
+    Where ids are missing or repeated, rows are numbered by id (missing last) and text, and one row of each
+    group stays, repeated rows included. Texts without words belong to no group.
     """
-    gone = near_duplicates(docs).filter("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = _packed(docs)
+    unclear = docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null")
+    if unclear.isEmpty():
+        rows = rows.withColumn("pos", F.col("doc_id"))
+    else:
+        rows = in_order(rows, F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), name="numbered")
+    found = near_duplicates(rows.select(F.col("pos").alias("doc_id"), "text"), n_words=SHINGLE_WORDS)
+    gone = found.filter("not kept").select(F.col("doc_id").alias("pos"))
+    return _unpacked(rows.join(gone, "pos", "left_anti"), docs.columns, resized=False)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat or cut documents so that each source comes to its target."""
-    return _resized(repeat_documents(docs, mix_sources(docs)), docs.columns)
+    """Repeat or cut documents so that each source comes to its target. Other columns are repeated with them."""
+    rows = _packed(docs)
+    return _unpacked(repeat_documents(rows, mix_sources(rows)), docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
