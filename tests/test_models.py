@@ -153,6 +153,40 @@ def test_knn_equals_brute_force_with_a_hot_cell(spark, p):
         assert [got[1000 + i][n + 1][1] for n in range(4)] == pytest.approx([d for d, _ in want])
 
 
+def clustered(n, seed):
+    rng = np.random.default_rng(seed)
+    centres = np.random.default_rng(0).normal(size=(25, 4)) * 50
+    return [[float(x) for x in centres[i % 25] + rng.normal(size=4)] for i in range(n)]
+
+
+def test_knn_visits_few_blocks_and_copies_no_training_row(spark):
+    t = spark.createDataFrame(list(enumerate(clustered(3000, 1))), "id long, v array<double>")
+    q = spark.createDataFrame(list(enumerate(clustered(500, 2))), "id long, v array<double>")
+    pivots = knn._pick_pivots(t, 55)
+    celled = t.mapInArrow(knn._in_cells(pivots, 2), "id long, v array<double>, cell int, gap double")
+    placed, blocks = knn._rings(celled, pivots, 2, 32)
+    rows = placed.collect()
+    assert sorted(r["id"] for r in rows) == list(range(3000))
+    assert int(blocks.parts.sum()) > 90
+    first = q.mapInArrow(knn._first_visits(blocks, 4), "id long, v array<double>, unit int, part int, bound double")
+    near = knn._nearest(knn._searched(first.drop("bound"), placed, 4, 2, (), 1 << 18), 4)
+    kth = near.groupBy(F.col("query_id").alias("id")).agg(F.max("distance").alias("d"))
+    bounded = first.join(kth, "id").select("id", "v", "unit", "part", F.least("bound", "d").alias("bound"))
+    visits = bounded.mapInArrow(knn._further_visits(blocks), "id long, v array<double>, unit int, part int").count()
+    assert visits < 500 * int(blocks.parts.sum()) * 0.15  # a twentieth would be all blocks of the own cluster
+
+
+@pytest.mark.parametrize("visitor_rows", [7, 1 << 18])
+def test_knn_carries_labels_through_crowded_blocks(spark, visitor_rows):
+    train, asked = clustered(300, 3), clustered(90, 4)
+    t = spark.createDataFrame([(i, v, i % 3) for i, v in enumerate(train)] + [(999, None, 1)], "id long, v array<double>, y int")
+    q = spark.createDataFrame([*enumerate(asked), (888, None)], "id long, v array<double>")
+    found = knn.knn_join(q, t, "id", "v", 3, block_rows=16, carried=["y"], visitor_rows=visitor_rows).collect()
+    gap = knn.distances(np.array(asked), np.array(train), 2)
+    want = [(i, int(j), int(j) % 3) for i in range(90) for j in np.argsort(gap[i], kind="stable")[:3]]
+    assert sorted((r["query_id"], r["neighbour_id"], r["y"]) for r in found) == sorted(want)
+
+
 def test_knn_with_fewer_rows_than_k(spark):
     t = spark.createDataFrame([(1, [0.0]), (2, [1.0])], "id long, v array<double>")
     got = knn.knn_join(t, t, "id", "v", k=5).collect()

@@ -1,25 +1,30 @@
-"""Exact nearest-neighbour join with pivot pruning.
+"""Exact nearest-neighbour join in two passes.
 
-The training rows are divided into cells around pivot rows. A query visits a cell only if the triangle
-inequality allows a neighbour in it: the distance to the pivot minus the cell's radius
-must not exceed the query's k-th distance to the pivots themselves, which are training rows.
-Cells and their visitors are cut into blocks of bounded size, so a heavy cell is spread
-over many tasks. Each block pair returns at most k rows per query, never all pairs.
+The training rows are divided into cells around pivot rows, about the root of their number, and heavy cells into
+rings by the distance to their pivot. The first pass searches one block of each query's own cell, which
+bounds its k-th distance. The second visits the blocks that the triangle inequality does not rule
+out at that distance. Queries are copied, one for each block they visit; a training row lies in one block. Blocks have
+a bounded number of rows and hold still while their visitors stream past.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from .ranks import hash_order
 
 BLOCK_ROWS = 8192
-SLACK = 1e-9  # guards the pruning bound against rounding
+VISITOR_ROWS = 1 << 18  # visitors of one copy of a block
+PAIRS = 4_000_000  # distances held at a time
+SLACK = 1e-9  # guards the pruning bounds against rounding
 
 
 def distances(a: np.ndarray, b: np.ndarray, p: int) -> np.ndarray:
@@ -31,16 +36,200 @@ def distances(a: np.ndarray, b: np.ndarray, p: int) -> np.ndarray:
     return total if p == 1 else total ** (1.0 / p)
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.stack([np.asarray(v, dtype=np.float64) for v in column])
+def _vectors(column: pa.Array) -> np.ndarray:
+    """A list column without missing entries as a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def _pick_pivots(train: DataFrame, key: str, vector: str, n: int) -> np.ndarray:
-    """``n`` training vectors in seeded random order: a fixed, small driver table."""
-    rows = train.orderBy(hash_order("pivot", key), key).select(vector).limit(n).collect()
+def _pick_pivots(train: DataFrame, n: int) -> np.ndarray:
+    """``n`` training vectors in seeded random order; their number is about the root of the table's."""
+    rows = train.orderBy(hash_order("pivot", "id"), "id").select("v").limit(n).collect()
     return np.array([r[0] for r in rows], dtype=np.float64)
 
 
+@dataclass(frozen=True)
+class Blocks:
+    """What the driver knows of the training side: pivots, and the rings of each cell.
+
+    Ring ``j`` of cell ``cell[j]`` holds rows whose distance to the pivot lies from ``low`` to ``high``, in ``parts``
+    blocks. There is a ring for every block's worth of rows, and one a cell at least.
+    """
+
+    pivots: np.ndarray
+    cell: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    parts: np.ndarray
+    p: int
+
+    def reachable(self, gap: np.ndarray, bound: np.ndarray) -> np.ndarray:
+        """Rings (query, ring) that may hold a row nearer than ``bound``, from the distances to the pivots.
+
+        A row keeps its distance to its own pivot, and is nearer to that than to any other pivot.
+        """
+        to = gap[:, self.cell]
+        least = np.maximum(self.low[None, :] - to, to - self.high[None, :])
+        least = np.maximum(least, (to - gap.min(axis=1)[:, None]) / 2)
+        return least <= bound[:, None] + SLACK * (1.0 + np.abs(to))
+
+
+def _in_cells(pivots: np.ndarray, p: int):
+    """Add the nearest pivot and the distance to it to rows whose second column is the vector."""
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                gap = distances(_vectors(batch.column(1)), pivots, p)
+                cell = gap.argmin(axis=1)
+                more = [pa.array(cell.astype(np.int32)), pa.array(gap[np.arange(len(gap)), cell])]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "cell", "gap"])
+
+    return near
+
+
+def _rings(celled: DataFrame, pivots: np.ndarray, p: int, block_rows: int) -> tuple[DataFrame, Blocks]:
+    """Training rows with their ring and block, and the limits of all rings."""
+    cells = celled.groupBy("cell").agg(F.max("gap").alias("_far"), F.count(F.lit(1)).alias("_n"))
+    rows = celled.join(cells, "cell")
+    n_rings = F.ceil(F.col("_n") / block_rows)
+    nth = F.when(F.col("_far") > 0, F.least(F.floor(F.col("gap") / F.col("_far") * n_rings), n_rings - 1)).otherwise(0)
+    rows = materialise(rows.withColumn("ring", nth.cast("int")).drop("_far", "_n"), "train_cells")
+    found = (
+        rows.groupBy("cell", "ring")
+        .agg(F.min("gap").alias("low"), F.max("gap").alias("high"), F.count(F.lit(1)).alias("n"))
+        .orderBy("cell", "ring")
+        .collect()
+    )
+    columns = [np.array([r[c] for r in found]) for c in ("cell", "low", "high", "n")]
+    blocks = Blocks(pivots, *columns[:3], -(-columns[3] // block_rows), p)
+    numbers = celled.sparkSession.createDataFrame(
+        [(r.cell, r.ring, j, int(blocks.parts[j])) for j, r in enumerate(found)], "cell int, ring int, unit int, parts int"
+    )
+    placed = rows.join(numbers, ["cell", "ring"])
+    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part")
+    return placed.select("unit", part, "id", "v", *[c for c in celled.columns if c not in ("cell", "gap", "id", "v")]), blocks
+
+
+def _first_visits(blocks: Blocks, k: int):
+    """Each query to one block of the ring around its nearest pivot that suits its distance."""
+    p, pivots = blocks.p, blocks.pivots
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                gap = distances(_vectors(batch.column(1)), pivots, p)
+                own = gap.argmin(axis=1)
+                near = np.minimum(*(np.abs(x[None, :] - gap[:, blocks.cell]) for x in (blocks.low, blocks.high)))
+                near[blocks.cell[None, :] != own[:, None]] = np.inf
+                unit = near.argmin(axis=1)
+                bound = np.partition(gap, k - 1, axis=1)[:, k - 1] if len(pivots) >= k else np.full(len(gap), np.inf)
+                ids = batch.column(0).to_numpy()
+                more = [unit.astype(np.int32), (ids % blocks.parts[unit]).astype(np.int32), bound]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, more)], ["id", "v", "unit", "part", "bound"])
+
+    return visit
+
+
+def _further_visits(blocks: Blocks):
+    """Each query to all other blocks within its bound. Rows: id, v, unit, part (searched already), bound."""
+    p, pivots = blocks.p, blocks.pivots
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1024):
+                batch = whole.slice(start, 1024)
+                gap = distances(_vectors(batch.column(1)), pivots, p)
+                row, ring = np.nonzero(blocks.reachable(gap, batch.column(4).to_numpy()))
+                many = blocks.parts[ring]
+                at = np.repeat(np.arange(len(row)), many)
+                part = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
+                row, ring = row[at], ring[at]
+                new = (ring != batch.column(2).to_numpy()[row]) | (part != batch.column(3).to_numpy()[row])
+                row, ring, part = row[new], ring[new], part[new]
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(take), batch.column(1).take(take), pa.array(ring.astype(np.int32)), pa.array(part.astype(np.int32))],
+                    ["id", "v", "unit", "part"],
+                )
+
+    return visit
+
+
+def _search(k: int, p: int, carried: Sequence[str]):
+    """Blocks, each with its visitors behind it -> the k nearest rows of the block for each visitor."""
+
+    def nearest(block: pa.Table, visitors: pa.RecordBatch, right: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for start in range(0, visitors.num_rows, step := max(1, PAIRS // len(right))):
+            few = visitors.slice(start, step)
+            gap = distances(_vectors(few.column("v")), right, p)
+            order = np.argsort(gap, axis=1, kind="stable")[:, :k]
+            take = pa.array(order.ravel())
+            columns = [
+                pa.array(np.repeat(few.column("id").to_numpy(), order.shape[1])),
+                block.column("id").take(take).combine_chunks(),
+                pa.array(np.take_along_axis(gap, order, axis=1).ravel()),
+                *[block.column(c).take(take).combine_chunks() for c in carried],
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["query_id", "neighbour_id", "distance", *carried])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, block, right = None, [], None, None
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in ("unit", "part", "copy", "asks")])
+            edges = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+            for lo, hi in zip([0, *edges], [*edges, batch.num_rows]):
+                if hi == lo:
+                    continue
+                rows = batch.slice(lo, hi - lo)
+                *place, asks = keys[:, lo]
+                if tuple(place) != now:
+                    now, held, block = tuple(place), [], None
+                if not asks:
+                    held.append(rows)
+                elif held:
+                    if block is None:
+                        block = pa.Table.from_batches(held).sort_by("id")
+                        right = _vectors(block.column("v").combine_chunks())
+                    yield from nearest(block, rows, right)
+
+    return search
+
+
+def _searched(
+    visits: DataFrame, placed: DataFrame, k: int, p: int, carried: Sequence[str], visitor_rows: int
+) -> DataFrame:
+    """The k nearest rows of each visited block.
+
+    Blocks and visitors are dealt by block and sorted, the block's rows first, so a task holds one block
+    and any number of visitors. Only where a block has more than ``visitor_rows`` of them it gets
+    a second copy.
+    """
+    crowds = visits.groupBy("unit", "part").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > visitor_rows)
+    crowds = crowds.withColumn("copies", F.ceil(F.col("_n") / visitor_rows).cast("int")).drop("_n")
+    copies = F.coalesce("copies", F.lit(1))
+    rows = placed.join(crowds, ["unit", "part"], "left").withColumn(
+        "copy", F.explode(F.sequence(F.lit(0), copies - 1))
+    )
+    asked = visits.join(crowds, ["unit", "part"], "left").withColumn("copy", F.pmod(F.xxhash64("id"), copies).cast("int"))
+    kinds = dict(placed.dtypes)
+    both = rows.select("unit", "part", "copy", F.lit(0).alias("asks"), "id", "v", *carried).union(
+        asked.select("unit", "part", "copy", F.lit(1).alias("asks"), "id", "v", *[F.lit(None).cast(kinds[c]).alias(c) for c in carried])
+    )
+    dealt = both.repartition("unit", "part", "copy").sortWithinPartitions("unit", "part", "copy", "asks")
+    more = "".join(f", `{c}` {kinds[c]}" for c in carried)
+    return dealt.mapInArrow(_search(k, p, carried), f"query_id long, neighbour_id long, distance double{more}")
+
+
+def _nearest(found: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("query_id").orderBy("distance", "neighbour_id")
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def _sides(df: DataFrame, key: str, vector: str, carried: Sequence[str] = ()) -> DataFrame:
+    rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), *carried)
+    return rows.filter(F.col("v").isNotNull())
+
+
 def knn_join(
     queries: DataFrame,
     train: DataFrame,
@@ -48,108 +237,42 @@ def knn_join(
     vector: str,
     k: int,
     p: int = 2,
-    n_pivots: int = 32,
+    n_pivots: int | None = None,
     block_rows: int = BLOCK_ROWS,
+    carried: Sequence[str] = (),
+    visitor_rows: int = VISITOR_ROWS,
 ) -> DataFrame:
-    """(query id, neighbour id, distance, rank) of the k nearest training rows.
+    """(query id, neighbour id, distance, rank) of the k nearest training rows, with the ``carried`` columns of these.
 
-    Equal distances: the lower neighbour id wins.
+    Equal distances: the lower neighbour id wins. Rows without a vector take no part. The driver holds the pivots, by default
+    as many as the root of the training rows, and the limits of one ring per block.
     """
-    pivots = _pick_pivots(train, key, vector, max(n_pivots, 1))
-    if not len(pivots):
+    base = _sides(train, key, vector, carried)
+    n = base.count()
+    if not n:
         raise ValueError("the training side is empty")
-
-    def to_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                gap = distances(_matrix(pdf["v"]), pivots, p)
-                cell = gap.argmin(axis=1)
-                yield pdf.assign(cell=cell, gap=gap[np.arange(len(pdf)), cell])
-
-    base = train.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    celled = base.mapInPandas(to_cells, "id long, v array<double>, cell int, gap double")
-    sizes = celled.groupBy("cell").agg(
-        F.max("gap").alias("radius"), F.count(F.lit(1)).alias("n")
-    )
-    # At most one row per pivot: a bounded driver table.
-    cells = {r["cell"]: (r["radius"], r["n"]) for r in sizes.collect()}
-    numbers = np.array(sorted(cells), dtype=np.int64)
-    radius = np.array([cells[c][0] for c in numbers])
-
-    def to_visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            gap = distances(_matrix(pdf["v"]), pivots, p)
-            if len(pivots) >= k:
-                bound = np.partition(gap, k - 1, axis=1)[:, k - 1]
-            else:
-                bound = np.full(len(pdf), np.inf)
-            reach = gap[:, numbers] - radius[None, :]
-            row, at = np.nonzero(reach <= bound[:, None] + SLACK * (1.0 + np.abs(reach)))
-            yield pd.DataFrame(
-                {
-                    "id": pdf["id"].to_numpy()[row],
-                    "v": pdf["v"].to_numpy()[row],
-                    "cell": numbers[at],
-                }
-            )
-
-    asked = queries.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    visits = asked.mapInPandas(to_visits, "id long, v array<double>, cell int")
-    visitors = {r["cell"]: r["n"] for r in visits.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-
-    blocks = [
-        (int(c), -(-int(cells[c][1]) // block_rows), -(-int(visitors.get(c, 0)) // block_rows))
-        for c in cells
-    ]
-    limits = F.create_map(
-        *[x for c, t, q in blocks for x in (F.lit(c), F.struct(F.lit(t).alias("t"), F.lit(q).alias("q")))]
+    pivots = _pick_pivots(base, max(1, n_pivots or math.ceil(math.sqrt(n))))
+    kinds = ", ".join(f"`{c}` {t}" for c, t in base.dtypes)
+    celled = base.mapInArrow(_in_cells(pivots, p), f"{kinds}, cell int, gap double")
+    placed, blocks = _rings(celled, pivots, p, block_rows)
+    placed = materialise(placed, "train_blocks")
+    asked = _sides(queries, key, vector)
+    place = "id long, v array<double>, unit int, part int"
+    first = materialise(asked.mapInArrow(_first_visits(blocks, k), f"{place}, bound double"), "first_visits")
+    near = materialise(_searched(first.drop("bound"), placed, k, p, carried, visitor_rows), "first_pass")
+    kth = _nearest(near, k).groupBy("query_id").agg(F.max("distance").alias("_d"), F.count(F.lit(1)).alias("_k"))
+    bounded = first.join(kth.withColumnRenamed("query_id", "id"), "id", "left").select(
+        "id", "v", "unit", "part", F.when(F.col("_k") == k, F.least("bound", "_d")).otherwise(F.col("bound")).alias("bound")
     )
+    further = materialise(bounded.mapInArrow(_further_visits(blocks), place), "further_visits")
+    return _nearest(near.union(_searched(further, placed, k, p, carried, visitor_rows)), k)
 
-    def spread(df: DataFrame, own: str, other: str) -> DataFrame:
-        """Own block by hash; one copy per block of the other side."""
-        sized = df.withColumn("_n", F.element_at(limits, F.col("cell")))
-        mine = F.pmod(F.xxhash64("id"), F.greatest(F.col(f"_n.{own}"), F.lit(1))).cast("int")
-        copies = F.explode(
-            F.filter(F.sequence(F.lit(0), F.col(f"_n.{other}")), lambda i: i < F.col(f"_n.{other}"))
-        )
-        return sized.withColumn(f"b{own}", mine).withColumn(f"b{other}", copies).select(
-            "id", "v", "cell", "bt", "bq"
-        )
-
-    def nearest(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(q) and len(t):
-            t = t.sort_values("id")
-            ids, right = t["id"].to_numpy(), _matrix(t["v"])
-            step = max(1, 4_000_000 // len(t))
-            for start in range(0, len(q), step):
-                part = q.iloc[start : start + step]
-                gap = distances(_matrix(part["v"]), right, p)
-                order = np.argsort(gap, axis=1, kind="stable")[:, :k]
-                out.append(
-                    pd.DataFrame(
-                        {
-                            "query_id": np.repeat(part["id"].to_numpy(), order.shape[1]),
-                            "neighbour_id": ids[order].ravel(),
-                            "distance": np.take_along_axis(gap, order, axis=1).ravel(),
-                        }
-                    )
-                )
-        if not out:
-            return pd.DataFrame({"query_id": [], "neighbour_id": [], "distance": []})
-        return pd.concat(out)
 
-    keys = ["cell", "bt", "bq"]
-    found = (
-        spread(visits, "q", "t")
-        .groupBy(*keys)
-        .cogroup(spread(celled, "t", "q").groupBy(*keys))
-        .applyInPandas(nearest, "query_id long, neighbour_id long, distance double")
-    )
-    w = Window.partitionBy("query_id").orderBy("distance", "neighbour_id")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+def _labelled(neighbours: DataFrame, train: DataFrame, key: str, label: str) -> DataFrame:
+    """Neighbours with their label as ``_y``: carried by the join, or looked up."""
+    if label in neighbours.columns:
+        return neighbours.withColumn("_y", F.col(label))
+    return neighbours.join(train.select(F.col(key).alias("neighbour_id"), F.col(label).alias("_y")), "neighbour_id")
 
 
 def knn_predict(
@@ -159,9 +282,7 @@ def knn_predict(
 
     ``distance`` weights by 1/distance; a zero distance takes all the weight.
     """
-    voted = neighbours.join(
-        train.select(F.col(key).alias("neighbour_id"), F.col(label).alias("_y")), "neighbour_id"
-    )
+    voted = _labelled(neighbours, train, key, label)
     if weights == "uniform":
         plain = F.lit(1.0)
         votes = voted.groupBy("query_id").agg(
@@ -192,9 +313,7 @@ def knn_trials(
 
     The table must hold the largest k; a smaller one uses the first ranks.
     """
-    voted = neighbours.join(
-        train.select(F.col(key).alias("neighbour_id"), F.col(label).alias("_y")), "neighbour_id"
-    )
+    voted = _labelled(neighbours, train, key, label)
     zero = F.col("distance") == 0
     inverse = F.when(~zero, F.lit(1.0) / F.col("distance"))
     aggs, cells = [], []

@@ -263,7 +263,7 @@ SELECT query_id, qy AS y, round(avg(ty), 6) AS uniform_prob, round(sum(ty / dist
   CASE WHEN avg(ty) > 0.5 THEN 1 ELSE 0 END AS pred FROM near GROUP BY query_id, qy"""))
 def knn_predict(spark, sf):
     asked, train = _sides(spark, sf)
-    found = materialise(nearest_rows(asked, train, "vec_id", "embedding", k=5, p=2), "near")
+    found = materialise(nearest_rows(asked, train, "vec_id", "embedding", k=5, p=2, carried=["y"]), "near")
     even = vote(found, train, "vec_id", "y").select("query_id", F.col("prob").alias("u"), "pred")
     near = vote(found, train, "vec_id", "y", "distance").select("query_id", F.col("prob").alias("d"))
     truth = asked.select(F.col("vec_id").alias("query_id"), "y")

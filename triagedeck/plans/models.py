@@ -527,7 +527,7 @@ def search_knn(spark, sf):
     train, val = s.filter("split = 'tr'"), s.filter("split = 'val'")
     tried = None
     for p in se.POWERS:
-        near = knn_join(val, train, "vec_id", "embedding", max(se.NEIGHBOURS), p)
+        near = knn_join(val, train, "vec_id", "embedding", max(se.NEIGHBOURS), p, carried=["y"])
         part = knn_trials(near, train, "vec_id", "y", se.NEIGHBOURS).withColumn("p", F.lit(p))
         tried = part if tried is None else tried.union(part)
     truth = val.select(F.col("vec_id").alias("query_id"), "y")
