@@ -229,15 +229,3 @@ def test_failing_scorer(spark):
     df = spark.createDataFrame([(1, "crash"), (2, "boom"), (3, "typo")], "id long, p string").coalesce(1)
     got = {r["id"]: r["severity_pred"] for r in cl.score_prompts(df, "p", make).collect()}
     assert got == {1: 1, 2: -2, 3: 0}
-
-
-def test_svm_and_platt_separate_classes(spark):
-    from pyspark.ml.functions import array_to_vector
-
-    rng = random.Random(0)
-    rows = [(i, i % 2, [i % 2 + rng.gauss(0, 0.2), rng.gauss(0, 1)]) for i in range(120)]
-    df = spark.createDataFrame(rows, "id long, y int, v array<double>").withColumn("features", array_to_vector("v"))
-    scored = cl.margins(cl.fit_linear_svm(df, "y", balanced=True), df)
-    prob = cl.platt_scale(scored, scored, "y")
-    wrong = prob.filter((F.col("prob") > 0.5).cast("int") != F.col("y")).count()
-    assert wrong < 12

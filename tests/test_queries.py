@@ -13,7 +13,7 @@ import check_queries as check
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 # The model searches repeat what test_models covers and take the longest.
-SLOW = {"search_best", "reproduce_best", "svc_linear", "platt_scale"}
+SLOW = {"search_best", "reproduce_best", "svc_linear", "search_svm"}
 NAMES = [n for n in contract.queries() if n not in SLOW or os.environ.get("TEST_ALL")]
 
 

@@ -1,119 +1,54 @@
-"""Linear, kernel-approximating and neural classifiers of ``pyspark.ml``, and batch scoring."""
+"""Kernel features, networks, records of fitted classifiers, and batch scoring."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import (
-    LinearSVC,
-    LogisticRegression,
-    MultilayerPerceptronClassifier,
-)
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import Vectors, VectorUDT
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.classification import MultilayerPerceptronClassifier
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from ..functions import text as tx
 from ..functions.numbers import FAILED
-from ..session import materialise
 from .curves import auc
-from .features import binary_counts, term_counts
 from .metrics import accuracy
-from .ranks import shuffled_rank
 
-MAX_PLACES = (1 << 31) - 1  # of a vector: its places are 32-bit numbers
+def hash_normals(seed: int, name: str, rows: int, columns: int) -> np.ndarray:
+    """Standard normal numbers that any engine with md5 can repeat: Box and Muller's pairs of hashed uniform ones."""
 
+    def uniform(part: str) -> np.ndarray:
+        keys = (f"{seed}|{name}_{part}|{i}|{j}" for i in range(1, rows + 1) for j in range(1, columns + 1))
+        found = [int(hashlib.md5(k.encode()).hexdigest()[:8], 16) for k in keys]
+        return np.array(found, dtype=np.float64).reshape(rows, columns)
 
-def text_vectors(df: DataFrame, train: Column | str, key: str, text: str, keep: Sequence[str], binary: bool = False) -> DataFrame:
-    """``key``, ``keep`` and ``features``: counts of the training texts' terms, each scaled by its
-    training maximum, as sparse vectors.
-
-    Equal to min-max scaling for every term that some training text lacks, and stays sparse.
-    Terms are numbered by rank in a hash order, so the driver holds only their number;
-    a vector has places for 2^31 - 1. ``keep`` names columns that depend on the key.
-    """
-    known = df.select(key, *keep, text)
-    counts = term_counts(known.withColumn("_train", F.expr(train) if isinstance(train, str) else train), key, text, ["_train"])
-    if binary:
-        counts = binary_counts(counts)
-    counts = materialise(counts, "counts")
-    tops = counts.filter("_train").groupBy("term").agg(F.max("n").alias("_top"))
-    terms = materialise(shuffled_rank(tops, "term", 0), "terms")
-    size = max(terms.count(), 1)
-    if size > MAX_PLACES:
-        raise ValueError("more terms than a vector has places: use the long-form features")
-    cells = (
-        counts.join(terms, "term")
-        .groupBy(key)
-        .agg(F.sort_array(F.collect_list(F.struct((F.col("rank") - 1).alias("i"), (F.col("n") / F.col("_top")).alias("v")))).alias("_cells"))
-    )
-    pack = F.udf(lambda c: Vectors.sparse(size, [x.i for x in c or []], [x.v for x in c or []]), VectorUDT())
-    return known.drop(text).join(cells, key, "left").withColumn("features", pack("_cells")).drop("_cells")
-
-
-def balanced_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
-    """Weight n / (2 * n_class) per row."""
-    counts = df.agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col(label) == 1).alias("n1")
-    ).select(F.struct("n", "n1").alias("c"))
-    n_class = F.when(F.col(label) == 1, F.col("_c.n1")).otherwise(F.col("_c.n") - F.col("_c.n1"))
-    return df.withColumn("_c", counts.scalar()).withColumn(out, F.col("_c.n") / (2.0 * n_class)).drop("_c")
-
-
-def fit_linear_svm(
-    train: DataFrame, label: str, c: float = 1.0, balanced: bool = False, max_iter: int = 50
-):
-    """Linear SVM; ``c`` is turned into the per-row regularisation Spark uses."""
-    ready = balanced_weights(train, label) if balanced else train.withColumn("weight", F.lit(1.0))
-    n = train.count()
-    return LinearSVC(
-        labelCol=label, weightCol="weight", regParam=1.0 / (c * max(n, 1)), maxIter=max_iter
-    ).fit(ready)
-
-
-def margins(model, df: DataFrame) -> DataFrame:
-    """Signed distance to the separating plane."""
-    return model.transform(df).withColumn(
-        "margin", F.element_at(vector_to_array("rawPrediction"), 2)
-    )
-
-
-def platt_scale(scored: DataFrame, held_out: DataFrame, label: str) -> DataFrame:
-    """Probability from the margin: logistic curve fitted on margins of held-out rows."""
-    pack = lambda df: df.withColumn("_m", array_to_vector(F.array(F.col("margin"))))
-    curve = LogisticRegression(
-        featuresCol="_m", labelCol=label, predictionCol="_p", rawPredictionCol="_r", probabilityCol="_q"
-    ).fit(pack(held_out))
-    return (
-        curve.transform(pack(scored))
-        .withColumn("prob", F.element_at(vector_to_array("_q"), 2))
-        .drop("_m", "_p", "_r", "_q")
-    )
+    return np.sqrt(-2.0 * np.log((uniform("r") + 1.0) / 4294967297.0)) * np.cos(2.0 * np.pi * uniform("a") / 4294967296.0)
 
 
 def fourier_features(
-    df: DataFrame, vector: str, dim: int, n_features: int = 256, gamma: float = 0.001, seed: int = 0
+    df: DataFrame, key: str, vector: str, dim: int, n_features: int = 256, gamma: float = 0.001, seed: int = 0
 ) -> DataFrame:
-    """Random Fourier features of an RBF kernel (Rahimi & Recht 2007) as column ``features``.
+    """Random Fourier features of an RBF kernel (Rahimi & Recht 2007), long: (key, term, x), terms from 0.
 
     The projection is derived from the seed in every task, so nothing is shipped.
     """
 
     @F.pandas_udf(ArrayType(DoubleType()))
-    def project(batch: pd.Series) -> pd.Series:
-        rng = np.random.default_rng(seed)
-        w = rng.normal(0.0, np.sqrt(2.0 * gamma), size=(dim, n_features))
-        b = rng.uniform(0.0, 2.0 * np.pi, n_features)
-        if not len(batch):
-            return pd.Series([], dtype=object)
-        x = np.stack([np.asarray(v, dtype=np.float64) for v in batch])
-        return pd.Series(list(np.sqrt(2.0 / n_features) * np.cos(x @ w + b)))
-
-    return df.withColumn("features", array_to_vector(project(F.col(vector))))
+    def project(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        w = np.sqrt(2.0 * gamma) * hash_normals(seed, "fourier", dim, n_features)
+        turn = [hashlib.md5(f"{seed}|turn|{j}".encode()).hexdigest()[:8] for j in range(1, n_features + 1)]
+        b = 2.0 * np.pi * np.array([int(x, 16) for x in turn]) / 4294967296.0
+        for batch in batches:
+            if not len(batch):
+                yield pd.Series([], dtype=object)
+                continue
+            x = np.stack([np.asarray(v, dtype=np.float64) for v in batch])
+            yield pd.Series(list(np.sqrt(2.0 / n_features) * np.cos(x @ w + b)))
+
+    return df.select(key, F.posexplode(project(F.col(vector))).alias("term", "x"))
 
 
 def fit_mlp(

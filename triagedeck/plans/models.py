@@ -542,25 +542,6 @@ def _vector_study(spark, sf, n_trials):
     return materialise(se.random_model_trials(study, "study", n_trials), "drawn")
 
 
-@query("search_svm")
-def search_svm(spark, sf):
-    """Drawn linear SVMs on the vectors, by validation AUC."""
-    rows = stratified_split(vectors(spark, sf), "vec_id", "y").withColumn(
-        "features", array_to_vector(F.col("embedding").cast("array<double>"))
-    )
-    rows = materialise(rows.drop("embedding"), "vectors")
-    train, val = rows.filter("split = 'tr'"), rows.filter("split = 'val'")
-
-    def evaluate(t):
-        model = cl.fit_linear_svm(train, "y", t["svm_c"], t["class_weight"] == "balanced", 20)
-        return auc(cl.margins(model, val), "y", "margin").first()["auc"]
-
-    trials = _vector_study(spark, sf, 3)
-    return trials.join(se.fit_trials(trials, evaluate, spark), "trial").select(
-        "trial", "svm_c", "class_weight", r6("value").alias("value")
-    )
-
-
 @query("search_mlp")
 def search_mlp(spark, sf):
     """Drawn networks on the scaled vectors, by support-weighted F1 of validation."""
@@ -594,45 +575,6 @@ def _quality(scored, classifier):
     )
 
 
-def _text_vectors(spark, sf):
-    s = stratified_split(docs(spark, sf), KEY, LABEL).withColumnRenamed(LABEL, "y")
-    vectors = cl.text_vectors(s, "split = 'tr'", KEY, "description", ["y", "split"])
-    return materialise(vectors, "vectors")
-
-
-def _svm(rows, name, c=1.0, balanced=False):
-    train = rows.filter("split = 'tr'")
-    model = cl.fit_linear_svm(train, "y", c, balanced)
-    scored = materialise(cl.margins(model, rows).drop("features", "rawPrediction"), "margins")
-    held_out = scored.filter("split = 'val'")
-    calibrated = cl.platt_scale(scored, held_out, "y").withColumn("pred", F.col("prediction").cast("int"))
-    return _quality(calibrated, name)
-
-
-@query("svc_linear")
-def svc_linear(spark, sf):
-    return _svm(_text_vectors(spark, sf), "LinearSVC", balanced=True)
-
-
-@query("svc_rbf_approx")
-def svc_rbf_approx(spark, sf):
-    s = stratified_split(vectors(spark, sf), "vec_id", "y")
-    rows = materialise(
-        cl.fourier_features(s, "embedding", 64, 256, gamma=0.001).drop("embedding"), "vectors"
-    )
-    return _svm(rows, "RBF", c=100.0)
-
-
-@query("platt_scale")
-def platt_scale(spark, sf):
-    rows = _text_vectors(spark, sf)
-    model = cl.fit_linear_svm(rows.filter("split = 'tr'"), "y")
-    scored = materialise(cl.margins(model, rows).drop("features", "rawPrediction"), "margins")
-    return cl.platt_scale(scored, scored.filter("split = 'val'"), "y").select(
-        KEY, "split", r6("margin").alias("margin"), r6("prob").alias("prob")
-    )
-
-
 @query("mlp_embeddings")
 def mlp_embeddings(spark, sf):
     s = stratified_split(vectors(spark, sf), "vec_id", "y")
