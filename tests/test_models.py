@@ -111,8 +111,9 @@ def test_all_trials_equal_single_fits(spark, corpus):
     """One pass over all trials gives what each model gives alone."""
     rows, docs, counts, train, sizes, stats = fitted(corpus)
     study = spark.createDataFrame([("s",)], "study string")
-    trials = materialise(se.random_trials(study, "study", 12))
-    scores = se.trial_scores(trials, stats, sizes, train, counts, docs, "bug_id", "y").collect()
+    stats = nb.term_stats(train, sizes, "y", moments=True)
+    trials = materialise(se.random_trials(study, "study", 16))
+    scores = se.trial_scores(trials, stats, sizes, counts, docs, "bug_id").collect()
     drawn = trials.collect()
     assert {t["classifier"] for t in drawn} == set(se.CLASSIFIERS)
     for t in drawn:
@@ -120,7 +121,9 @@ def test_all_trials_equal_single_fits(spark, corpus):
         if t["classifier"] == "MultinomialNB":
             model = nb.fit_multinomial(stats, sizes, t["alpha"], prior)
         elif t["classifier"] == "BernoulliNB":
-            model = nb.fit_bernoulli(train, stats, sizes, "y", t["alpha"], t["binarize"], prior)
+            model = nb.fit_presence(stats, sizes, t["alpha"], prior)
+        elif t["classifier"] == "GaussianNB":
+            model = nb.fit_gaussian_terms(stats, sizes, t["var_smoothing"], prior)
         else:
             model = nb.fit_complement(stats, sizes, t["alpha"], bool(t["norm"]))
         want = probs(nb.score(model, counts, docs, "bug_id"))
@@ -128,11 +131,27 @@ def test_all_trials_equal_single_fits(spark, corpus):
         assert got == pytest.approx(want, abs=1e-9)
 
 
-def test_too_many_trials(spark, corpus):
-    _, docs, counts, train, sizes, stats = fitted(corpus)
-    many = spark.range(se.MAX_TRIALS + 1).select(F.col("id").alias("trial"))
-    with pytest.raises(ValueError):
-        se.trial_scores(many, stats, sizes, train, counts, docs, "bug_id", "y")
+def test_groups_of_trials_change_nothing(spark, corpus, monkeypatch):
+    _, docs, counts, train, sizes, _ = fitted(corpus)
+    stats = nb.term_stats(train, sizes, "y", moments=True)
+    trials = materialise(se.random_trials(spark.createDataFrame([("s",)], "study string"), "study", 7))
+    rows = lambda: sorted((r["trial"], r["bug_id"], r["prob"]) for r in se.trial_scores(trials, stats, sizes, counts, docs, "bug_id").collect())
+    whole = rows()
+    monkeypatch.setattr(se, "GROUP_TRIALS", 3)
+    assert [x[:2] for x in rows()] == [x[:2] for x in whole]
+    assert [x[2] for x in rows()] == pytest.approx([x[2] for x in whole])
+
+
+def test_presence_ignores_terms_of_all_texts(spark):
+    rows = [(0, 0, "a", 2), (0, 0, "b", 1), (1, 1, "a", 1), (2, 1, "a", 4), (2, 1, "c", 9)]
+    counts = spark.createDataFrame(rows, "bug_id long, y int, term string, n long")
+    docs = counts.select("bug_id", "y").distinct()
+    sizes = nb.class_sizes(docs, "y")
+    got = probs(nb.score(nb.fit_presence(nb.term_stats(counts, sizes, "y"), sizes), counts, docs, "bug_id"))
+    x = np.array([[1, 0], [0, 0], [0, 1]])  # b, c; every text has a
+    p = np.array([(x[:1].sum(0) + 1) / 3, (x[1:].sum(0) + 1) / 4])
+    z = np.log(p) @ x.T + np.log(1 - p) @ (1 - x).T + np.log([[1 / 3], [2 / 3]])
+    assert [got[i] for i in range(3)] == pytest.approx(list(1 / (1 + np.exp(z[0] - z[1]))))
 
 
 @pytest.mark.parametrize("p", [1, 2, 3])

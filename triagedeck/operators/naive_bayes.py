@@ -219,6 +219,34 @@ def fit_bernoulli(
     )
 
 
+def fit_presence(
+    stats: DataFrame, sizes: DataFrame, alpha: float = 1.0, prior: Prior = Prior()
+) -> TermModel:
+    """Bernoulli model of the binary features, from the same statistics as the others.
+
+    Min-max scaled, a term is 1 where it occurs and 0 elsewhere, and 0 everywhere if all training texts have it.
+    """
+
+    def share(c: int, n: Column) -> Column:
+        return F.log((n + alpha) / (F.col(f"n.n{c}") + 2 * alpha))
+
+    seen = [F.when(F.col("lo") == 0, F.col(f"k{c}")).otherwise(0) for c in (0, 1)]
+    logs = stats.withColumn("n", one_row(sizes)).select(
+        "term",
+        "lo",
+        "span",
+        *[share(c, seen[c]).alias(f"yes{c}") for c in (0, 1)],
+        *[share(c, F.col(f"n.n{c}") - seen[c]).alias(f"no{c}") for c in (0, 1)],
+    )
+    absent = one_row(logs.agg(F.sum("no0").alias("a0"), F.sum("no1").alias("a1")))
+    base = _priors(sizes, prior).withColumn("a", absent)
+    return TermModel(
+        logs.select("term", "lo", "span", *[(F.col(f"yes{c}") - F.col(f"no{c}")).alias(f"w{c}") for c in (0, 1)]),
+        base.select(*[(F.col(f"b{c}") + F.col(f"a.a{c}")).alias(f"b{c}") for c in (0, 1)]),
+        lambda c: (F.col("lo") == 0).cast("double") * F.col(f"w{c}"),
+    )
+
+
 def fit_gaussian_terms(
     stats: DataFrame, sizes: DataFrame, var_smoothing: float = 1e-9, prior: Prior = Prior()
 ) -> TermModel:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -10,11 +11,11 @@ from pyspark.sql import functions as F
 from ..session import materialise
 from .curves import auc
 from .dedup import best_per_group
-from .naive_bayes import one_row, scaled, texts_above
+from .naive_bayes import one_row, scaled
 from .ranks import hash_order, hash_uniform
 
 # The searched classifiers and the ranges of their parameters.
-CLASSIFIERS = ("MultinomialNB", "BernoulliNB", "ComplementNB")
+CLASSIFIERS = ("BernoulliNB", "MultinomialNB", "GaussianNB", "ComplementNB")
 ALPHA = (1e-10, 1.0)
 VAR_SMOOTHING = (1e-14, 1.0)
 SVM_C = (1e-5, 1e5)
@@ -26,7 +27,7 @@ MLP_LAYERS = (1, 2, 3, 4)
 MLP_UNITS = (4, 128)
 MLP_BATCH = (2, 16, 32, 64)
 MLP_RATE = (1e-5, 1e-1)
-MAX_TRIALS = 1000
+GROUP_TRIALS = 100  # trials that are columns of one plan
 
 
 def draw(seed: int | str, name: str, *keys: str | Column) -> Column:
@@ -105,10 +106,7 @@ def fit_trials(trials: DataFrame, evaluate: Callable[[Row], float | None], spark
 
 def _drawn(trials: DataFrame) -> list:
     """The trials on the driver: their number is a parameter of the search."""
-    rows = trials.orderBy("trial").limit(MAX_TRIALS + 1).collect()
-    if len(rows) > MAX_TRIALS:
-        raise ValueError(f"more than {MAX_TRIALS} trials in one evaluation")
-    return rows
+    return trials.orderBy("trial").collect()
 
 
 def _num(value: float) -> str:
@@ -119,7 +117,7 @@ def _side(t, i: int, c: int) -> str:
     """SQL: weight of one unit of a term for class ``c`` under trial ``t``."""
     a = _num(t["alpha"])
     if t["classifier"] == "BernoulliNB":
-        return f"(ln(c{c}_{i} + {a}) - ln(n.n{c} - c{c}_{i} + {a}))"
+        return f"(ln(p{c} + {a}) - ln(n.n{c} - p{c} + {a}))"
     of = 1 - c if t["classifier"] == "ComplementNB" else c
     share = f"ln((s{of} + {a}) / (t.t{of} + {a} * t.v))"
     return f"(-{share})" if t["classifier"] == "ComplementNB" else share
@@ -127,9 +125,18 @@ def _side(t, i: int, c: int) -> str:
 
 def _unit(t) -> str:
     """SQL: how much of its weight a present term counts."""
-    if t["classifier"] == "BernoulliNB":
-        return f"CAST(x > {_num(t['binarize'])} AS DOUBLE)"
-    return "(x - absent)"
+    return "CAST(lo = 0 AS DOUBLE)" if t["classifier"] == "BernoulliNB" else "(x - absent)"
+
+
+def _spread(t, c: int, top: float) -> str:
+    """SQL: smoothed variance of a term in class ``c``; missing where nothing varies at all."""
+    return f"nullif(v{c} + {_num(t['var_smoothing'] * top)}, 0D)"
+
+
+def _bell(t, x: str, top: float) -> str:
+    """SQL: squared distances from the class means, in variances, class 1 less class 0."""
+    one, two = (f"({x} - m{c}) * ({x} - m{c}) / {_spread(t, c, top)}" for c in (1, 0))
+    return f"({one} - {two})"
 
 
 def _margin(t, i: int, normed: bool, at: dict[str, str]) -> str:
@@ -147,23 +154,30 @@ def trial_scores(
     trials: DataFrame,
     stats: DataFrame,
     sizes: DataFrame,
-    train_counts: DataFrame,
     counts: DataFrame,
     docs: DataFrame,
     key: str,
-    label: str,
 ) -> DataFrame:
     """Probability of every text of ``docs`` under every trial.
 
-    ``stats`` are the training terms. The trials become columns: training counts and scored
-    counts are each read and summed once for all of them, no row is multiplied.
+    ``stats`` are the training terms with moments. The trials become columns, ``GROUP_TRIALS`` of one plan: scored
+    counts are read and summed once for a group, no row is multiplied. Bernoulli models see the
+    binary features: a term is there or not, and one of all training texts never is.
     """
-    drawn = list(enumerate(_drawn(trials)))
-    cuts = {str(i): t["binarize"] for i, t in drawn if t["classifier"] == "BernoulliNB"}
+    drawn = _drawn(trials)
+    groups = [drawn[i : i + GROUP_TRIALS] for i in range(0, len(drawn), GROUP_TRIALS)]
+    parts = [_group_scores(g, stats, sizes, counts, docs, key) for g in groups]
+    return reduce(DataFrame.union, parts)
+
+
+def _group_scores(
+    trials: list, stats: DataFrame, sizes: DataFrame, counts: DataFrame, docs: DataFrame, key: str
+) -> DataFrame:
+    drawn = list(enumerate(trials))
+    bells = {i for i, t in drawn if t["classifier"] == "GaussianNB"}
+    top = float(stats.agg(F.max("v")).first()[0] or 0.0) if bells else 0.0
     normed = {i for i, t in drawn if t["classifier"] == "ComplementNB" and t["norm"]}
-    terms = stats
-    if cuts:
-        terms = materialise(stats.join(texts_above(train_counts, stats, label, cuts), "term"), "trials")
+    terms = stats.withColumns({f"p{c}": F.when(F.col("lo") == 0, F.col(f"k{c}")).otherwise(0) for c in (0, 1)})
     totals = one_row(
         stats.agg(F.sum("s0").alias("t0"), F.sum("s1").alias("t1"), F.count(F.lit(1)).alias("v"))
     )
@@ -171,26 +185,33 @@ def trial_scores(
 
     # A normalised complement model divides each class by its own sum of
     # weights; every other model only needs the difference of the classes.
-    plain = [(i, t) for i, t in drawn if i not in normed]
+    plain = [(i, t) for i, t in drawn if i not in normed and i not in bells]
+    curved = [(i, t) for i, t in drawn if i in bells]
     apart = [(i, t, c) for i, t in drawn if i in normed for c in (0, 1)]
     weights = ready.selectExpr(
         "term",
         "lo",
         "span",
         "absent",
-        *[f"{_side(t, i, 1)} - {_side(t, i, 0)} AS m{i}" for i, t in plain],
+        *(["m0", "m1", "v0", "v1"] if curved else []),
+        *[f"{_side(t, i, 1)} - {_side(t, i, 0)} AS d_{i}" for i, t in plain],
         *[f"{_side(t, i, c)} AS w{c}_{i}" for i, t, c in apart],
     )
     # What a text without any term gets. A Bernoulli model sums over every term, a
     # linear one only over those whose scaled value is not 0 where they lack.
+    present = {i for i, t in plain if t["classifier"] == "BernoulliNB"}
     lack = [
-        f"sum(ln((n.n1 - c1_{i} + {a}) / (n.n1 + 2 * {a})) - ln((n.n0 - c0_{i} + {a}) / (n.n0 + 2 * {a}))) AS k{i}"
+        f"sum(ln((n.n1 - p1 + {a}) / (n.n1 + 2 * {a})) - ln((n.n0 - p0 + {a}) / (n.n0 + 2 * {a}))) AS k{i}"
         for i, t in plain
-        if str(i) in cuts
+        if i in present
         for a in [_num(t["alpha"])]
     ]
+    lack += [
+        f"sum(-0.5D * (ln({_spread(t, 1, top)}) - ln({_spread(t, 0, top)}) + {_bell(t, 'absent', top)})) AS k{i}"
+        for i, t in curved
+    ]
     lack += [f"sum(abs({_side(t, i, c)})) AS a{c}_{i}" for i, t, c in apart]
-    linear = [f"coalesce(sum(absent * m{i}), 0D) AS k{i}" for i, t in plain if str(i) not in cuts]
+    linear = [f"coalesce(sum(absent * d_{i}), 0D) AS k{i}" for i, t in plain if i not in present]
     linear += [f"coalesce(sum(absent * w{c}_{i}), 0D) AS k{c}_{i}" for i, t, c in apart]
     consts = [
         source.groupBy().agg(*[F.expr(x) for x in exprs])
@@ -203,7 +224,8 @@ def trial_scores(
         .withColumn("x", scaled())
         .groupBy(key)
         .agg(
-            *[F.expr(f"sum({_unit(t)} * m{i}) AS z{i}") for i, t in plain],
+            *[F.expr(f"sum({_unit(t)} * d_{i}) AS z{i}") for i, t in plain],
+            *[F.expr(f"sum(-0.5D * ({_bell(t, 'x', top)} - {_bell(t, 'absent', top)})) AS z{i}") for i, t in curved],
             *[F.expr(f"sum({_unit(t)} * w{c}_{i}) AS z{c}_{i}") for i, t, c in apart],
         )
     )

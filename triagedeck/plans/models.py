@@ -234,29 +234,29 @@ def nb_multinomial(spark, sf):
     return _shown(_multinomial(spark, sf))
 
 
-BERNOULLI = """st AS (SELECT term, count_if(y = 0 AND x > 0.1) AS s0, count_if(y = 1 AND x > 0.1) AS s1 FROM labelled GROUP BY term),
-w AS (SELECT term, ln((s0 + 0.5) / (n0 + 1)) - ln((n0 - s0 + 0.5) / (n0 + 1)) AS w0, ln((s1 + 0.5) / (n1 + 1)) - ln((n1 - s1 + 0.5) / (n1 + 1)) AS w1,
+BERNOULLI = """st AS (SELECT l.term, max(r.lo) AS lo, CASE WHEN max(r.lo) = 0 THEN count_if(y = 0) ELSE 0 END AS s0, CASE WHEN max(r.lo) = 0 THEN count_if(y = 1) ELSE 0 END AS s1
+  FROM labelled l JOIN rng r ON r.term = l.term GROUP BY l.term),
+w AS (SELECT term, lo, ln((s0 + 0.5) / (n0 + 1)) - ln((n0 - s0 + 0.5) / (n0 + 1)) AS w0, ln((s1 + 0.5) / (n1 + 1)) - ln((n1 - s1 + 0.5) / (n1 + 1)) AS w1,
   ln((n0 - s0 + 0.5) / (n0 + 1)) AS a0, ln((n1 - s1 + 0.5) / (n1 + 1)) AS a1 FROM st, sizes),
 base AS (SELECT ln(0.3) + (SELECT sum(a0) FROM w) AS b0, ln(0.7) + (SELECT sum(a1) FROM w) AS b1 FROM sizes)"""
 
 
-@query("nb_bernoulli", sql(*TEXT, *_score_sql(BERNOULLI, "(x > 0.1)::INT"), body=NB_BODY))
+@query("nb_bernoulli", sql(*TEXT, *_score_sql(BERNOULLI, "(w.lo = 0)::INT"), body=NB_BODY))
 def nb_bernoulli(spark, sf):
+    """On the binary features, as its data set has them."""
     split, counts, sizes, stats = _fitted(spark, sf)
-    model = nb.fit_bernoulli(
-        _train(counts), stats, sizes, LABEL, 0.5, 0.1, nb.Prior(given=(0.3, 0.7))
-    )
+    model = nb.fit_presence(stats, sizes, 0.5, nb.Prior(given=(0.3, 0.7)))
     return _shown(nb.score(model, counts, split, KEY))
 
 
-GAUSS = """st AS (SELECT term, max(absent) AS a, count(*) AS k, avg(x) AS m, var_pop(x) AS q,
+MOMENTS = """st AS (SELECT term, max(absent) AS a, count(*) AS k, avg(x) AS m, var_pop(x) AS q,
   count(CASE WHEN y = 0 THEN 1 END) AS k0, coalesce(avg(CASE WHEN y = 0 THEN x END), 0) AS a0, coalesce(var_pop(CASE WHEN y = 0 THEN x END), 0) AS q0,
   count(CASE WHEN y = 1 THEN 1 END) AS k1, coalesce(avg(CASE WHEN y = 1 THEN x END), 0) AS a1, coalesce(var_pop(CASE WHEN y = 1 THEN x END), 0) AS q1
   FROM labelled GROUP BY term),
 mv AS (SELECT term, a, (k0 * a0 + (n0 - k0) * a) / n0 AS m0, (k0 * q0 + k0 * (n0 - k0) / n0 * (a0 - a) ** 2) / n0 AS v0,
   (k1 * a1 + (n1 - k1) * a) / n1 AS m1, (k1 * q1 + k1 * (n1 - k1) / n1 * (a1 - a) ** 2) / n1 AS v1,
-  (k * q + k * (n0 + n1 - k) / (n0 + n1) * (m - a) ** 2) / (n0 + n1) AS v FROM st, sizes),
-g AS (SELECT term, a, m0, m1, v0 + e AS v0, v1 + e AS v1 FROM mv, (SELECT 0.01::DOUBLE * max(v) AS e FROM mv)),
+  (k * q + k * (n0 + n1 - k) / (n0 + n1) * (m - a) ** 2) / (n0 + n1) AS v FROM st, sizes)"""
+GAUSS = """g AS (SELECT term, a, m0, m1, v0 + e AS v0, v1 + e AS v1 FROM mv, (SELECT 0.01::DOUBLE * max(v) AS e FROM mv)),
 base AS (SELECT ln(n0 / (n0 + n1)) + (SELECT sum(-0.5 * (ln(6.283185307179586 * v0) + (a - m0) ** 2 / v0)) FROM g) AS b0,
   ln(n1 / (n0 + n1)) + (SELECT sum(-0.5 * (ln(6.283185307179586 * v1) + (a - m1) ** 2 / v1)) FROM g) AS b1 FROM sizes),
 zs AS (SELECT s.bug_id, sum(-0.5 * ((x - m0) ** 2 / v0 - (a - m0) ** 2 / v0)) AS z0, sum(-0.5 * ((x - m1) ** 2 / v1 - (a - m1) ** 2 / v1)) AS z1
@@ -265,7 +265,7 @@ scores AS (SELECT d.bug_id, d.binary_severity, d.split, coalesce(z0, 0) + b0 AS
   FROM sdocs d LEFT JOIN zs ON d.bug_id = zs.bug_id CROSS JOIN base)"""
 
 
-@query("nb_gaussian", sql(*TEXT, GAUSS, body=NB_BODY))
+@query("nb_gaussian", sql(*TEXT, MOMENTS, GAUSS, body=NB_BODY))
 def nb_gaussian(spark, sf):
     split, counts, sizes, stats = _fitted(spark, sf, moments=True)
     model = nb.fit_gaussian_terms(stats, sizes, 0.01)
@@ -370,7 +370,7 @@ def _u(name: str, study: str = "study", trial: str = "trial") -> str:
 
 
 def trials_sql(studies: str) -> str:
-    return f"""trials AS (SELECT study, trial, ['MultinomialNB', 'BernoulliNB', 'ComplementNB'][(floor({_u('classifier')} * 3) + 1)::INT] AS classifier,
+    return f"""trials AS (SELECT study, trial, ['BernoulliNB', 'MultinomialNB', 'GaussianNB', 'ComplementNB'][(floor({_u('classifier')} * 4) + 1)::INT] AS classifier,
   exp(ln(1e-10::DOUBLE) + {_u('alpha')} * (ln(1.0::DOUBLE) - ln(1e-10::DOUBLE))) AS alpha, CASE WHEN {_u('fit_prior')} < 0.5 THEN 1 ELSE 0 END AS fit_prior,
   {_u('class_prior')} AS class_prior, {_u('binarize')} AS binarize, CASE WHEN {_u('norm')} >= 0.5 THEN 1 ELSE 0 END AS norm,
   exp(ln(1e-14::DOUBLE) + {_u('var_smoothing')} * (ln(1.0::DOUBLE) - ln(1e-14::DOUBLE))) AS var_smoothing
@@ -401,38 +401,32 @@ def _trials(spark, sf):
     return se.random_trials(study, "study", N_TRIALS)
 
 
-def _trial_scores(spark, sf, parts):
-    split, counts, sizes, stats = _fitted(spark, sf)
+def _trial_scores(spark, sf, fitted, trials, parts):
+    split, counts, sizes, stats = fitted
     wanted = F.col("split").isin(*parts)
-    trials = materialise(_trials(spark, sf), "drawn")
-    scores = se.trial_scores(
-        trials,
-        stats,
-        sizes,
-        _train(counts),
-        counts.filter(wanted),
-        split.filter(wanted),
-        KEY,
-        LABEL,
-    )
-    return trials, _tied(scores)
+    return _tied(se.trial_scores(trials, stats, sizes, counts.filter(wanted), split.filter(wanted), KEY))
 
 
 def search_sql(parts: str) -> str:
     """Scores of every trial for the texts of the named splits."""
-    return f"""stt AS (SELECT trial, term, max(absent) AS absent, sum(CASE WHEN y = 0 THEN x ELSE 0 END) AS s0, sum(CASE WHEN y = 1 THEN x ELSE 0 END) AS s1,
-  count_if(y = 0 AND x > binarize) AS c0, count_if(y = 1 AND x > binarize) AS c1 FROM labelled, trials GROUP BY trial, term),
+    return f"""stt AS (SELECT trial, l.term, max(absent) AS absent, max(r.lo) AS lo, sum(CASE WHEN y = 0 THEN x ELSE 0 END) AS s0, sum(CASE WHEN y = 1 THEN x ELSE 0 END) AS s1,
+  CASE WHEN max(r.lo) = 0 THEN count_if(y = 0) ELSE 0 END AS c0, CASE WHEN max(r.lo) = 0 THEN count_if(y = 1) ELSE 0 END AS c1
+  FROM labelled l JOIN rng r ON r.term = l.term, (SELECT trial FROM trials WHERE classifier <> 'GaussianNB') GROUP BY trial, l.term),
 tott AS (SELECT trial, sum(s0) AS t0, sum(s1) AS t1, count(*) AS v FROM stt GROUP BY trial),
-wt AS (SELECT t.trial, t.classifier, t.norm, t.binarize, term, absent,
+wt AS (SELECT t.trial, t.classifier, t.norm, term, absent, lo,
   CASE t.classifier WHEN 'BernoulliNB' THEN ln(c0 + alpha) - ln(n0 - c0 + alpha) WHEN 'ComplementNB' THEN -ln((s1 + alpha) / (t1 + alpha * v)) ELSE ln((s0 + alpha) / (t0 + alpha * v)) END AS w0,
   CASE t.classifier WHEN 'BernoulliNB' THEN ln(c1 + alpha) - ln(n1 - c1 + alpha) WHEN 'ComplementNB' THEN -ln((s0 + alpha) / (t0 + alpha * v)) ELSE ln((s1 + alpha) / (t1 + alpha * v)) END AS w1,
   ln((n0 - c0 + alpha) / (n0 + 2 * alpha)) AS l0, ln((n1 - c1 + alpha) / (n1 + 2 * alpha)) AS l1
   FROM stt s JOIN tott o ON s.trial = o.trial JOIN trials t ON t.trial = s.trial, sizes),
+gt AS (SELECT trial, term, a, m0, m1, v0 + e AS v0, v1 + e AS v1 FROM mv, (SELECT trial, var_smoothing * (SELECT max(v) FROM mv) AS e FROM trials WHERE classifier = 'GaussianNB')),
 kt AS (SELECT trial, sum(CASE WHEN classifier = 'BernoulliNB' THEN l0 ELSE absent * w0 END) AS k0, sum(CASE WHEN classifier = 'BernoulliNB' THEN l1 ELSE absent * w1 END) AS k1,
-  sum(abs(w0)) AS a0, sum(abs(w1)) AS a1 FROM wt GROUP BY trial),
-zt AS (SELECT w.trial, s.bug_id, sum(w0 * CASE WHEN classifier = 'BernoulliNB' THEN (x > binarize)::INT ELSE x - s.absent END) AS z0,
-  sum(w1 * CASE WHEN classifier = 'BernoulliNB' THEN (x > binarize)::INT ELSE x - s.absent END) AS z1
-  FROM scaled s JOIN wt w ON s.term = w.term JOIN sdocs d ON d.bug_id = s.bug_id AND d.split IN ({parts}) GROUP BY w.trial, s.bug_id),
+  sum(abs(w0)) AS a0, sum(abs(w1)) AS a1 FROM wt GROUP BY trial
+  UNION ALL SELECT trial, 0, sum(-0.5 * (ln(v1) - ln(v0) + (a - m1) ** 2 / v1 - (a - m0) ** 2 / v0)), 1, 1 FROM gt GROUP BY trial),
+zt AS (SELECT w.trial, s.bug_id, sum(w0 * CASE WHEN classifier = 'BernoulliNB' THEN (lo = 0)::INT ELSE x - s.absent END) AS z0,
+  sum(w1 * CASE WHEN classifier = 'BernoulliNB' THEN (lo = 0)::INT ELSE x - s.absent END) AS z1
+  FROM scaled s JOIN wt w ON s.term = w.term JOIN sdocs d ON d.bug_id = s.bug_id AND d.split IN ({parts}) GROUP BY w.trial, s.bug_id
+  UNION ALL SELECT g.trial, s.bug_id, 0, sum(-0.5 * ((x - m1) ** 2 / v1 - (x - m0) ** 2 / v0 - ((a - m1) ** 2 / v1 - (a - m0) ** 2 / v0)))
+  FROM scaled s JOIN gt g ON s.term = g.term JOIN sdocs d ON d.bug_id = s.bug_id AND d.split IN ({parts}) GROUP BY g.trial, s.bug_id),
 mt AS (SELECT t.trial, d.bug_id, d.binary_severity, d.split, CASE WHEN t.classifier = 'ComplementNB' AND t.norm = 1 THEN (coalesce(z1, 0) + k1) / a1 - (coalesce(z0, 0) + k0) / a0
   ELSE coalesce(z1, 0) - coalesce(z0, 0) + k1 - k0 + CASE WHEN t.classifier = 'ComplementNB' THEN 0 ELSE ln(1 - class_prior) - ln(class_prior) END END AS margin
   FROM trials t JOIN (SELECT * FROM sdocs WHERE split IN ({parts})) d ON true LEFT JOIN zt ON zt.trial = t.trial AND zt.bug_id = d.bug_id JOIN kt ON kt.trial = t.trial),
@@ -443,36 +437,38 @@ SEARCH = search_sql("'val'")
 ONE_STUDY = trials_sql("SELECT DISTINCT 'documents' AS study FROM labels")
 
 
-@query("search_trials", sql(*TEXT, ONE_STUDY, SEARCH, _auc_sql("probs", "trial"), body="""
+@query("search_trials", sql(*TEXT, MOMENTS, ONE_STUDY, SEARCH, _auc_sql("probs", "trial"), body="""
 SELECT a.trial, t.classifier, round(auc, 5) AS value FROM areas a JOIN trials t ON t.trial = a.trial"""))
 def search_trials(spark, sf):
-    trials, scores = _trial_scores(spark, sf, ["val"])
-    values = se.evaluate_trials(scores, LABEL)
-    return values.join(trials, "trial").select("trial", "classifier", F.round("value", 5).alias("value"))
+    trials, values, _ = _tried(spark, sf)
+    return values.join(trials, "trial").select("trial", "classifier", "value")
 
 
-@query("search_best", sql(*TEXT, ONE_STUDY, SEARCH, _auc_sql("probs", "trial"), body="""
+def _tried(spark, sf):
+    """The drawn trials, their validation AUC and what was fitted."""
+    fitted = _fitted(spark, sf, moments=True)
+    trials = materialise(_trials(spark, sf), "drawn")
+    values = se.evaluate_trials(_trial_scores(spark, sf, fitted, trials, ["val"]), LABEL)
+    return trials, values.withColumn("value", F.round("value", 5)), fitted
+
+
+@query("search_best", sql(*TEXT, MOMENTS, ONE_STUDY, SEARCH, _auc_sql("probs", "trial"), body="""
 SELECT study, trial, classifier, value FROM (SELECT t.study, t.trial, t.classifier, round(auc, 5) AS value, row_number() OVER (PARTITION BY study ORDER BY round(auc, 5) DESC, t.trial) AS rn
 FROM areas a JOIN trials t ON t.trial = a.trial) WHERE rn = 1"""))
 def search_best(spark, sf):
-    trials, scores = _trial_scores(spark, sf, ["val"])
-    values = se.evaluate_trials(scores, LABEL).withColumn("value", F.round("value", 5))
+    trials, values, _ = _tried(spark, sf)
     return se.best_trial(trials, values, "study").select("study", "trial", "classifier", "value")
 
 
-@query("reproduce_best", sql(*TEXT, ONE_STUDY, search_sql("'val', 'test'"), _auc_sql("probs", "trial, split"), body="""
+@query("reproduce_best", sql(*TEXT, MOMENTS, ONE_STUDY, search_sql("'val', 'test'"), _auc_sql("probs", "trial, split"), body="""
 , best AS (SELECT trial FROM (SELECT trial, row_number() OVER (ORDER BY round(auc, 5) DESC, trial) AS rn FROM areas WHERE split = 'val') WHERE rn = 1)
 SELECT t.study, t.trial, t.classifier, a.split, round(auc, 5) AS auc FROM best b JOIN areas a ON a.trial = b.trial JOIN trials t ON t.trial = b.trial"""))
 def reproduce_best(spark, sf):
-    """The best validation trial, scored again on the full validation and test sets."""
-    trials, scores = _trial_scores(spark, sf, ["val", "test"])
-    scores = materialise(scores, "scores")
-    values = se.evaluate_trials(scores.filter("split = 'val'"), LABEL).withColumn(
-        "value", F.round("value", 5)
-    )
-    best = se.best_trial(trials, values, "study")
-    again = scores.join(best.select("study", "trial", "classifier"), "trial")
-    areas = auc(again, LABEL, "prob", ["study", "trial", "classifier", "split"])
+    """The best validation trial alone, scored again on the full validation and test sets."""
+    trials, values, fitted = _tried(spark, sf)
+    best = materialise(se.best_trial(trials, values, "study"), "best")
+    scores = _trial_scores(spark, sf, fitted, best.select(*trials.columns), ["val", "test"])
+    areas = auc(scores.join(best.select("study", "trial", "classifier"), "trial"), LABEL, "prob", ["study", "trial", "classifier", "split"])
     return areas.withColumn("auc", F.round("auc", 5))
 
 
