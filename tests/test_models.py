@@ -112,7 +112,7 @@ def test_all_trials_equal_single_fits(spark, corpus):
     rows, docs, counts, train, sizes, stats = fitted(corpus)
     study = spark.createDataFrame([("s",)], "study string")
     stats = nb.term_stats(train, sizes, "y", moments=True)
-    trials = materialise(se.random_trials(study, "study", 16))
+    trials = materialise(se.random_trials(study, "study", 30))
     scores = se.trial_scores(trials, stats, sizes, counts, docs, "bug_id").collect()
     drawn = trials.collect()
     assert {t["classifier"] for t in drawn} == set(se.CLASSIFIERS)

@@ -277,6 +277,97 @@ def results_to_trials(
     return full.select(*run, params.alias("params"), F.col(metric).alias("value"))
 
 
+def ladder_fits(
+    train_counts: DataFrame,
+    ladder: DataFrame,
+    counts: DataFrame,
+    docs: DataFrame,
+    key: str,
+    label: str,
+    n_sizes: int,
+    alpha: float = 1.0,
+    var_smoothing: float = 0.01,
+) -> DataFrame:
+    """Probabilities of ``docs`` by naive Bayes models of every sample size, fitted in one scan.
+
+    ``ladder`` (key, label, step): the first of the nested samples, numbered from 0, that holds a training row. Counts are
+    summed once per (term, step); a sample's sums are those of its step and all before. Returns (``docs``, step,
+    classifier, prob). A sample without one of the classes has no probabilities.
+    """
+    up = F.explode(F.sequence(F.col("step"), F.lit(n_sizes - 1)))
+    one, two = F.col(label) == 0, F.col(label) == 1
+    sizes = (
+        ladder.groupBy("step")
+        .agg(F.count_if(one).alias("n0"), F.count_if(two).alias("n1"))
+        .select(up.alias("step"), "n0", "n1")
+        .groupBy("step")
+        .agg(F.sum("n0").cast("double").alias("n0"), F.sum("n1").cast("double").alias("n1"))
+    )
+    sums = {}
+    for c, is_class in enumerate((one, two)):
+        n = F.when(is_class, F.col("n")).otherwise(0)
+        sums |= {f"k{c}": F.count_if(is_class), f"t{c}": F.sum(n), f"u{c}": F.sum(n * n)}
+    found = train_counts.select(key, "term", "n").join(ladder, key).groupBy("term", "step").agg(
+        *[v.alias(k) for k, v in sums.items()], F.min("n").alias("n_min"), F.max("n").alias("n_max")
+    )
+    running = found.select("term", up.alias("step"), *[c for c in found.columns if c not in ("term", "step")])
+    running = running.groupBy("term", "step").agg(
+        *[F.sum(k).alias(k) for k in sums], F.min("n_min").alias("n_min"), F.max("n_max").alias("n_max")
+    )
+    whole = running.join(sizes, "step").withColumn(
+        "lo", F.expr("if(k0 + k1 < n0 + n1, 0, n_min)")
+    ).withColumn("span", F.col("n_max") - F.col("lo"))
+    shares = {"absent": "if(span = 0, 0D, -lo / span)"}
+    for c in (0, 1):
+        shares |= {
+            f"s{c}": f"if(span = 0, 0D, (t{c} - k{c} * lo) / span)",
+            f"p{c}": f"if(lo = 0, k{c}, 0)",
+            f"m{c}": f"if(span = 0, 0D, (t{c} / nullif(n{c}, 0) - lo) / span)",
+            f"v{c}": f"if(span = 0, 0D, (u{c} / nullif(n{c}, 0) - pow(t{c} / nullif(n{c}, 0), 2)) / (span * span))",
+        }
+    shares["v"] = "if(span = 0, 0D, ((u0 + u1) / (n0 + n1) - pow((t0 + t1) / (n0 + n1), 2)) / (span * span))"
+    stats = materialise(
+        whole.selectExpr("term", "step", "lo", "span", "n0", "n1", *[f"{v} AS {k}" for k, v in shares.items()]), "ladder_terms"
+    )
+    totals = stats.groupBy("step").agg(
+        F.sum("s0").alias("z0"), F.sum("s1").alias("z1"), F.count(F.lit(1)).alias("v_n"), (F.max("v") * var_smoothing).alias("e")
+    )
+    a = _num(alpha)
+    weights = stats.join(totals, "step").selectExpr(
+        "term", "step", "lo", "span", "absent", "m0", "m1", "v0 + e AS v0", "v1 + e AS v1", "n0", "n1", "p0", "p1",
+        f"ln((s1 + {a}) / (z1 + {a} * v_n)) - ln((s0 + {a}) / (z0 + {a} * v_n)) AS wm",
+        f"ln(p1 + {a}) - ln(n1 - p1 + {a}) - ln(p0 + {a}) + ln(n0 - p0 + {a}) AS wb",
+    )
+
+    def bell(x: str) -> str:
+        return f"(-0.5D * (pow({x} - m1, 2) / nullif(v1, 0D) - pow({x} - m0, 2) / nullif(v0, 0D)))"
+
+    base = weights.groupBy("step").agg(
+        F.expr("sum(absent * wm)").alias("bm"),
+        F.expr(f"sum(ln((n1 - p1 + {a}) / (n1 + 2 * {a})) - ln((n0 - p0 + {a}) / (n0 + 2 * {a})))").alias("bb"),
+        F.expr(f"sum({bell('absent')} - 0.5D * (ln(v1) - ln(v0)))").alias("bg"),
+        F.expr("ln(max(n1)) - ln(max(n0))").alias("prior"),
+    )
+    per_text = (
+        counts.select(key, "term", "n")
+        .join(weights, "term")
+        .withColumn("x", scaled())
+        .groupBy("step", key)
+        .agg(
+            F.expr("sum((x - absent) * wm)").alias("zm"),
+            F.expr("sum(if(lo = 0, wb, 0D))").alias("zb"),
+            F.expr(f"sum({bell('x')} - {bell('absent')})").alias("zg"),
+        )
+    )
+    every = docs.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(n_sizes - 1))))
+    joined = every.join(per_text, ["step", key], "left").join(base, "step")
+    cells = [
+        f"struct('{name}' AS classifier, 1D / (1D + exp(-(coalesce(z{c}, 0D) + b{c} + prior))) AS prob)"
+        for name, c in (("MultinomialNB", "m"), ("BernoulliNB", "b"), ("GaussianNB", "g"))
+    ]
+    return joined.selectExpr(*docs.columns, "step", f"inline(array({', '.join(cells)}))").filter("prob is not null")
+
+
 def learning_curve(results: DataFrame) -> DataFrame:
     """Mean AUC by algorithm, sample size and split, in long form."""
     means = results.groupBy("classifier", "n_samples").agg(

@@ -323,11 +323,11 @@ def run_summary(spark, sf):
     return found.withColumns({c: r6(c) for c in ("auc", "accuracy", "f1_severe")})
 
 
-@query("learning_curve", sql(SCORED, STEPS, RESULTS, body="""
+@query("learning_curve_results", sql(SCORED, STEPS, RESULTS, body="""
 , r AS (SELECT prompt_id AS classifier, lora_r::INT AS n_samples, avg(CASE WHEN dataset_type = 'train' THEN roc_auc END) AS val,
   avg(CASE WHEN dataset_type = 'val' THEN roc_auc END) AS test FROM results GROUP BY ALL)
 SELECT classifier, n_samples, 'val' AS split, round(val, 6) AS auc FROM r UNION ALL SELECT classifier, n_samples, 'test', round(test, 6) FROM r"""))
-def learning_curve(spark, sf):
+def learning_curve_results(spark, sf):
     value = lambda t: F.when(F.col("dataset_type") == t, F.col("roc_auc"))
     rows = results(spark, sf).select(
         F.col("prompt_id").alias("classifier"),

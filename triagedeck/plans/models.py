@@ -13,6 +13,7 @@ from ..operators.curves import auc
 from ..operators.knn import knn_join, knn_trials
 from ..operators.metrics import accuracy, f1_averages
 from ..session import materialise
+from ..operators.ranks import shuffled_rank
 from ..operators.splits import sample_ladder, stratified_kfold, stratified_split
 from .base import (
     BOW,
@@ -360,6 +361,51 @@ def cv_table(spark, sf):
     )
 
 
+CURVE_SQL = """rk AS (SELECT bug_id, binary_severity AS y, row_number() OVER (ORDER BY md5('curve|' || bug_id), bug_id) AS rk FROM sdocs WHERE split = 'tr'),
+ladder AS (SELECT n_samples, bug_id, y FROM rk, (SELECT unnest([50, 100, 200, -1]) AS n_samples) WHERE n_samples = -1 OR rk <= n_samples),
+ln_ AS (SELECT n_samples, count_if(y = 0)::DOUBLE AS n0, count_if(y = 1)::DOUBLE AS n1 FROM ladder GROUP BY n_samples),
+ls AS (SELECT l.n_samples, term, count_if(y = 0) AS k0, count_if(y = 1) AS k1, sum(CASE WHEN y = 0 THEN n ELSE 0 END)::DOUBLE AS t0, sum(CASE WHEN y = 1 THEN n ELSE 0 END)::DOUBLE AS t1,
+  sum(CASE WHEN y = 0 THEN n * n ELSE 0 END)::DOUBLE AS u0, sum(CASE WHEN y = 1 THEN n * n ELSE 0 END)::DOUBLE AS u1, min(n) AS mn, max(n) AS hi
+  FROM bow b JOIN ladder l ON b.bug_id = l.bug_id GROUP BY l.n_samples, term),
+lr AS (SELECT s.*, n0, n1, CASE WHEN k0 + k1 < n0 + n1 THEN 0 ELSE mn END AS lo FROM ls s JOIN ln_ n ON n.n_samples = s.n_samples),
+lt AS (SELECT *, hi - lo AS span, CASE WHEN hi = lo THEN 0 ELSE -lo / (hi - lo)::DOUBLE END AS absent,
+  CASE WHEN hi = lo THEN 0 ELSE (t0 - k0 * lo) / (hi - lo) END AS s0, CASE WHEN hi = lo THEN 0 ELSE (t1 - k1 * lo) / (hi - lo) END AS s1,
+  CASE WHEN lo = 0 THEN k0 ELSE 0 END AS p0, CASE WHEN lo = 0 THEN k1 ELSE 0 END AS p1,
+  CASE WHEN hi = lo THEN 0 ELSE (t0 / n0 - lo) / (hi - lo) END AS m0, CASE WHEN hi = lo THEN 0 ELSE (t1 / n1 - lo) / (hi - lo) END AS m1,
+  CASE WHEN hi = lo THEN 0 ELSE (u0 / n0 - (t0 / n0) ** 2) / (hi - lo) ** 2 END AS v0, CASE WHEN hi = lo THEN 0 ELSE (u1 / n1 - (t1 / n1) ** 2) / (hi - lo) ** 2 END AS v1,
+  CASE WHEN hi = lo THEN 0 ELSE ((u0 + u1) / (n0 + n1) - ((t0 + t1) / (n0 + n1)) ** 2) / (hi - lo) ** 2 END AS v FROM lr),
+lz AS (SELECT n_samples, sum(s0) AS z0, sum(s1) AS z1, count(*) AS vn, max(v) * 0.01::DOUBLE AS e FROM lt GROUP BY n_samples),
+lw AS (SELECT t.n_samples, term, lo, hi, absent, m0, m1, v0 + e AS v0, v1 + e AS v1, n0, n1, p0, p1, ln((s1 + 1) / (z1 + vn)) - ln((s0 + 1) / (z0 + vn)) AS wm,
+  ln(p1 + 1) - ln(n1 - p1 + 1) - ln(p0 + 1) + ln(n0 - p0 + 1) AS wb FROM lt t JOIN lz z ON z.n_samples = t.n_samples),
+lb AS (SELECT n_samples, sum(absent * wm) AS bm, sum(ln((n1 - p1 + 1) / (n1 + 2)) - ln((n0 - p0 + 1) / (n0 + 2))) AS bb,
+  sum(-0.5 * ((absent - m1) ** 2 / v1 - (absent - m0) ** 2 / v0) - 0.5 * (ln(v1) - ln(v0))) AS bg, ln(max(n1)) - ln(max(n0)) AS prior FROM lw GROUP BY n_samples),
+lx AS (SELECT *, CASE WHEN hi = lo THEN 0 ELSE (n - lo) / (hi - lo)::DOUBLE END AS x FROM bow b JOIN lw w ON w.term = b.term),
+lp AS (SELECT n_samples, bug_id, sum((x - absent) * wm) AS zm, sum(CASE WHEN lo = 0 THEN wb ELSE 0 END) AS zb,
+  sum(-0.5 * ((x - m1) ** 2 / v1 - (x - m0) ** 2 / v0) + 0.5 * ((absent - m1) ** 2 / v1 - (absent - m0) ** 2 / v0)) AS zg FROM lx GROUP BY ALL),
+lm AS (SELECT b.n_samples, d.bug_id, d.binary_severity, d.split, coalesce(zm, 0) + bm + prior AS zm, coalesce(zb, 0) + bb + prior AS zb, coalesce(zg, 0) + bg + prior AS zg
+  FROM sdocs d JOIN lb b ON d.split <> 'tr' LEFT JOIN lp p ON p.bug_id = d.bug_id AND p.n_samples = b.n_samples),
+probs AS (SELECT n_samples, bug_id, binary_severity, split, c.name AS classifier, 1 / (1 + exp(-CASE c.name WHEN 'MultinomialNB' THEN zm WHEN 'BernoulliNB' THEN zb ELSE zg END)) AS prob
+  FROM lm, (SELECT unnest(['MultinomialNB', 'BernoulliNB', 'GaussianNB']) AS name) c)"""
+
+
+@query("learning_curve", sql(DOCS, SPLIT, BOW, CURVE_SQL, _auc_sql("probs", "classifier, n_samples, split"), body="""
+SELECT classifier, n_samples, split, round(auc, 5) AS auc FROM areas"""))
+def learning_curve(spark, sf):
+    """AUC on validation and test by sample size: nested samples of the training texts, all fitted in one scan."""
+    split, counts = _prepared(spark, sf)
+    ranked = shuffled_rank(_train(split).select(KEY, LABEL), KEY, "curve")
+    step = F.coalesce(*[F.when((F.col("rank") <= n) | F.lit(n == -1), i) for i, n in enumerate(SIZES)])
+    ladder = materialise(ranked.select(KEY, LABEL, step.alias("step")), "ladder")
+    later = F.col("split") != "tr"
+    scores = se.ladder_fits(_train(counts).drop(LABEL), ladder, counts.filter(later), split.filter(later), KEY, LABEL, len(SIZES))
+    areas = auc(_tied(scores), LABEL, "prob", ["classifier", "step", "split"])
+    size = F.element_at(F.array(*[F.lit(n) for n in SIZES]), F.col("step") + 1)
+    wide = areas.groupBy("classifier", size.alias("n_samples")).agg(
+        *[F.max(F.when(F.col("split") == s, F.col("auc"))).alias(f"auc_{s}") for s in ("val", "test")]
+    )
+    return se.learning_curve(wide).withColumn("auc", F.round("auc", 5))
+
+
 # --- trials ---
 
 N_TRIALS = 50
