@@ -1,5 +1,7 @@
 import json
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,10 +99,62 @@ def test_epoch_leaves_when_closed(spark):
 
 def test_resume_override(spark):
     df = spark.createDataFrame([(1, "2024-01-01"), (2, "2024-01-01"), (2, "2024-01-01")], "id long, at string")
-    df = df.withColumn("ts", F.to_timestamp("at")).drop("at")
     done = spark.createDataFrame([(1,)], "id long")
     for override, want in ((False, [2]), (True, [1, 2])):
         source, sink, check = (fresh_folder(spark, n) for n in ("src", "sink", "check"))
         df.write.parquet(source)
-        jobs.run_resume(jobs.stream_folder(spark, source, df), "id", "ts", "1 day", done, sink, check, override)
+        jobs.run_resume(jobs.stream_folder(spark, source, df), "id", done, sink, check, override)
         assert sorted(r["id"] for r in spark.read.parquet(sink).collect()) == want
+
+
+def test_resume_over_a_long_history_in_any_order(spark):
+    """Years apart and out of order, in several batches and from two checkpoints: once per key, none lost."""
+    parts = [[(1, "2024-06-01"), (2, "2021-01-01")], [(3, "2019-05-05"), (1, "2020-01-01")], [(2, "2030-01-01"), (4, "1999-01-01"), (4, "1999-01-01")]]
+    source, sink, check = (fresh_folder(spark, n) for n in ("src", "sink", "check"))
+    for part in parts:
+        df = spark.createDataFrame(part, "id long, at string")
+        df.coalesce(1).write.mode("append").parquet(source)
+        jobs.run_resume(jobs.stream_folder(spark, source, df, 1), "id", None, sink, check)
+    jobs.run_resume(jobs.stream_folder(spark, source, df, 1), "id", None, sink, fresh_folder(spark, "check"))
+    assert sorted(r["id"] for r in spark.read.parquet(sink).collect()) == [1, 2, 3, 4]
+
+
+def _forget_last_commit(check):
+    commits = Path(check) / "commits"
+    last = max(int(p.name) for p in commits.iterdir() if p.name.isdigit())
+    for p in commits.iterdir():
+        if p.name.strip(".").split(".")[0] == str(last):
+            p.unlink()
+
+
+def test_a_replayed_batch_changes_nothing(spark):
+    docs = spark.createDataFrame([(1, 0, "aa bb aa"), (2, 1, "bb")], "id long, y int, t string")
+    source, sink, check = (fresh_folder(spark, n) for n in ("src", "sink", "check"))
+    ids_sink, ids_check = fresh_folder(spark, "sink"), fresh_folder(spark, "check")
+    for _ in range(2):
+        docs.coalesce(1).write.mode("append").parquet(source)
+    for _ in range(2):
+        jobs.run_nb_counts(jobs.stream_folder(spark, source, docs, 1), "t", "y", sink, check)
+        jobs.run_resume(jobs.stream_folder(spark, source, docs, 1), "id", None, ids_sink, ids_check)
+        got = {(r["label"], r["term"]): r["n"] for r in jobs.latest_counts(spark, sink).collect()}
+        assert got == {(0, "aa"): 4, (0, "bb"): 2, (1, "bb"): 2}
+        assert sorted(r["id"] for r in spark.read.parquet(ids_sink).collect()) == [1, 2]
+        _forget_last_commit(check)
+        _forget_last_commit(ids_check)
+
+
+def test_predictions_of_every_layout(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"bug_id": 1, "severity_pred": 1.0}\n\n{"bug_id": 2, broken\n{"bug_id": 3}\n')
+    (tmp_path / "b.json").write_text('[\n  {\n "bug_id": 4,\n "binary_severity": 1\n },\n {"bug_id": 5}\n]\n')
+    (tmp_path / "c.json").write_text('[{"bug_id": 6}, {"bug_id": 7}]\n[{"bug_id": 8}]\n')
+    got = rd.read_predictions(spark, str(tmp_path), keep_path=True).collect()
+    assert sorted((r["bug_id"], r["path"][-6]) for r in got) == [(1, "a"), (3, "a"), (4, "b"), (5, "b"), (6, "c"), (7, "c"), (8, "c")]
+    bad = rd.rejected_predictions(spark, str(tmp_path)).collect()
+    assert [(r["path"][-6:], r["value"]) for r in bad] == [("a.json", '{"bug_id": 2, broken')]
+
+
+def test_rejected_lines_keep_their_file(spark, tmp_path):
+    (tmp_path / "x.json").write_text('{"bug_id": 1}\n{"bug_id": "one"}\n\nnot json\n')
+    assert rd.read_json_lines(spark, str(tmp_path)).count() == 1
+    bad = rd.rejected_lines(spark, str(tmp_path)).collect()
+    assert sorted((r["path"][-6:], r["split"], r["value"]) for r in bad) == [("x.json", 0, "not json"), ("x.json", 0, '{"bug_id": "one"}')]

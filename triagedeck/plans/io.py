@@ -108,21 +108,37 @@ def src_split_explode(spark, sf):
 
 @query("src_predictions_glob", sql(DOCS, JUDGED, body="SELECT bug_id, binary_severity, code AS severity_pred FROM judged"))
 def src_predictions_glob(spark, sf):
+    """Lines, one-line arrays and arrays laid out over many lines, with broken lines between the good ones."""
     path = fresh_folder(spark, "predictions")
     j = judged(spark, sf).select("bug_id", "binary_severity", "severity_pred")
-    sk.write_json(j.filter("binary_severity = 1"), f"{path}/lines")
+    good = j.filter("binary_severity = 1").select(F.to_json(F.struct("*")).alias("value"))
+    broken = good.select(F.expr("left(value, length(value) - 3)").alias("value"))
+    good.union(broken).write.text(f"{path}/lines")
     arrays = j.filter("binary_severity = 0").groupBy(F.expr("bug_id div 100").alias("part")).agg(
-        F.to_json(F.collect_list(F.struct("bug_id", "binary_severity", "severity_pred"))).alias("value")
+        F.collect_list(F.to_json(F.struct("bug_id", "binary_severity", "severity_pred"))).alias("r")
     )
-    arrays.selectExpr("concat(value, '\n\n') AS value").write.text(f"{path}/arrays")
-    read = rd.read_predictions(spark, f"{path}/lines").union(
-        rd.read_predictions(spark, f"{path}/arrays", glob="*.txt")
+    flat, tall = F.array_join("r", ","), F.array_join("r", ",\n  ")
+    value = F.when(F.col("part") % 2 == 0, F.concat(F.lit("["), flat, F.lit("]\n\n"))).otherwise(
+        F.concat(F.lit("[\n  "), tall, F.lit("\n]"))
     )
+    arrays.select(value.alias("value")).write.option("maxRecordsPerFile", 1).text(f"{path}/arrays")
+    read = rd.read_predictions(spark, path, glob="*.txt")
     return read.select(
         "bug_id", "binary_severity", nx.missing_to_failed(F.col("severity_pred")).alias("severity_pred")
     )
 
 
+@query("src_rejected", sql(DOCS, body="SELECT count(*) AS n_good, count(*) AS n_rejected, count(*) AS n_lines FROM docs"))
+def src_rejected(spark, sf):
+    """As many broken lines as good ones are told apart and counted."""
+    path = fresh_folder(spark, "rejected")
+    rows = docs(spark, sf).select(F.to_json(F.struct("bug_id", "description")).alias("value"))
+    rows.union(rows.select(F.expr("left(value, length(value) - 1)"))).write.text(path)
+    good = rd.read_json_lines(spark, path).agg(F.count(F.lit(1)).alias("n_good"))
+    bad = rd.rejected_lines(spark, path).agg(F.count(F.lit(1)).alias("n_rejected"), F.count_distinct("value").alias("n_lines"))
+    return good.withColumn("_b", bad.select(F.struct("*")).scalar()).select("n_good", "_b.*")
+
+
 def _folder():
     """Runs with the same parameters share a folder."""
     return F.concat(F.lit("run_"), (F.col("run") % 20).cast("string"))

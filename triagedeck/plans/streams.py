@@ -6,17 +6,18 @@ from pyspark.sql import functions as F
 
 from ..session import fresh_folder
 from ..streaming import jobs
-from .base import DOCS, SCORED, STEPS, docs, query, sql, steps, table
+from .base import DOCS, SCORED, STEPS, query, sql, steps, table
 
 
 @query("stream_nb_counts", sql(DOCS, body="""
 SELECT binary_severity AS label, term, count(*) AS n FROM (SELECT binary_severity, unnest(regexp_extract_all(lower(description), '[\\p{L}\\p{N}_]{2,}')) AS term FROM docs) GROUP BY ALL"""))
 def stream_nb_counts(spark, sf):
-    d = docs(spark, sf).select("bug_id", "description", "binary_severity")
-    source, sink = fresh_folder(spark, "docs"), fresh_folder(spark, "nb")
-    d.repartition(4).write.parquet(source)
-    stream = jobs.stream_folder(spark, source, d, files=2)
-    jobs.run_nb_counts(stream, "description", "binary_severity", sink, fresh_folder(spark, "check"))
+    """The texts' own folder as a stream, each batch joined with the labels."""
+    d, sink = table(spark, sf, "documents"), fresh_folder(spark, "nb")
+    labels = table(spark, sf, "labels").select("doc_id", F.col("quality").alias("binary_severity"))
+    folder = f"{sf}/documents.parque[t]"  # a pattern, as the table may be a folder or one file
+    stream = jobs.stream_folder(spark, folder, d).join(labels, "doc_id")
+    jobs.run_nb_counts(stream, "text", "binary_severity", sink, fresh_folder(spark, "check"))
     return jobs.latest_counts(spark, sink)
 
 
@@ -29,7 +30,7 @@ def stream_resume_dedup(spark, sf):
     e.union(e).write.parquet(source)
     done = table(spark, sf, "labels").withColumnRenamed("doc_id", "event_id")
     stream = jobs.stream_folder(spark, source, e)
-    jobs.run_resume(stream, "event_id", "ts", "40 days", done, sink, fresh_folder(spark, "check"))
+    jobs.run_resume(stream, "event_id", done, sink, fresh_folder(spark, "check"))
     return spark.read.schema(e.schema).parquet(sink).select("event_id")
 
 

@@ -51,16 +51,28 @@ def list_or_text(c: Column) -> Column:
     return F.when(c.startswith("[") & parts.isNotNull(), tx.join_text(parts)).otherwise(c)
 
 
+CORRUPT = "_corrupt_record"
+
+
+def _checked_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """(path, split, value, r): every line with the record read from it; ``r`` tells in CORRUPT if it is none."""
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    kept = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    record = F.from_json("value", kept, {"columnNameOfCorruptRecord": CORRUPT})
+    split = F.col("_metadata.file_block_start").alias("split")
+    return lines.select(file_path().alias("path"), split, "value", record.alias("r"))
+
+
 def read_json_lines(spark: SparkSession, path: str, schema: T.StructType = RAW_REPORT) -> DataFrame:
-    """One record per line; a broken line becomes a row of nulls and is dropped."""
-    kept = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
-    rows = (
-        spark.read.schema(kept)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_corrupt_record")
-        .json(path)
-    )
-    return rows.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+    """One record per line; broken lines are left to ``rejected_lines``."""
+    rows = _checked_lines(spark, path, schema).filter(F.col("r")[CORRUPT].isNull())
+    return rows.select(*[F.col("r")[c].alias(c) for c in schema.fieldNames()])
+
+
+def rejected_lines(spark: SparkSession, path: str, schema: T.StructType = RAW_REPORT) -> DataFrame:
+    """(path, split, value): lines that are no record of the schema, with their file and the start of the split they lie in."""
+    rows = _checked_lines(spark, path, schema)
+    return rows.filter(F.col("r")[CORRUPT].isNotNull()).select("path", "split", "value")
 
 
 def read_json_array(spark: SparkSession, path: str, schema: T.StructType = REPORT) -> DataFrame:
@@ -112,19 +124,51 @@ def file_path() -> Column:
     return F.col("_metadata.file_path")
 
 
+def _prediction_lines(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    """(path, value, records): the records of each line that holds some, null where it is broken."""
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
+    lines = reader.text(path).select(file_path().alias("path"), F.trim("value").alias("value")).filter("value <> ''")
+    kept = T.StructType([*PREDICTION.fields, T.StructField(CORRUPT, T.StringType())])
+    one = F.from_json("value", kept, {"columnNameOfCorruptRecord": CORRUPT})
+    many = F.from_json("value", T.ArrayType(PREDICTION))
+    single = F.when(
+        F.col("value").startswith("{") & one[CORRUPT].isNull(),
+        F.array(F.struct(*[one[c].alias(c) for c in PREDICTION.fieldNames()])),
+    )
+    return lines.select("path", "value", F.when(F.col("value").startswith("["), many).otherwise(single).alias("records"))
+
+
+def _whole_arrays(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    """(path, records) of files that are one array, however it is laid out."""
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
+    files = reader.text(path, wholetext=True).select(
+        file_path().alias("path"), "value", F.from_json("value", T.ArrayType(PREDICTION)).alias("records")
+    )
+    return files.filter(F.ltrim("value", F.lit(" \t\r\n")).startswith("[") & F.col("records").isNotNull()).drop("value")
+
+
 def read_predictions(
     spark: SparkSession, path: str, keep_path: bool = False, glob: str = "*.json"
 ) -> DataFrame:
-    """All prediction files below a folder: JSON lines or one-line arrays, blank lines skipped."""
-    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
-    lines = reader.text(path)
-    lines = lines.select("value", *([file_path().alias("path")] if keep_path else []))
-    text = F.trim(F.col("value"))
-    many = F.from_json(text, T.ArrayType(PREDICTION))
-    one = F.array(F.from_json(text, PREDICTION))
-    records = F.when(text.startswith("["), many).otherwise(one)
-    rest = [c for c in lines.columns if c != "value"]
-    return lines.filter(F.length(text) > 0).select(*rest, F.inline(records))
+    """All prediction files below a folder: JSON lines, one-line arrays, or one array of any layout.
+
+    A file with lines that are no records is tried as one array; if it is none, its good lines count
+    and the others are left to ``rejected_predictions``. Blank lines are skipped.
+    """
+    lines = _prediction_lines(spark, path, glob)
+    rest = ["path"] if keep_path else []
+    broken = lines.filter("records is null").select("path").distinct()
+    if broken.isEmpty():
+        return lines.select(*rest, F.inline("records"))
+    whole = _whole_arrays(spark, path, glob).join(broken, "path", "left_semi")
+    good = lines.filter("records is not null").join(whole.select("path"), "path", "left_anti")
+    return good.select("path", "records").union(whole).select(*rest, F.inline("records"))
+
+
+def rejected_predictions(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
+    """(path, value): lines of prediction files that hold no record and belong to no array."""
+    broken = _prediction_lines(spark, path, glob).filter("records is null").select("path", "value")
+    return broken.join(_whole_arrays(spark, path, glob).select("path"), "path", "left_anti")
 
 
 def run_folder(path: Column) -> Column:

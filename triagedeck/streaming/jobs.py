@@ -6,18 +6,28 @@ the same checkpoint folder to continue.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as tx
 
 
-def stream_folder(spark: SparkSession, path: str, like: DataFrame, files: int | None = None) -> DataFrame:
-    """A Parquet folder as a stream, with the schema of ``like``."""
-    reader = spark.readStream.schema(like.schema)
-    if files:
-        reader = reader.option("maxFilesPerTrigger", files)
-    return reader.parquet(path)
+BATCH_BYTES = 1 << 30  # of files admitted to one micro-batch
+
+
+def stream_folder(
+    spark: SparkSession, path: str, like: DataFrame, batch_bytes: int = BATCH_BYTES
+) -> DataFrame:
+    """A Parquet folder as a stream, with the schema of ``like``; batches are bounded by the bytes of their files."""
+    return spark.readStream.schema(like.schema).option("maxBytesPerTrigger", batch_bytes).parquet(path)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
 def nb_counts_stream(docs: DataFrame, text: str, label: str) -> DataFrame:
@@ -55,21 +65,32 @@ def latest_counts(spark: SparkSession, sink: str) -> DataFrame:
 def run_resume(
     rows: DataFrame,
     key: str,
-    time: str,
-    delay: str,
     done: DataFrame | None,
     sink: str,
     checkpoint: str,
     override: bool = False,
 ) -> None:
-    """Append rows whose key is not done yet, once per key; ``override`` does all again."""
-    fresh = rows if override or done is None else rows.join(done.select(key), key, "left_anti")
+    """Append rows whose key is not done yet, once per key; ``override`` does those of ``done`` again.
+
+    A batch leaves out what the sink has from earlier batches and runs, however long ago and in whatever order rows
+    come: no row is late. Each batch has a folder of its own, named after the checkpoint and its number, so a replay
+    overwrites what it wrote and looks only at what came before. Of the sink only keys are read.
+    """
+    run = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
+    kept = T.StructType([*rows.schema.fields, T.StructField("run", T.StringType()), T.StructField("batch", T.LongType())])
+
+    def save(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        fresh = batch.dropDuplicates([key])
+        if done is not None and not override:
+            fresh = fresh.join(done.select(key), key, "left_anti")
+        if _exists(spark, sink):
+            before = spark.read.schema(kept).parquet(sink).filter((F.col("run") != run) | (F.col("batch") < number))
+            fresh = fresh.join(before.select(key), key, "left_anti")
+        fresh.select(*rows.columns).write.mode("overwrite").parquet(f"{sink}/run={run}/batch={number}")
+
     query = (
-        fresh.withWatermark(time, delay)
-        .dropDuplicatesWithinWatermark([key])
-        .writeStream.outputMode("append")
-        .format("parquet")
-        .option("path", sink)
+        rows.writeStream.foreachBatch(save)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
