@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from triagedeck.llm import fingerprints as fp
 
@@ -12,19 +13,36 @@ def shingles(text):
     return {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))} if words else set()
 
 
-def test_short_texts_have_their_true_likeness(spark):
-    rng = random.Random(1)
-    words = [f"w{i}" for i in range(50)]
-    texts = [" ".join(rng.choices(words, k=5 + i)) for i in range(40)]
+def errors(spark, lengths, seed):
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(rng.choices(words, k=n)) for n in lengths]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     d = fp.next_edits(docs)
     got = d.select(
-        "text", "edited",
+        "text", "edited", F.size("hashes").alias("kept"),
         fp.resemblance(d.hashes, d.edited_hashes).alias("near"),
         fp.containment(d.hashes, d.edited_hashes).alias("held"),
     ).collect()
     assert len(got) == len(texts)
+    near = held = kept = whole = 0.0
     for r in got:
         a, b = shingles(r.text), shingles(r.edited)
-        assert r.near == pytest.approx(len(a & b) / len(a | b))
-        assert r.held == pytest.approx(len(a & b) / len(a))
+        near += (r.near - len(a & b) / len(a | b)) ** 2 / len(got)
+        held += (r.held - len(a & b) / len(a)) ** 2 / len(got)
+        kept, whole = kept + r.kept, whole + len(a)
+    return near**0.5, held**0.5, kept / whole
+
+
+@pytest.mark.parametrize("low, high, bound", [(10, 30, 0.2), (30, 60, 0.12), (60, 150, 0.09), (300, 400, 0.05)])
+def test_likeness_errs_within_its_bound(spark, low, high, bound):
+    near, held, kept = errors(spark, [low + i % (high - low) for i in range(150)], low)
+    assert near < bound and held < bound and 0.44 < kept < 0.6
+
+
+def test_fingerprints_merge(spark):
+    """The sketch of a union follows from the sketches of its parts."""
+    a, b = "one two three four five six seven eight", "seven eight nine ten eleven twelve thirteen"
+    row = spark.range(1).select(fp.fingerprint(F.lit(a)).alias("a"), fp.fingerprint(F.lit(b)).alias("b"), fp.shingle_hashes(F.lit(a)).alias("x"), fp.shingle_hashes(F.lit(b)).alias("y")).first()
+    whole = set(row.x) | set(row.y)
+    assert {h for h in (*row.a, *row.b) if h < 0} == {h for h in whole if h < 0}
