@@ -148,7 +148,7 @@ def test_presence_ignores_terms_of_all_texts(spark):
     docs = counts.select("bug_id", "y").distinct()
     sizes = nb.class_sizes(docs, "y")
     got = probs(nb.score(nb.fit_presence(nb.term_stats(counts, sizes, "y"), sizes), counts, docs, "bug_id"))
-    x = np.array([[1, 0], [0, 0], [0, 1]])  # b, c; every text has a
+    x = np.array([[0, 1, 0], [0, 0, 0], [0, 0, 1]])  # a, which every text has, b, c
     p = np.array([(x[:1].sum(0) + 1) / 3, (x[1:].sum(0) + 1) / 4])
     z = np.log(p) @ x.T + np.log(1 - p) @ (1 - x).T + np.log([[1 / 3], [2 / 3]])
     assert [got[i] for i in range(3)] == pytest.approx(list(1 / (1 + np.exp(z[0] - z[1]))))
