@@ -1,9 +1,11 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from triagedeck.functions import prompts as px
 from triagedeck.functions import text as tx
-from triagedeck.functions.stem import porter
+from triagedeck.functions.stem import STEP_2, STEP_3, STEP_4, porter, stem_tokens
 from triagedeck.operators import labels as lb
 from triagedeck.operators import reports as rp
 from triagedeck.operators.splits import few_shot_block
@@ -142,3 +144,20 @@ controll control  roll roll
 @pytest.mark.parametrize("word, stem", list(zip(STEMS[::2], STEMS[1::2])))
 def test_stems(word, stem):
     assert porter(word) == stem
+
+
+def test_stem_expressions_follow_the_rules(spark):
+    rng = random.Random(3)
+    ends = [*STEP_2, *STEP_3, *STEP_4, "ed", "ing", "eed", "s", "sses", "ies", "y", "e", "ll", "yy", ""]
+    words = STEMS[::2] + ["", "Y", "yes", "Yed", "sYZYgy", "İs", "\u0085", "ab" * 20000 + "ing", "y" * 9000 + "ed"]
+    for _ in range(6000):
+        head = "".join(rng.choice("aeiouybctlszéß9_") for _ in range(rng.randint(0, 5)))
+        words.append(head + "".join(rng.choice(ends) for _ in range(rng.randint(0, 2))))
+    rows = [(words[i : i + 50],) for i in range(0, len(words), 50)]
+    got = spark.createDataFrame(rows, "t array<string>").select("t", stem_tokens("t").alias("s")).collect()
+    assert [s for r in got for s in r["s"]] == [porter(t) for r in got for t in r["t"]]
+
+
+def test_stems_of_nothing(spark):
+    df = spark.createDataFrame([(None,), ([],), ([None, "cats"],)], "t array<string>")
+    assert [r["s"] for r in df.select(stem_tokens("t").alias("s")).collect()] == [None, [], [None, "cat"]]

@@ -1,10 +1,15 @@
-"""Porter's suffix stripping (Porter 1980) as an Arrow UDF over token arrays."""
+"""Porter's suffix stripping (Porter 1980): column expressions over token arrays, and the same in plain Python.
+
+The expressions are what tables use. ``porter`` states the rules for one token and is what the tests
+compare them with.
+"""
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable, Iterable
+
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 # The suffix rules of the published algorithm, step by step.
 STEP_2 = {
@@ -41,7 +46,7 @@ def _has_vowel(stem: str) -> bool:
 
 
 def _double_consonant(word: str) -> bool:
-    return len(word) > 1 and word[-1] == word[-2] and _shape(word)[-1] == "c"
+    return len(word) > 1 and word[-1] == word[-2] and _shape(word)[-2:] == "cc"
 
 
 def _short_end(word: str) -> bool:
@@ -117,17 +122,108 @@ def porter(token: str) -> str:
     return _tidy(_residue(word))
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def stem_tokens(tokens: pd.Series) -> pd.Series:
-    """Stem every token of every array; each distinct token of a batch is stemmed once."""
-    known: dict[str, str] = {}
+# The forms of the description as patterns: c a consonant, v a vowel, "Y" a y that begins the token and is a
+# consonant there. Any other y is a vowel after a consonant and a consonant after a vowel, which is
+# how the patterns read it from left to right. Stars repeat single characters only, so
+# a token of any length needs no stack.
+_C, _V = "[^aeiou][^aeiouy]*", "[aeiouy][aeiou]*"
+MEASURE_1 = f"^(?:{_C})?{_V}[^aeiou]"  # m > 0
+MEASURE_2 = f"^(?:{_C})?{_V}{_C}{_V}[^aeiou]"  # m > 1
+SHORT_END = f"^{_C}[aeiouy][^aeiouwxy]\\z"  # m = 1 and *o
+
+
+def _cut(word: Column, n: int) -> Column:
+    return F.left(word, F.length(word) - n)
+
+
+def _plural_c(w: Column) -> Column:
+    return (
+        F.when(w.endswith("sses") | w.endswith("ies"), _cut(w, 2))
+        .when(w.endswith("s") & ~w.endswith("ss"), _cut(w, 1))
+        .otherwise(w)
+    )
+
+
+def _past_end_c(w: Column) -> Column:
+    """The word without its ending, and whether that ending asks for a repair of the stem."""
+    eed, vowel = w.endswith("eed"), "[aeiouy]"
+    ed = ~eed & w.endswith("ed") & _cut(w, 2).rlike(vowel)
+    ing = w.endswith("ing") & _cut(w, 3).rlike(vowel)
+    stem = F.when(eed & _cut(w, 3).rlike(MEASURE_1), _cut(w, 1)).when(ed, _cut(w, 2)).when(ing, _cut(w, 3))
+    return F.struct(stem.otherwise(w).alias("stem"), (ed | ing).alias("open"))
+
+
+def _past_repair_c(p: Column) -> Column:
+    w = p["stem"]
+    last = F.right(w, F.lit(1))
+    double = last.rlike("[^aeiouylsz]") & (F.right(w, F.lit(2)) == F.concat(last, last))
+    return (
+        F.when(~p["open"], w)
+        .when(w.rlike("(?:at|bl|iz)\\z") | w.rlike(SHORT_END), F.concat(w, F.lit("e")))
+        .when(double, _cut(w, 1))
+        .otherwise(w)
+    )
+
+
+def _last_y_c(w: Column) -> Column:
+    turn = w.endswith("y") & _cut(w, 1).rlike("[aeiouy]")
+    return F.when(turn, F.concat(_cut(w, 1), F.lit("i"))).otherwise(w)
+
+
+def _longest_c(suffixes: Iterable[str]) -> Callable[[Column], Column]:
+    """The word beside the longest of the suffixes it ends in (empty: none)."""
+    by_length = sorted(suffixes, key=len)
+
+    def step(w: Column) -> Column:
+        end = F.lit("")
+        for suffix in by_length:
+            end = F.when(w.endswith(suffix), F.lit(suffix)).otherwise(end)
+        return F.struct(w.alias("word"), end.alias("end"))
+
+    return step
+
+
+def _mapped_c(rules: dict[str, str]) -> Callable[[Column], Column]:
+    def step(p: Column) -> Column:
+        stem, new = F.left(p["word"], F.length(p["word"]) - F.length(p["end"])), F.lit("")
+        for end, put in rules.items():
+            new = F.when(p["end"] == end, F.lit(put)).otherwise(new) if put else new
+        hit = (p["end"] != "") & stem.rlike(MEASURE_1)
+        return F.when(hit, F.concat(stem, new)).otherwise(p["word"])
+
+    return step
+
+
+def _residue_c(p: Column) -> Column:
+    stem = F.left(p["word"], F.length(p["word"]) - F.length(p["end"]))
+    hit = (p["end"] != "") & ((p["end"] != "ion") | stem.rlike("[st]\\z")) & stem.rlike(MEASURE_2)
+    return F.when(hit, stem).otherwise(p["word"])
+
+
+def _last_e_c(w: Column) -> Column:
+    stem = _cut(w, 1)
+    drop = stem.rlike(MEASURE_2) | (stem.rlike(MEASURE_1) & ~stem.rlike(SHORT_END))
+    return F.when(w.endswith("e") & drop, stem).otherwise(w)
+
+
+def _last_l_c(w: Column) -> Column:
+    return F.when(w.endswith("ll") & w.rlike(MEASURE_2), _cut(w, 1)).otherwise(w)
+
 
-    def stem(row):
-        if row is None:
-            return None
-        for t in row:
-            if t not in known:
-                known[t] = porter(t)
-        return [known[t] for t in row]
+def stem_tokens(tokens: Column | str) -> Column:
+    """Stem every token of an array; null arrays and null tokens stay null.
 
-    return tokens.map(stem)
+    Each step is a ``transform`` of its own: what a step uses several times is computed once, and
+    the expression grows with the number of rules only. No shuffle and no Python worker.
+    """
+    given = F.col(tokens) if isinstance(tokens, str) else tokens
+    words = F.transform(given, lambda t: F.lower(t))
+    words = F.transform(words, lambda w: F.when(w.startswith("y"), F.concat(F.lit("Y"), F.substring(w, 2, 1 << 30))).otherwise(w))
+    for step in (
+        _plural_c, _past_end_c, _past_repair_c, _last_y_c, _longest_c(STEP_2), _mapped_c(STEP_2),
+        _longest_c(STEP_3), _mapped_c(STEP_3), _longest_c(STEP_4), _residue_c, _last_e_c, _last_l_c,
+    ):
+        words = F.transform(words, step)
+    return F.zip_with(
+        given, words, lambda t, w: F.when(F.length(F.lower(t)) <= 2, F.lower(t)).otherwise(F.lower(w))
+    )

@@ -26,8 +26,7 @@ def preprocess_text(
 ) -> DataFrame:
     """One row per key, URLs replaced, content tokens kept and stemmed; empty texts go.
 
-    Everything but the stems is a Spark expression. The row filters come before the
-    stemmer, so Python only sees rows that stay.
+    The row filters come before the stemmer, so only rows that stay are stemmed.
     """
     first = first_per_key(df, [key], [order or key, column])
     tokens = tx.keep_content(tx.tokens(tx.replace_urls(F.col(column))))

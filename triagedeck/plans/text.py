@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import numbers as nx
 from ..functions import prompts as px
 from ..functions import text as tx
+from ..functions import stem as sm
 from ..functions.stem import stem_tokens
 from ..operators import labels as lb
 from ..operators import metrics as mt
@@ -46,6 +47,56 @@ def quoted(values) -> str:
     return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
 
 
+def _split_sql(source: str, out: str, suffixes) -> str:
+    """The word without its longest suffix of a list, and that suffix."""
+    found = f"regexp_extract(w, '({'|'.join(suffixes)})\\z', 1)"
+    return f"{out} AS (SELECT t, left(w, length(w) - length({found})) AS stem, {found} AS e FROM {source})"
+
+
+def _mapped_sql(source: str, out: str, rules: dict[str, str]) -> str:
+    table_of = " ".join(f"WHEN '{end}' THEN '{new}'" for end, new in rules.items())
+    return f"""{out} AS (SELECT t, stem || CASE WHEN regexp_matches(stem, '{sm.MEASURE_1}') THEN CASE e {table_of} ELSE '' END
+  ELSE e END AS w FROM {source})"""
+
+
+def with_stems(source: str) -> str:
+    """CTEs from ``source`` (bug_id, description of tokens split by spaces) to ``stemmed``.
+
+    Every distinct token goes through the rules once, step by step, and is joined back by its position.
+    """
+    return f"""tok AS (SELECT bug_id, unnest(string_split(description, ' ')) AS t,
+  generate_subscripts(string_split(description, ' '), 1) AS pos FROM {source}),
+s0 AS (SELECT DISTINCT t, regexp_replace(lower(t), '^y', 'Y') AS w FROM tok),
+s1 AS (SELECT t, CASE WHEN suffix(w, 'sses') OR suffix(w, 'ies') THEN left(w, length(w) - 2)
+  WHEN suffix(w, 's') AND NOT suffix(w, 'ss') THEN left(w, length(w) - 1) ELSE w END AS w FROM s0),
+s2 AS (SELECT t, w, left(w, length(w) - 2) AS w_ed, left(w, length(w) - 3) AS w_ing FROM s1 WHERE length(w) > 3),
+s3 AS (SELECT t, CASE WHEN suffix(w, 'eed') THEN CASE WHEN regexp_matches(w_ing, '{sm.MEASURE_1}') THEN left(w, length(w) - 1) ELSE w END
+    WHEN suffix(w, 'ed') AND regexp_matches(w_ed, '[aeiouy]') THEN w_ed
+    WHEN suffix(w, 'ing') AND regexp_matches(w_ing, '[aeiouy]') THEN w_ing ELSE w END AS w,
+  NOT suffix(w, 'eed') AND (suffix(w, 'ed') AND regexp_matches(w_ed, '[aeiouy]')
+    OR suffix(w, 'ing') AND regexp_matches(w_ing, '[aeiouy]')) AS open FROM s2
+  UNION ALL SELECT t, w, false FROM s1 WHERE length(w) <= 3),
+s4 AS (SELECT t, CASE WHEN NOT open THEN w WHEN regexp_matches(w, '(at|bl|iz)\\z') OR regexp_matches(w, '{sm.SHORT_END}') THEN w || 'e'
+  WHEN regexp_matches(right(w, 1), '[^aeiouylsz]') AND right(w, 2) = right(w, 1) || right(w, 1) THEN left(w, length(w) - 1)
+  ELSE w END AS w FROM s3),
+s5 AS (SELECT t, CASE WHEN suffix(w, 'y') AND regexp_matches(left(w, length(w) - 1), '[aeiouy]')
+  THEN left(w, length(w) - 1) || 'i' ELSE w END AS w FROM s4),
+{_split_sql('s5', 's6', sm.STEP_2)},
+{_mapped_sql('s6', 's7', sm.STEP_2)},
+{_split_sql('s7', 's8', sm.STEP_3)},
+{_mapped_sql('s8', 's9', sm.STEP_3)},
+{_split_sql('s9', 's10', sm.STEP_4)},
+s11 AS (SELECT t, CASE WHEN regexp_matches(stem, '{sm.MEASURE_2}') AND (e <> 'ion' OR regexp_matches(stem, '[st]\\z'))
+  THEN stem ELSE stem || e END AS w FROM s10),
+s12 AS (SELECT t, w, left(w, length(w) - 1) AS b FROM s11 WHERE w <> ''),
+s13 AS (SELECT t, CASE WHEN suffix(w, 'e') AND (regexp_matches(b, '{sm.MEASURE_2}')
+  OR regexp_matches(b, '{sm.MEASURE_1}') AND NOT regexp_matches(b, '{sm.SHORT_END}')) THEN b ELSE w END AS w FROM s12
+  UNION ALL SELECT t, w FROM s11 WHERE w = ''),
+dictionary AS (SELECT t, CASE WHEN length(lower(t)) <= 2 THEN lower(t) WHEN suffix(w, 'll') AND regexp_matches(w, '{sm.MEASURE_2}')
+  THEN lower(left(w, length(w) - 1)) ELSE lower(w) END AS s FROM s13),
+stemmed AS (SELECT bug_id, string_agg(s, ' ' ORDER BY pos) AS stemmed_description FROM tok JOIN dictionary USING (t) GROUP BY bug_id)"""
+
+
 # --- projections, filters, predicates ---
 
 
@@ -253,7 +304,9 @@ def filter_tokens(spark, sf):
     )
 
 
-@query("stem_tokens")
+@query("stem_tokens", sql(DOCS, f"""kept AS (SELECT bug_id, array_to_string(list_filter({tokens_sql('description')},
+  lambda t: NOT list_contains({quoted(tx.PUNCTUATION)}, t) AND NOT list_contains({quoted(tx.STOP_WORDS)}, lower(t))), ' ') AS description
+  FROM docs)""", with_stems("kept"), body="SELECT bug_id, stemmed_description FROM kept JOIN stemmed USING (bug_id)"))
 def stem(spark, sf):
     kept = docs(spark, sf).select("bug_id", tx.keep_content(tx.tokens(F.col("description"))).alias("t"))
     return kept.select("bug_id", F.array_join(stem_tokens("t"), " ").alias("stemmed_description"))
@@ -298,17 +351,24 @@ def paper_description(spark, sf):
     return paper_transformations(spark, sf).drop("stemmed_description")
 
 
-@query("preprocess_text")
+def _stemmed_sql(cleaned: str, dropped: str) -> str:
+    """The whole chain."""
+    return f"""WITH chain AS ({_chain_sql(cleaned, dropped)}),
+{with_stems('chain')}
+SELECT bug_id, bug_severity, binary_severity, description, stemmed_description FROM chain JOIN stemmed USING (bug_id)"""
+
+
+@query("preprocess_text", _stemmed_sql(URL_SQL, "true"))
 def preprocess_text(spark, sf):
     return rp.preprocess_text(lb.add_binary_label(_labelled_raw(spark, sf)))
 
 
-@query("custom_transformations")
+@query("custom_transformations", _stemmed_sql(CODE_SQL, KEPT_SQL))
 def custom_transformations(spark, sf):
     return rp.custom_transformations(_labelled_raw(spark, sf))
 
 
-@query("paper_transformations")
+@query("paper_transformations", _stemmed_sql(URL_SQL, KEPT_SQL))
 def paper_transformations(spark, sf):
     return rp.custom_transformations(_labelled_raw(spark, sf), strip_code=False)
 
