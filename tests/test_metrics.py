@@ -92,3 +92,17 @@ def test_one_class_has_no_auc(spark):
     assert {r["m"]: r["auc"] for r in cv.run_summary(df, "y", "p", ["m"]).collect()} == {"a": None, "b": 1.0}
     points = cv.roc_points(df.filter("m = 'a'"), "y", "p", ["m"]).collect()
     assert {r["fpr"] for r in points} == {None, 0.0}
+
+
+def test_curve_meets_its_totals_by_range(spark):
+    """One join, on (group, range), and one shuffle of the rows: a group with most scores is spread."""
+    df = spark.range(400).select(
+        (F.col("id") % 2).cast("int").alias("y"),
+        F.rand(3).alias("s"),
+        F.when(F.col("id") % 20 > 0, "hot").alias("g"),
+    )
+    curve = cv._curve(cv._counts(df, "y", "s", ["g"]), ["g"])
+    above, join, _ = curve._jdf.queryExecution().executedPlan().toString().partition("Join [")
+    assert join and above.count("Exchange") == 1 and "Exchange hashpartitioning(_at" in above
+    assert {r["g"] for r in cv.auc(df, "y", "s", ["g"]).collect()} == {"hot", None}
+    assert {(r["n_pos"], r["n_neg"]) for r in curve.filter("g = 'hot'").collect()} == {(200, 180)}

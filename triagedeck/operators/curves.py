@@ -18,32 +18,33 @@ def score_counts(df: DataFrame, label: str, score: str, group: Sequence[str] = (
     )
 
 
-def _curve(df: DataFrame, label: str, score: str, group: Sequence[str]) -> DataFrame:
+def _counts(df: DataFrame, label: str, score: str, group: Sequence[str]) -> DataFrame:
+    """The counts per score, written once: whatever computed the scores runs a single time."""
+    return materialise(score_counts(df, label, score, group), "scores")
+
+
+def _curve(counts: DataFrame, group: Sequence[str]) -> DataFrame:
     """Running (tp, fp) down the scores, beside the totals of the group.
 
-    The counts per score are written once: ranges, totals and running sums all
-    start from there, and whatever computed the scores runs a single time.
+    Totals come with the offsets of the ranges, so rows meet them by (group, range) and a
+    group that holds most scores is spread like any other.
     """
-    group = list(group)
-    counts = materialise(score_counts(df, label, score, group), "scores")
-    run = running_totals(counts, "threshold", {"tp": "_pos", "fp": "_neg"}, group, True)
-    totals = counts.groupBy(*group).agg(F.sum("_pos").alias("n_pos"), F.sum("_neg").alias("n_neg"))
-    if group:
-        return run.join(totals, group, "inner")
-    row = totals.select(F.struct("n_pos", "n_neg").alias("t"))
-    return run.withColumn("t", row.scalar()).select("*", "t.*").drop("t")
+    return running_totals(
+        counts, "threshold", {"tp": "_pos", "fp": "_neg"}, group, True, totals={"tp": "n_pos", "fp": "n_neg"}
+    )
 
 
 def roc_points(df: DataFrame, label: str, score: str, group: Sequence[str] = ()) -> DataFrame:
     """One point per distinct score, and the start (0, 0) at an infinite threshold."""
-    curve = _curve(df, label, score, group)
+    counts = _counts(df, label, score, group)
+    curve = _curve(counts, group)
     points = curve.select(
         *group,
         "threshold",
         F.try_divide("fp", "n_neg").alias("fpr"),
         F.try_divide("tp", "n_pos").alias("tpr"),
     )
-    start = curve.groupBy(*group).agg(
+    start = counts.groupBy(*group).agg(
         F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")
     )
     return points.unionByName(start)
@@ -55,7 +56,7 @@ def auc(df: DataFrame, label: str, score: str, group: Sequence[str] = ()) -> Dat
     Each score adds its negatives times the positives above it, ties by half:
     the trapezoids of the curve without looking at the previous row. Null if a class is missing.
     """
-    curve = _curve(df, label, score, group)
+    curve = _curve(_counts(df, label, score, group), group)
     area = F.sum(F.col("_neg") * (F.col("tp") - F.col("_pos") / 2.0))
     return curve.groupBy(*group).agg(
         F.try_divide(area, F.max("n_pos") * F.max("n_neg")).alias("auc")
@@ -69,7 +70,7 @@ def best_threshold(
 
     Predicting nothing as severe (an infinite threshold) is a candidate.
     """
-    curve = _curve(df, label, score, group)
+    curve = _curve(_counts(df, label, score, group), group)
     scored = curve.select(
         *group,
         (F.col("tp") + F.col("n_neg") - F.col("fp")).alias("right"),
@@ -160,7 +161,7 @@ def run_summary(df: DataFrame, label: str, score: str, group: Sequence[str]) ->
 
     Everything is read off one curve, so the scores are shuffled once.
     """
-    curve = _curve(df, label, score, group)
+    curve = _curve(_counts(df, label, score, group), group)
     p, n = F.col("n_pos"), F.col("n_neg")
     rows = curve.select(
         *group,

@@ -131,11 +131,14 @@ def running_totals(
     group: Sequence[str] = (),
     descending: bool = False,
     cuts: Sequence[float] | None = None,
+    totals: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Inclusive running sums of ``sums`` along a numeric order column.
 
     Rows must be unique per (group, order): aggregate them first. The ranges
     are literals in the plan, so a re-run task always sees the same ones.
+    ``totals`` names columns for the whole sums of the group: {running sum: column}. They travel
+    with the offsets, so no join on the group gathers a large one in a task.
     """
     group = list(group)
     if cuts is None:
@@ -149,9 +152,11 @@ def running_totals(
         .orderBy(way)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
+    whole = Window.partitionBy(*(group or [F.lit(0)]))
     offsets = sub.select(
         place([*group, "_b"]).alias("_at"),
         *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in named],
+        *[F.sum(f"_s_{n}").over(whole).alias(out) for n, out in (totals or {}).items()],
     )
     placed = cut.withColumn("_at", place([*group, "_b"])).join(offsets, "_at")
     col = F.desc(order) if descending else F.asc(order)
@@ -196,12 +201,7 @@ def exact_quantiles(
     gathers in one task.
     """
     group = list(group)
-    upto = running_totals(counts, "_q", {"_c": "_n"}, group)
-    totals = counts.groupBy(*group).agg(F.sum("_n").alias("_t"))
-    if group:
-        both = attach(upto, totals, group)
-    else:
-        both = upto.withColumn("_t", totals.select("_t").scalar())
+    both = running_totals(counts, "_q", {"_c": "_n"}, group, totals={"_c": "_t"})
     aggs = []
     for name, p in probs.items():
         place = F.lit(float(p)) * (F.col("_t") - 1)
