@@ -248,3 +248,37 @@ def test_failing_scorer(spark):
     df = spark.createDataFrame([(1, "crash"), (2, "boom"), (3, "typo")], "id long, p string").coalesce(1)
     got = {r["id"]: r["severity_pred"] for r in cl.score_prompts(df, "p", make).collect()}
     assert got == {1: 1, 2: -2, 3: 0}
+
+
+def test_scorer_is_loaded_once_and_tried_again(spark, tmp_path):
+    """Short answers and failures cost a try, null prompts are not sent, batches stay within their bound."""
+    log = tmp_path / "calls"
+
+    def make():
+        with log.open("a") as f:
+            f.write("load\n")
+        state = {"calls": 0}
+
+        def score(prompts):
+            state["calls"] += 1
+            with log.open("a") as f:
+                f.write(f"{len(prompts)}\n")
+            if state["calls"] == 1:
+                raise TimeoutError
+            if state["calls"] == 2:
+                return []
+            if "bad" in prompts:
+                raise ValueError
+            return ["1"] * len(prompts)
+
+        return score
+
+    rows = [(1, "a"), (2, "b"), (3, None), (4, "bad"), (5, "c"), (6, "d")]
+    df = spark.createDataFrame(rows, "id long, p string").coalesce(1)
+    got = {r["id"]: (r["severity_pred"], r["n_tries"]) for r in cl.score_prompts(df, "p", make, 3, 2).collect()}
+    assert got == {1: (1, 3), 2: (1, 3), 3: (-2, 0), 4: (-2, 6), 5: (1, 4), 6: (1, 1)}
+    calls = log.read_text().split()
+    assert calls == ["load", *["2"] * 6, *["1"] * 5]
+    with pytest.raises(ValueError):
+        cl.score_prompts(df, "p", make, tries=0)
+    assert cl.score_prompts(df.limit(0), "p", make).count() == 0

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
 from ..functions import text as tx
 from ..functions.numbers import FAILED
@@ -80,32 +80,61 @@ def train_valid_test(scored: DataFrame, label: str, classifier: str) -> DataFram
 
 
 def score_prompts(
-    df: DataFrame, prompt: str, make_scorer: Callable[[], Callable[[list[str]], list[str | None]]]
+    df: DataFrame,
+    prompt: str,
+    make_scorer: Callable[[], Callable[[list[str]], list[str | None]]],
+    tries: int = 2,
+    batch_rows: int = 32,
 ) -> DataFrame:
-    """Answers of an external batch model and the label read from them.
-
-    ``make_scorer`` runs once per task and returns a function from prompts to
-    answers. A batch that fails is repeated prompt by prompt; a prompt
-    that fails alone has no answer and gets the failed code.
+    """Answers of an external batch model, the tries they took, and the label read from them.
+
+    ``make_scorer`` loads the model once per task and returns a function from prompts to answers.
+    It is called with at most ``batch_rows`` prompts and must return as many answers. A batch that
+    fails ``tries`` times is scored prompt by prompt; a prompt that fails ``tries`` times alone
+    has no answer and gets the failed code, and the others of its batch keep theirs. A null prompt
+    is never sent and fails at once. A scorer that cannot be loaded fails the task, so that Spark repeats it
+    elsewhere. Adds ``answer``, ``n_tries`` (calls that held the prompt) and ``severity_pred``.
     """
-    schema = StructType([*df.schema.fields, StructField("answer", StringType())])
+    if tries < 1 or batch_rows < 1:
+        raise ValueError("tries and batch_rows are at least 1")
+    schema = StructType(
+        [*df.schema.fields, StructField("answer", StringType()), StructField("n_tries", LongType())]
+    )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         score = make_scorer()
 
-        def one(text: str) -> str | None:
-            try:
-                return score([text])[0]
-            except Exception:
-                return None
+        def attempt(texts: list[str]) -> tuple[list[str | None] | None, int]:
+            for n in range(1, tries + 1):
+                try:
+                    answers = list(score(texts))
+                    if len(answers) == len(texts):
+                        return answers, n
+                except Exception:  # whatever the model raises costs a try
+                    continue
+            return None, tries
+
+        def answered(texts: list[str]) -> list[tuple[str | None, int]]:
+            answers, n = attempt(texts)
+            if answers is not None:
+                return [(a, n) for a in answers]
+            if len(texts) == 1:
+                return [(None, n)]
+            alone = [attempt([t]) for t in texts]
+            return [(a[0] if a else None, n + m) for a, m in alone]
 
         for pdf in batches:
             texts = pdf[prompt].tolist()
-            try:
-                answers = score(texts)
-            except Exception:
-                answers = [one(t) for t in texts]
-            yield pdf.assign(answer=pd.Series(answers, index=pdf.index, dtype=object))
+            sent = [i for i, t in enumerate(texts) if isinstance(t, str)]
+            found: list[tuple[str | None, int]] = [(None, 0)] * len(texts)
+            for start in range(0, len(sent), batch_rows):
+                at = sent[start : start + batch_rows]
+                for i, got in zip(at, answered([texts[i] for i in at])):
+                    found[i] = got
+            yield pdf.assign(
+                answer=pd.Series([a for a, _ in found], index=pdf.index, dtype=object),
+                n_tries=pd.Series([n for _, n in found], index=pdf.index, dtype="int64"),
+            )
 
     answered = df.mapInPandas(run, schema)
     return answered.withColumn(

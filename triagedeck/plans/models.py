@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
+from ..functions import prompts as px
+from ..functions import text as tx
 from ..operators import classifiers as cl
 from ..operators import features as ft
 from ..operators import naive_bayes as nb
@@ -12,9 +14,9 @@ from ..operators import search as se
 from ..operators.curves import auc
 from ..operators.knn import knn_join, knn_trials
 from ..operators.metrics import accuracy, f1_averages
-from ..session import materialise
 from ..operators.ranks import shuffled_rank
 from ..operators.splits import sample_ladder, stratified_kfold, stratified_split
+from ..session import materialise
 from .base import (
     BOW,
     DOCS,
@@ -29,6 +31,7 @@ from .base import (
     texts,
     vectors,
 )
+from .text import TEMPLATE_SQL, TEMPLATE_TOKENS, tokens_sql
 
 KEY, LABEL = "bug_id", "binary_severity"
 
@@ -634,20 +637,45 @@ def mlp_embeddings(spark, sf):
     return _quality(scored, "MLP")
 
 
-def word_scorer():
-    """Offline stand-in of a batch model: answers by the words of the prompt."""
+def rule_scorer():
+    """Offline stand-in of a batch model, by the words between the template's marks of a prompt.
+
+    It fails on every prompt with an exclamation mark, and on the first call after each such failure, as
+    a model does that has run out of memory; so whole batches fail, and prompts beside a bad one need a second try.
+    """
+    hurt = [True]
 
     def score(prompts):
-        return [
-            None if not p else ("SEVERE" if len(p) % 3 == 0 else "not severe") for p in prompts
-        ]
+        if hurt[0]:
+            hurt[0] = False
+            raise RuntimeError("not ready")
+        if any(" ! " in p for p in prompts):
+            hurt[0] = True
+            raise RuntimeError("no answer")
+        words = [p.split(" ") for p in prompts]
+        return [("SEVERE", "not severe", "0 or 1", "0", "1")[len(w[4]) % 5] for w in words]
 
     return score
 
 
-@query("score_prompts", """
-SELECT doc_id, CASE WHEN length(text) % 3 = 0 THEN 'SEVERE' ELSE 'not severe' END AS answer,
-  CASE WHEN length(text) % 3 = 0 THEN 1 ELSE 0 END AS severity_pred FROM documents""")
+PROMPT_BUDGET = 50
+
+
+@query("score_prompts", f"""
+WITH t AS (SELECT doc_id, list_prepend('<s>', {tokens_sql('text')}) AS d,
+  {TEMPLATE_SQL} AS t FROM documents),
+b AS (SELECT doc_id, CASE WHEN doc_id % 9 = 4 THEN list_concat(d[1:1], ['!'], d[2:]) ELSE d END AS d, t FROM t),
+p AS (SELECT doc_id, list_concat(list_concat(t[2:5], d[2:{PROMPT_BUDGET - len(TEMPLATE_TOKENS) + 1}]), t[6:10]) AS p FROM b),
+a AS (SELECT doc_id, array_to_string(p, ' ') AS prompt, CASE WHEN contains(array_to_string(p, ' '), ' ! ') THEN NULL
+  ELSE ['SEVERE', 'not severe', '0 or 1', '0', '1'][length(p[5]) % 5 + 1] END AS answer FROM p)
+SELECT doc_id, prompt, answer, CAST(CASE WHEN answer IS NULL THEN -2 WHEN answer IN ('not severe', '0') THEN 0
+  WHEN answer IN ('SEVERE', '1') THEN 1 ELSE -1 END AS INTEGER) AS severity_pred FROM a""")
 def score_prompts(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "text")
-    return cl.score_prompts(d, "text", word_scorer).drop("text")
+    """Texts to prompts within the token budget, through the scorer, to labels: all four codes occur."""
+    tokens = tx.tokens(F.col("text"))
+    bad = F.array(F.when(F.col("doc_id") % 9 == 4, "!"))
+    described = F.concat(F.array(F.lit("<s>")), F.array_compact(bad), tokens)
+    template = F.array(*[F.lit(t) for t in TEMPLATE_TOKENS])
+    prompt = F.array_join(px.splice(template, F.lit(5), described, PROMPT_BUDGET), " ")
+    built = texts(spark, sf).select("doc_id", prompt.alias("prompt"))
+    return cl.score_prompts(built, "prompt", rule_scorer, tries=3).drop("n_tries")
