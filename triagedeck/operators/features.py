@@ -92,6 +92,17 @@ def fit_vector_range(df: DataFrame, vector: str) -> DataFrame:
     )
 
 
+def guard_vectors(df: DataFrame, vector: str) -> DataFrame:
+    """Return ``df`` unchanged, or fail when its vectors differ in width or hold NaN or null; one pass."""
+    missing = F.col(vector).isNull() | F.exists(vector, lambda x: x.isNull() | F.isnan(x))
+    row = df.agg(
+        F.min(F.size(vector)).alias("lo"), F.max(F.size(vector)).alias("hi"), F.count_if(missing).alias("bad")
+    ).first()
+    if row["lo"] != row["hi"] or row["bad"]:
+        raise ValueError(f"vectors of {row['lo']} to {row['hi']} values, {row['bad']} with missing ones")
+    return df
+
+
 def scale_vectors(df: DataFrame, vector: str, train: DataFrame, out: str = "scaled") -> DataFrame:
     """Min-max scaling of vectors with the range of the training rows; constant dimensions give 0."""
     ranged = df.withColumn("_r", fit_vector_range(train, vector).scalar())

@@ -11,13 +11,25 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
 
-HASH_DIGITS = 3  # 16**3 ranges of the hash order
-MAX_CUTS = 1024  # upper bound of the range limits held by the driver
+RANGES_PER_PARTITION = 4  # ranges of an order for each shuffle partition, so that they even out
+
+
+def n_ranges(spark: SparkSession) -> int:
+    """Ranges an order is cut into: they follow the shuffle partitions, which are set for the data at hand."""
+    return RANGES_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def hash_digits(spark: SparkSession) -> int:
+    """Leading hexadecimal digits of a hash that make at least so many ranges."""
+    digits = 1
+    while 16**digits < n_ranges(spark):
+        digits += 1
+    return digits
 
 
 def hash_order(seed: Column | str | int, *keys: str | Column) -> Column:
@@ -59,7 +71,7 @@ def shuffled_rank(
     rank: str = "rank",
     total: str | None = None,
     limit: Column | int | None = None,
-    digits: int = HASH_DIGITS,
+    digits: int | None = None,
 ) -> DataFrame:
     """1-based rank in seeded random order, per group if one is given.
 
@@ -68,6 +80,7 @@ def shuffled_rank(
     returned, and hash ranges that lie wholly above it are dropped before the shuffle.
     """
     group = list(group)
+    digits = digits or hash_digits(df.sparkSession)
     keyed = df.withColumn("_h", hash_order(seed, key)).withColumn(
         "_b", F.substring("_h", 1, digits)
     )
@@ -98,9 +111,7 @@ def range_limits(df: DataFrame, col: str, parts: int | None = None) -> list[floa
 
     Only the balance of the work depends on their accuracy, never a result.
     """
-    if parts is None:
-        parts = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(2, min(parts, MAX_CUTS))
+    parts = max(2, parts or n_ranges(df.sparkSession))
     probs = [i / parts for i in range(1, parts)]
     cuts = df.select(F.col(col).cast("double").alias("_v")).approxQuantile(
         "_v", probs, 1.0 / (4 * parts)

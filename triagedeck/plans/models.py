@@ -591,6 +591,7 @@ def _vector_study(spark, sf, n_trials):
 def search_mlp(spark, sf):
     """Drawn networks on the scaled vectors, by support-weighted F1 of validation."""
     s = stratified_split(vectors(spark, sf), "vec_id", "y")
+    ft.guard_vectors(s, "embedding")
     rows = ft.scale_vectors(s, "embedding", s.filter("split = 'tr'")).withColumn(
         "features", array_to_vector("scaled")
     )
@@ -623,7 +624,7 @@ def _quality(scored, classifier):
 @query("mlp_embeddings")
 def mlp_embeddings(spark, sf):
     s = stratified_split(vectors(spark, sf), "vec_id", "y")
-    train = s.filter("split = 'tr'")
+    train = ft.guard_vectors(s, "embedding").filter("split = 'tr'")
     rows = ft.scale_vectors(s, "embedding", train).withColumn("features", array_to_vector("scaled"))
     rows = materialise(rows.drop("embedding", "scaled"), "vectors")
     model = cl.fit_mlp(rows.filter("split = 'tr'"), "y", [64, 16, 2], max_iter=60)

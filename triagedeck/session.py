@@ -10,7 +10,6 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
-SMALL_BYTES = 1 << 30
 _stages: list[str] = []
 
 
@@ -52,15 +51,12 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
 
 
 def use_all_cores(df: DataFrame, key: str) -> DataFrame:
-    """Spread a small scan of few splits by its key before costly row work.
+    """Spread a scan of fewer splits than cores by its key before costly row work.
 
-    Only a table below ``SMALL_BYTES`` is shuffled for it; any other is returned as it is.
+    A table large enough to give every core a split is returned as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size > SMALL_BYTES or df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, key)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
 
 
 def materialise(df: DataFrame, name: str = "stage") -> DataFrame:

@@ -41,8 +41,8 @@ def read_feature_set(
     )
 
 
-def check_width(df: DataFrame, vector: str, split: str = "split") -> DataFrame:
-    """Fail unless the vectors of all splits have one width."""
+def check_width(df: DataFrame, vector: str) -> DataFrame:
+    """Fail unless the vectors of all rows, whatever their split, have one width."""
     row = df.agg(F.min(F.size(vector)).alias("lo"), F.max(F.size(vector)).alias("hi")).first()
     if row["lo"] != row["hi"]:
         raise ValueError(f"feature width differs: {row['lo']} and {row['hi']}")
