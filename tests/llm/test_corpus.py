@@ -167,8 +167,7 @@ def test_near_vectors(spark):
     assert near_vectors(frame.limit(0)).count() == 0
 
 
-def test_fingerprints(docs, none, monkeypatch):
-    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 5)
+def test_fingerprints(docs, none):
     known = sorted(((i, t or "") for i, t, *_ in rows() if i is not None), reverse=True)
     known.append((None, "a text without an id"))
     want = []

@@ -46,3 +46,16 @@ def test_fingerprints_merge(spark):
     row = spark.range(1).select(fp.fingerprint(F.lit(a)).alias("a"), fp.fingerprint(F.lit(b)).alias("b"), fp.shingle_hashes(F.lit(a)).alias("x"), fp.shingle_hashes(F.lit(b)).alias("y")).first()
     whole = set(row.x) | set(row.y)
     assert {h for h in (*row.a, *row.b) if h < 0} == {h for h in whole if h < 0}
+
+
+@pytest.mark.parametrize("n_ids", [0, 3, 200])
+def test_next_rows_of_many_without_an_id(spark, n_ids):
+    """One circle through all rows: by descending id, then the rows without one by the hash of their text."""
+    rows = [(i * 7, f"text of {i}") for i in range(n_ids)] + [(None, f"no id {i % 250}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), "text"]
+    texts = [r.text for r in docs.orderBy(*order).collect()]
+    paired = fp.with_next(docs, "doc_id", ["text"], ["text"])
+    assert paired.columns == ["doc_id", "text", "_next"]
+    got = sorted((r.text, r._next.text) for r in paired.collect())
+    assert got == sorted(zip(texts, texts[1:] + texts[:1]))

@@ -6,15 +6,14 @@ about 0.11 below 30 words, 0.07 below 60 and 0.05 below 150 (root mean square),
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import NO_ID, query, range_cuts, table
+from ..operators.ranks import add_range, n_ranges, range_limits
+from .base import NO_ID, query, table
 
 SHINGLE = 5
 FRACTION = 0.5  # of all hash values that are kept
-RANGE_ROWS = 2000  # documents that are put in order together
 LOWEST = -(1 << 63)
 
 
@@ -67,36 +66,40 @@ def as_text(hashes: Column) -> Column:
 def with_next(docs: DataFrame, id_col: str, columns: list[str], order: list[str]) -> DataFrame:
     """Add ``_next``: a struct of ``columns`` of the next row by descending id, the first row's for the last.
 
-    Rows are dealt out by ranges of the id. The first rows of every range are copied to the end of
-    the nearest range above, so each range is put in order alone and a text moves once. Rows with
-    the same id are ordered by ``order``; rows without an id come last.
+    Rows are dealt out by ranges of the id, four for each shuffle partition whatever the table. The first
+    rows of every range are copied to the end of the nearest range above, so each range is put in
+    order alone and a text moves once; the range heads that are broadcast are as many as the ranges.
+    Rows with the same id are ordered by ``order``. Rows without an id come last, by the hash of those
+    columns, which cuts them into as many ranges again, however many they are.
     """
-    keyed = docs.withColumn("_k", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)))
-    cuts = range_cuts(keyed.select("_k"), "_k", RANGE_ROWS)
-    if cuts:
-        splits = [float("-inf"), *cuts, float("inf")]
-        stage = Bucketizer(splits=splits, inputCol="_v", outputCol="_d", handleInvalid="keep")
-        keyed = stage.transform(keyed.withColumn("_v", F.col("_k").cast("double")))
-        keyed = keyed.withColumn("_range", F.col("_d").cast("int")).drop("_v", "_d")
-    else:
-        keyed = keyed.withColumn("_range", F.lit(0))
-    # one row per range, as many as the limits that the driver holds
-    tops = keyed.groupBy("_range").agg(F.max("_k").alias("_top"))
+    parts = n_ranges(docs.sparkSession)
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+    keyed = docs.withColumn("_k", key).withColumn(
+        "_h", F.when(F.col("_k") == NO_ID, F.xxhash64(*order)).otherwise(F.lit(0).cast("long"))
+    )
+    cuts = range_limits(keyed.select("_k").filter(F.col("_k") != NO_ID), "_k")
+    below = F.floor((F.col("_h") / F.lit(2.0**64) + 0.5) * parts).cast("int")
+    keyed = add_range(keyed, "_k", cuts, "_range").withColumn(
+        "_range", F.when(F.col("_k") == NO_ID, -1 - below).otherwise(F.col("_range"))
+    )
+    # one row per range; their number is bounded by the setting of the shuffle partitions
+    tops = keyed.groupBy("_range").agg(F.max("_k").alias("_top"), F.min("_h").alias("_low"))
     above = F.lead("_range").over(Window.orderBy("_range"))
     highest = F.first("_range").over(Window.orderBy("_range"))
-    tops = tops.select("_top", F.coalesce(above, highest).alias("_to"))
+    tops = tops.select(F.col("_range").alias("_of"), "_top", "_low", F.coalesce(above, highest).alias("_to"))
+    first = (F.col("_range") == F.col("_of")) & (F.col("_k") == F.col("_top")) & (F.col("_h") == F.col("_low"))
     copies = (
-        keyed.join(F.broadcast(tops), F.col("_k") == F.col("_top"))
+        keyed.join(F.broadcast(tops), first)
         .withColumn("_range", F.col("_to"))
         .withColumn("_copy", F.lit(True))
-        .drop("_top", "_to")
+        .drop("_of", "_top", "_low", "_to")
     )
     dealt = keyed.withColumn("_copy", F.lit(False)).unionByName(copies)
-    inside = Window.partitionBy("_range").orderBy("_copy", F.desc("_k"), *order)
+    inside = Window.partitionBy("_range").orderBy("_copy", F.desc("_k"), "_h", *order)
     return (
         dealt.withColumn("_next", F.lead(F.struct(*columns)).over(inside))
         .filter(~F.col("_copy"))
-        .drop("_k", "_range", "_copy")
+        .drop("_k", "_h", "_range", "_copy")
     )
 
 
@@ -105,7 +108,7 @@ def next_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     A text is edited by putting the first floor(n/3) code points of the next document, by
     descending id, in the place of its last floor(n/3). Missing texts are empty. Rows with the
-    same id follow each other by text; a single row is its own next one.
+    same id follow each other by text, rows without one by its hash; a single row is its own next one.
     """
     texts = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
