@@ -17,6 +17,9 @@ EDGE_SPACE = r"(?U)^\s+|\s+$"
 TOKEN_PATTERN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 # Vocabulary terms: at least two word characters.
 TERM_PATTERN = r"[\p{L}\p{N}_]{2,}"
+# What an answer says, in any case: severe, and the same word denied.
+SEVERE_ANSWER = "[sS][eE][vV][eE][rR][eE]"
+DENIED_ANSWER = "[nN][oO][tT] *" + SEVERE_ANSWER
 # The usual English stop-word list of text toolkits.
 STOP_WORDS = """
 i me my myself we our ours ourselves you you're you've you'll you'd your yours yourself
@@ -85,10 +88,8 @@ def keep_content(c: Column, stop_words: list[str] | None = None) -> Column:
 
 def classify_answer(c: Column, anchored: bool = False) -> Column:
     """Free-text answer -> 1 severe, 0 not severe, -1 undecided."""
-    severe = "[sS][eE][vV][eE][rR][eE]"
     start = "^" if anchored else ""
-    no = c.rlike(f"{start}[nN][oO][tT] *{severe}")
-    yes = c.rlike(f"{start}{severe}")
+    no, yes = c.rlike(start + DENIED_ANSWER), c.rlike(start + SEVERE_ANSWER)
     zero, one = c.contains("0"), c.contains("1")
     return (
         F.when(no | (zero & ~one), F.lit(0))

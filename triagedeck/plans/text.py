@@ -373,14 +373,14 @@ def paper_transformations(spark, sf):
     return rp.custom_transformations(_labelled_raw(spark, sf), strip_code=False)
 
 
-@query("classify_answer", sql(ANSWERS, body="""
-SELECT bug_id, CASE WHEN regexp_matches(answer, '[nN][oO][tT] *[sS][eE][vV][eE][rR][eE]')
+@query("classify_answer", sql(ANSWERS, body=f"""
+SELECT bug_id, CASE WHEN regexp_matches(answer, '{tx.DENIED_ANSWER}')
     OR (contains(answer, '0') AND NOT contains(answer, '1')) THEN 0
-  WHEN regexp_matches(answer, '[sS][eE][vV][eE][rR][eE]') OR (contains(answer, '1') AND NOT contains(answer, '0')) THEN 1
+  WHEN regexp_matches(answer, '{tx.SEVERE_ANSWER}') OR (contains(answer, '1') AND NOT contains(answer, '0')) THEN 1
   ELSE -1 END AS severity_pred,
- CASE WHEN regexp_matches(answer, '^[nN][oO][tT] *[sS][eE][vV][eE][rR][eE]')
+ CASE WHEN regexp_matches(answer, '^{tx.DENIED_ANSWER}')
     OR (contains(answer, '0') AND NOT contains(answer, '1')) THEN 0
-  WHEN regexp_matches(answer, '^[sS][eE][vV][eE][rR][eE]') OR (contains(answer, '1') AND NOT contains(answer, '0')) THEN 1
+  WHEN regexp_matches(answer, '^{tx.SEVERE_ANSWER}') OR (contains(answer, '1') AND NOT contains(answer, '0')) THEN 1
   ELSE -1 END AS anchored FROM answers"""))
 def classify_answer(spark, sf):
     c = F.col("answer")
