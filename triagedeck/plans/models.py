@@ -127,7 +127,20 @@ def extract_xy(spark, sf):
     return ft.extract_xy(docs(spark, sf), "description", LABEL)
 
 
-@query("feature_steps", sql(*TEXT, body="SELECT bug_id, term, round(x, 6) AS x FROM scaled"))
+def _steps_sql(weight: str) -> str:
+    """Scaled term values in small steps, each of them held."""
+    return sql(DOCS, SPLIT, f"""held AS MATERIALIZED (SELECT bug_id, split FROM sdocs),
+terms AS (SELECT bug_id, unnest(regexp_extract_all(lower(description), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term FROM docs),
+bow AS MATERIALIZED (SELECT bug_id, term, {weight} AS n FROM terms GROUP BY bug_id, term),
+size AS MATERIALIZED (SELECT count(*) AS n_train FROM held WHERE split = 'tr'),
+seen AS MATERIALIZED (SELECT term, count(*) AS df, min(n) AS low, max(n) AS hi FROM bow JOIN held USING (bug_id)
+  WHERE split = 'tr' GROUP BY term),
+rng AS MATERIALIZED (SELECT term, CASE WHEN df < n_train THEN 0 ELSE low END AS lo, hi FROM seen, size)""", body="""
+SELECT bug_id, term, round(CASE WHEN hi = lo THEN 0.0::DOUBLE ELSE (n - lo) / (hi - lo)::DOUBLE END, 6) AS x
+FROM bow JOIN rng USING (term)""")
+
+
+@query("feature_steps", _steps_sql("count(*)"))
 def feature_steps(spark, sf):
     """Counts, then min-max scaling fitted on the training texts."""
     split, counts = _prepared(spark, sf)
@@ -135,8 +148,7 @@ def feature_steps(spark, sf):
     return ft.scale_terms(counts, ranges, KEY).select(KEY, "term", r6("x").alias("x"))
 
 
-@query("feature_steps_binary", sql(DOCS, SPLIT, "bow AS (SELECT DISTINCT bug_id, unnest(regexp_extract_all(lower(description), '[\\p{L}\\p{N}_]{2,}')) AS term, 1 AS n FROM docs)", TRAIN_BOW, RANGES,
-    body="SELECT bug_id, term, round(x, 6) AS x FROM scaled"))
+@query("feature_steps_binary", _steps_sql("1"))
 def feature_steps_binary(spark, sf):
     split, counts = _prepared(spark, sf)
     counts = ft.binary_counts(counts)
