@@ -176,23 +176,24 @@ def src_runs_with_params(spark, sf):
 
 
 NAMES = """names AS (SELECT page_id, '/data/X_full_' || CASE page_id % 3 WHEN 0 THEN 'tr' WHEN 1 THEN 'val' ELSE 'test' END || '_'
-  || CASE WHEN page_id % 2 = 0 THEN 'nb_bino' WHEN page_id % 5 = 0 THEN 'nb_non_bino' ELSE 'svm_knn' END || '_eclipse_'
+  || CASE WHEN page_id % 2 = 0 THEN 'nb_bino' WHEN page_id % 5 = 0 THEN 'nb_non_bino' ELSE 'svm_knn' END || CASE WHEN page_id % 7 = 0 THEN '_net.core_' ELSE '_eclipse_' END
   || page_id * 100 || '_samples_epoch_' || page_id % 9 || '.npy' AS path FROM pages)"""
 
 
 @query("src_filename_meta", sql(NAMES, body="""
-SELECT page_id, 'eclipse' AS dataset, CASE WHEN page_id % 2 = 0 THEN 'nb_binary' WHEN page_id % 5 = 0 THEN 'nb_counts' ELSE 'svm_knn' END AS algorithm,
+SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 'net.core' ELSE 'eclipse' END AS dataset, CASE WHEN page_id % 2 = 0 THEN 'nb_binary' WHEN page_id % 5 = 0 THEN 'nb_counts' ELSE 'svm_knn' END AS algorithm,
   (page_id * 100)::INT AS n_samples, (page_id % 9)::INT AS epoch, CASE page_id % 3 WHEN 0 THEN 'tr' WHEN 1 THEN 'val' ELSE 'test' END AS split FROM names"""))
 def src_filename_meta(spark, sf):
     p = F.col("page_id")
     split = F.when(p % 3 == 0, "tr").when(p % 3 == 1, "val").otherwise("test")
     group = F.when(p % 2 == 0, "nb_bino").when(p % 5 == 0, "nb_non_bino").otherwise("svm_knn")
     path = F.concat(
-        F.lit("/data/X_full_"), split, F.lit("_"), group, F.lit("_eclipse_"), (p * 100).cast("string"),
+        F.lit("/data/X_full_"), split, F.lit("_"), group, F.when(p % 7 == 0, "_net.core_").otherwise("_eclipse_"),
+        (p * 100).cast("string"),
         F.lit("_samples_epoch_"), (p % 9).cast("string"), F.lit(".npy"),
     )
     named = table(spark, sf, "pages").select("page_id", path.alias("path"))
-    parts = rd.name_parts(F.col("path"))
+    parts = rd.name_parts(F.col("path"), ["eclipse", "net.core"])
     return named.select("page_id", *[c.alias(n) for n, c in parts.items()])
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -202,8 +205,8 @@ def read_run_metrics(spark: SparkSession, metrics: str, parameters: str) -> Data
     return rows.join(read_parameters(spark, parameters), "run", "inner")
 
 
-def name_parts(path: Column) -> dict[str, Column]:
-    """What a file name says: dataset, algorithm group, sample size, epoch, split."""
+def name_parts(path: Column, datasets: Sequence[str] = ("eclipse", "mozilla")) -> dict[str, Column]:
+    """What a file name says: dataset (one of ``datasets``, the last it names), algorithm group, sample size, epoch, split."""
     base = F.regexp_extract(path, r"([^/]+)$", 1)
     number = lambda pattern: F.when(
         base.rlike(pattern), F.regexp_extract(base, pattern, 1).cast("int")
@@ -219,7 +222,7 @@ def name_parts(path: Column) -> dict[str, Column]:
         .when(base.rlike("_(tr|train)(_|\\.)"), "tr")
     )
     return {
-        "dataset": F.regexp_extract(base, r"(eclipse|mozilla)[^/]*$", 1),
+        "dataset": F.regexp_extract(base, ".*(" + "|".join(map(re.escape, datasets)) + ")", 1),
         "algorithm": algorithm,
         "n_samples": number(r"(\d+)_samples"),
         "epoch": number(r"epoch_(\d+)"),
