@@ -282,3 +282,25 @@ def test_scorer_is_loaded_once_and_tried_again(spark, tmp_path):
     with pytest.raises(ValueError):
         cl.score_prompts(df, "p", make, tries=0)
     assert cl.score_prompts(df.limit(0), "p", make).count() == 0
+
+
+def test_bernoulli_query_counts_a_term_as_present_above_a_tenth(spark, tmp_path):
+    """'often' stands in many texts but once beside 30 times in one: scaled, it is absent from the others."""
+    from triagedeck.plans.models import nb_bernoulli
+
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices(WORDS, k=4) + ["often"] * (30 if i == 7 else i % 2)) for i in range(40)]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    found = nb_bernoulli(spark, str(tmp_path)).collect()
+    rows = [(r["bug_id"], r["binary_severity"], r["split"], texts[r["bug_id"]]) for r in found]
+    x, train, y = dense(rows)
+    x = x > 0.1
+    z = []
+    for c, prior in ((0, 0.3), (1, 0.7)):
+        own = x[train & (y == c)]
+        p = (own.sum(axis=0) + 0.5) / (len(own) + 1)
+        z.append(x @ np.log(p) + (1 - x) @ np.log(1 - p) + math.log(prior))
+    assert [r["prob"] for r in found] == pytest.approx(list(1 / (1 + np.exp(z[0] - z[1]))), abs=2e-6)
