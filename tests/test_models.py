@@ -206,6 +206,41 @@ def test_knn_carries_labels_through_crowded_blocks(spark, visitor_rows):
     assert sorted((r["query_id"], r["neighbour_id"], r["y"]) for r in found) == sorted(want)
 
 
+def test_knn_copies_a_query_once_a_tile_where_nothing_is_ruled_out(spark, monkeypatch):
+    """In many equal dimensions no cell is too far; a copy for each cell would grow faster than the pairs' bound."""
+    rng = np.random.default_rng(8)
+    t = spark.createDataFrame([(i, v) for i, v in enumerate(rng.normal(size=(900, 32)).tolist())], "id long, v array<double>")
+    q = spark.createDataFrame([(i, v) for i, v in enumerate(rng.normal(size=(50, 32)).tolist())], "id long, v array<double>")
+    written = {}
+
+    def noted(df, name="stage"):
+        written[name] = materialise(df, name)
+        return written[name]
+
+    monkeypatch.setattr(knn, "materialise", noted)
+    assert knn.knn_join(q, t, "id", "v", k=3).count() == 150
+    assert written["further_visits"].count() < 5 * 50  # 30 cells
+
+
+@pytest.mark.parametrize("p", [1, 2, 3])
+@pytest.mark.parametrize("scale, shift", [(1.0, 0.0), (1e-3, 1e4), (1e12, 0.0), (1e-25, 0.0)])
+def test_tile_keeps_every_near_row(p, scale, shift):
+    """Copies, near ties and far-off or tiny values; bounds that are exact, none, or missing."""
+    rng = np.random.default_rng(p)
+    rows = np.concatenate([rng.normal(size=(300, 20)), np.repeat(rng.normal(size=(3, 20)), 40, axis=0)]) * scale + shift
+    asked = np.concatenate([rng.normal(size=(30, 20)) * scale + shift, rows[-2:]])
+    gap = knn.distances(asked, rows, p)
+    want = np.argsort(gap, axis=1, kind="stable")[:, :6]
+    far = np.take_along_axis(gap, want, axis=1)[:, -1]
+    tile = knn.Tile(rows, 6, p)
+    assert len(tile.rows) == 300 + 3 * 6
+    for bound in (far, np.full(len(asked), np.inf), np.full(len(asked), np.nan)):
+        query, row, found = tile.nearest(asked, bound, 6)
+        assert query.tolist() == np.repeat(np.arange(len(asked)), 6).tolist()
+        assert row.reshape(-1, 6).tolist() == want.tolist()
+        assert found.tolist() == gap[query, row].tolist()
+
+
 def test_knn_with_fewer_rows_than_k(spark):
     t = spark.createDataFrame([(1, [0.0]), (2, [1.0])], "id long, v array<double>")
     got = knn.knn_join(t, t, "id", "v", k=5).collect()
