@@ -136,3 +136,27 @@ def test_table_finds_every_key():
     keys = rng.integers(0, 1 << 48, 5000)
     table = ct._Table(np.concatenate([keys, keys[:9]]), np.concatenate([keys, keys[:9]]).astype(float))
     assert (table[keys[::-1]] == keys[::-1]).all()
+
+
+def test_what_is_asked_for_follows_the_text_not_its_splits(spark, monkeypatch):
+    asked, real = [], ct.materialise
+
+    def spy(df, name="stage"):
+        out = real(df, name)
+        if name == "contexts":
+            asked.append(out.count())
+        return out
+
+    monkeypatch.setattr(ct, "materialise", spy)
+    df = spark.createDataFrame([(i, "the cat sat on the mat", i % 2 > 0) for i in range(60)], "doc_id long, text string, train boolean")
+    scores = [{r.score for r in ct.score_texts(df.repartition(n), F.col("train"), depth=2).collect()} for n in (1, 20)]
+    assert asked[0] == asked[1]
+    assert len(scores[0]) == 1 and scores[0] == scores[1]
+
+
+def test_words_of_pieces():
+    pieces = [b"\n\nab c \n", b"c \xc3\xa4 x ", b"x y \n", b"\n\n\n"]
+    starts = np.cumsum([0] + [len(p) for p in pieces[:-1]])
+    words, piece = ct.words_of(b"".join(pieces), starts, 2)
+    want = [(b"ab ", 0), (b"c ", 0), (b"\n", 0), (b"\xc3\xa4 ", 1), (b"x ", 1), (b"y ", 2), (b"\n", 2), (b"\n", 3)]
+    assert list(zip(words.to_pylist(), piece.tolist())) == want

@@ -9,25 +9,26 @@ context tree: half of every node's probability is its own estimate, half the pro
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import materialise, release
 from .base import query, rows_of, table
 
 DEPTH = 5  # bytes of the longest context; at most 6, so that a context, its byte and its bit fit a long
 END = b"\n"
 PIECE_BYTES = 1 << 20  # a longer text is cut behind the next space
 CHUNK_BYTES = 1 << 18  # pieces compressed together
-BLOCK_BYTES = 1 << 25  # texts whose contexts are asked for together
+BLOCK_BYTES = 1 << 26  # texts whose contexts are asked for together
 UNIQUE_BYTES = 1 << 21  # bytes whose contexts are sorted at a time
+WORD_BYTES = 1 << 23  # bytes whose words are numbered at a time
 ALPHA = 0.1
 LOG_PI = math.log(math.pi)
 
@@ -37,7 +38,8 @@ PARTS = "row long, doc_id long, train boolean, n_tokens long, n_known long, n_by
 
 def token_bytes(text: str | None) -> bytes:
     """Words, a space behind each, and the end. ``bytes.split`` knows the same white space as the words' pattern."""
-    return b"".join(w + b" " for w in (text or "").encode().lower().split()) + END
+    words = (text or "").encode().lower().split()
+    return b" ".join([*words, END])
 
 
 def _cut(depth: int, piece_bytes: int, block_bytes: int):
@@ -45,7 +47,7 @@ def _cut(depth: int, piece_bytes: int, block_bytes: int):
 
     def chunk(block: int, held: list[tuple]) -> pa.RecordBatch:
         row, doc, train, parts = zip(*held)
-        body = zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
+        body = zstandard.ZstdCompressor(level=6).compress(b"".join(parts))
         kinds = {"row": (row, pa.int64()), "doc_id": (doc, pa.int64()), "train": (train, pa.bool_())}
         kinds["size"] = ([len(x) for x in parts], pa.int64())
         lists = [pa.array([list(v)], pa.list_(k)) for v, k in kinds.values()]
@@ -92,18 +94,23 @@ def _unpacked(chunks: pa.RecordBatch | pa.Table) -> Iterator[tuple]:
 
 def grams(body: bytes, depth: int) -> np.ndarray:
     """Each byte behind the first ``depth`` ones, with the ``depth`` bytes before it, as one number."""
-    data = np.frombuffer(body, np.uint8).astype(np.int64)
-    n = len(data) - depth
-    out = np.zeros(max(n, 0), np.int64)
-    for j in range(depth + 1):
-        out = (out << 8) | data[j : j + n]
-    return out
+    eights = np.ndarray((max(len(body) - depth, 0),), ">u8", body + bytes(8), strides=(1,))
+    return (eights.astype(np.uint64) >> np.uint64(8 * (7 - depth))).view(np.int64)
 
 
-def words_of(body: bytes, depth: int) -> list[bytes]:
-    """Tokens of a piece; the end of a text is an empty word."""
-    own = body[depth:]
-    return own.split() + [b""] * own.endswith(END)
+def words_of(body: bytes, starts: np.ndarray, depth: int) -> tuple[pa.Array, np.ndarray]:
+    """Tokens of pieces that begin at ``starts``, each with the space behind it or the end, and the piece of each.
+
+    No word holds a space or an end, and a piece begins behind one; what ends in the bytes before a piece is not its own.
+    """
+    data = np.frombuffer(body, np.uint8)
+    at = np.flatnonzero((data == 32) | (data == END[0]))
+    limits = np.zeros(len(at) + 1, np.int32)
+    limits[1:] = at + 1
+    words = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(limits), pa.py_buffer(body)])
+    piece = np.searchsorted(starts, at, "right") - 1
+    own = at - starts[piece] >= depth
+    return words.filter(pa.array(own)), piece[own]
 
 
 class _Grams:
@@ -134,8 +141,11 @@ class _Grams:
             self.parts = [self.united()]
 
     def united(self) -> tuple[np.ndarray, np.ndarray]:
-        keys, at = np.unique(np.concatenate([k for k, _ in self.parts]), return_inverse=True)
-        return keys, np.bincount(at, np.concatenate([c for _, c in self.parts]), len(keys)).astype(np.int64)
+        keys, _ = np.unique(np.concatenate([k for k, _ in self.parts]), return_counts=True)  # with counts it sorts, which is faster
+        n = np.zeros(len(keys), np.int64)
+        for part, counts in self.parts:
+            n[np.searchsorted(keys, part)] += counts
+        return keys, n
 
     def batch(self, block: int) -> pa.RecordBatch:
         self.reduce()
@@ -147,16 +157,26 @@ class _Words:
     """Distinct tokens of one block, with their number in training documents."""
 
     def __init__(self, depth: int):
-        self.depth, self.counts, self.others = depth, Counter(), set()
+        self.depth, self.parts, self.waiting, self.size = depth, [], [], 0
 
     def add(self, trains: list[bool], starts: np.ndarray, sizes: np.ndarray, body: bytes) -> None:
-        for train, start, size in zip(trains, starts.tolist(), sizes.tolist()):
-            (self.counts if train else self.others).update(words_of(body[start : start + size], self.depth))
+        words, piece = words_of(body, starts, self.depth)
+        self.waiting.append((words, np.asarray(trains, np.int64)[piece]))
+        self.size += len(body)
+        if self.size >= WORD_BYTES:
+            self.parts.append(self.united(self.waiting))
+            self.waiting, self.size = [], 0
+            if len(self.parts) > 4:
+                self.parts = [self.united(self.parts)]
+
+    def united(self, parts: list[tuple[pa.Array, np.ndarray]]) -> tuple[pa.Array, np.ndarray]:
+        words = pa.concat_arrays([w for w, _ in parts]).dictionary_encode()
+        n = np.bincount(words.indices.to_numpy(), np.concatenate([c for _, c in parts]), len(words.dictionary))
+        return words.dictionary, n.astype(np.int64)
 
     def batch(self, block: int) -> pa.RecordBatch:
-        words = sorted(self.counts.keys() | self.others)
-        n = pa.array([self.counts.get(w, 0) for w in words], pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(words), block)), pa.array(words, pa.binary()), n], ["block", "word", "n"])
+        words, n = self.united(self.parts + self.waiting)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(words), block)), words, pa.array(n)], ["block", "word", "n"])
 
 
 def _count(kind: type, depth: int):
@@ -212,9 +232,25 @@ def _score(depth: int):
         told = answers.filter(answers.column("gram").is_valid())
         bits = _Table(told.column("gram").to_numpy(), told.column("value").to_numpy())
         told = answers.filter(answers.column("word").is_valid())
-        count = dict(zip(told.column("word").to_pylist(), told.column("value").to_pylist())).__getitem__
+        words = pa.array([], pa.binary()) if not len(told) else told.column("word").combine_chunks()
+        count = told.column("value").to_numpy()
+        logs = np.log10(count + ALPHA)
         new = pc.sum(told.column("is_new")).as_py() or 0
-        out = []
+        out, waiting, size = [], [], 0
+
+        def sums() -> None:
+            """Pieces of the waiting chunks: the words of many are looked up at once, as the lookup is made anew each time."""
+            nonlocal new, waiting, size
+            found = pc.index_in(pa.chunked_array([x[0] for x in waiting], pa.binary()), value_set=words).to_numpy()
+            base, seen = logs[found], count[found] > 0
+            at = 0
+            for _, piece, *columns in waiting:
+                for n, length, row, doc, train, n_bytes in zip(np.bincount(piece, minlength=len(columns[0])).tolist(), *columns):
+                    own = slice(at, at + n)
+                    out.append((row, doc, train, n, int(seen[own].sum()), n_bytes, float(base[own].sum()), length, new))
+                    new, at = 0, at + n
+            waiting, size = [], 0
+
         for _, rows, docs, trains, starts, sizes, body in _unpacked(chunks):
             keys = grams(body, depth)
             cross = np.ones(len(body), bool)
@@ -222,12 +258,14 @@ def _score(depth: int):
             inside = np.flatnonzero(cross[: len(keys)])
             lengths = np.zeros(len(body))
             lengths[inside] = bits[keys[inside]]
-            for row, doc, train, start, size in zip(rows, docs, trains, starts.tolist(), sizes.tolist()):
-                found = np.array([*map(count, words_of(body[start : start + size], depth))], np.float64)
-                known, base = int((found > 0).sum()), float(np.log10(found + ALPHA).sum())
-                length = float(lengths[start : start + size - depth].sum())
-                out.append((row, doc, train, len(found), known, size - depth, base, length, new))
-                new = 0
+            bounds = zip(starts.tolist(), sizes.tolist())
+            spent = [float(lengths[a : a + n - depth].sum()) for a, n in bounds]
+            waiting.append((*words_of(body, starts, depth), spent, rows, docs, trains, (sizes - depth).tolist()))
+            size += len(body)
+            if size >= WORD_BYTES:
+                sums()
+        if waiting:
+            sums()
         kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
         names = [x.split()[0] for x in PARTS.split(", ")]
         return pa.table([pa.array(v, k) for v, k in zip(zip(*out) if out else [[]] * len(kinds), kinds)], names=names)
@@ -235,21 +273,40 @@ def _score(depth: int):
     return score
 
 
-def log_gamma(x: Column) -> Column:
+def _log_gamma(x: np.ndarray) -> np.ndarray:
     """ln Γ(x) for x > 0 by Stirling's series, eight steps up; good to 1e-12."""
     z = x + 8
-    series = (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi)
+    series = (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi)
     inverse = 1 / (z * z)
     series = series + (1 / 12 - inverse * (1 / 360 - inverse * (1 / 1260 - inverse * (1 / 1680 - inverse / 1188)))) / z
     low = x * (x + 1) * (x + 2) * (x + 3)
     high = (x + 4) * (x + 5) * (x + 6) * (x + 7)
-    return series - F.log(low) - F.log(high)
+    return series - np.log(low) - np.log(high)
+
+
+def log_gamma(x: Column) -> Column:
+    """ln Γ(x) for x > 0, a batch of rows at a time."""
+
+    @F.pandas_udf("double")
+    def value(x: pd.Series) -> pd.Series:
+        return pd.Series(_log_gamma(x.to_numpy(np.float64)))
+
+    return value(x)
 
 
 def kt_log(a: Column, b: Column) -> Column:
-    """Logarithm of the Krichevsky-Trofimov probability of ``a`` zeros and ``b`` ones."""
-    value = log_gamma(a + 0.5) + log_gamma(b + 0.5) - log_gamma(a + b + 1.0) - LOG_PI
-    return F.when(a + b == 0, F.lit(0.0)).otherwise(value)
+    """Logarithm of the Krichevsky-Trofimov probability of ``a`` zeros and ``b`` ones.
+
+    A batch of rows at a time: as column expressions the three series make one method too long for the JVM to compile.
+    """
+
+    @F.pandas_udf("double")
+    def value(a: pd.Series, b: pd.Series) -> pd.Series:
+        zeros, ones = a.to_numpy(np.float64), b.to_numpy(np.float64)
+        out = _log_gamma(zeros + 0.5) + _log_gamma(ones + 0.5) - _log_gamma(zeros + ones + 1.0) - LOG_PI
+        return pd.Series(np.where(zeros + ones == 0, 0.0, out))
+
+    return value(a, b)
 
 
 NODE = "shiftleft(1, i) | shiftright(byte, 8 - i)"  # a one, then the bits of the byte before the i-th
@@ -299,13 +356,13 @@ def predictions(levels: list[DataFrame]) -> DataFrame:
     return now.select("node", F.col("acc").alias("p"))
 
 
-def code_lengths(counted: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(gram, value): bits of a byte behind its context, for counted (gram, n); n may be 0.
+def code_lengths(counted: DataFrame, depth: int = DEPTH, levels: list[DataFrame] | None = None) -> DataFrame:
+    """(gram, value): bits of a byte behind its context, for counted (gram, n); n may be 0. ``levels`` are its trees, if made.
 
     Contexts that no training document has count nothing and change no other node: their choices are even. The at most
     255 choices of a context are gathered into one row.
     """
-    p = predictions(tree(counted, depth)).select(
+    p = predictions(levels or tree(counted, depth)).select(
         F.shiftright("node", 8).alias("context"), F.struct(F.expr("int(node & 255)").alias("node"), "p").alias("e")
     )
     p = p.groupBy("context").agg(F.map_from_entries(F.collect_list("e")).alias("p"))
@@ -333,7 +390,8 @@ def score_texts(
     Texts are cut into pieces that overlap by a context and written in blocks. A block asks for each of its contexts and
     words once; their counts are summed over all blocks, the trees are made from all of them, and the answers go back to the
     blocks that asked. A context or word has one row a block at most, so none is a hot key, and no task
-    holds more than a block's texts and answers; nothing is broadcast. A text is cut only behind spaces: one
+    holds more than a block's texts and answers; nothing is broadcast. Input that comes in many small splits is read several
+    splits a task, about a block of text in each: what is asked for follows the text, not how it is dealt. A text is cut only behind spaces: one
     word longer than a piece stays whole. Missing and empty texts are one end. Repeated rows are scored each; a
     table without training rows gives even choices; an empty table an empty result; other columns are not looked
     at.
@@ -343,10 +401,15 @@ def score_texts(
         F.coalesce(train, F.lit(False)).alias("train"),
         F.col(f"`{text_col}`").alias("text"),
     )
+    size = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)).first()[0] or 0
+    splits = rows.rdd.getNumPartitions()
+    rows = rows.coalesce(max(1, -(-splits // max(1, block_bytes * splits // max(1, size)))))
     chunks = materialise(rows.mapInArrow(_cut(depth, piece_bytes, block_bytes), CHUNKS), "chunks")
     by_block = materialise(chunks.mapInArrow(_count(_Grams, depth), "block long, gram long, n long"), "contexts")
     counted = materialise(by_block.groupBy("gram").agg(F.sum("n").alias("n")), "grams")
-    lengths = materialise(code_lengths(counted, depth), "code_lengths")
+    levels = tree(counted, depth)
+    lengths = materialise(code_lengths(counted, depth, levels), "code_lengths")
+    release(counted, *levels)
     same = Window.partitionBy("word")
     total = F.sum("n").over(same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     first = F.row_number().over(same.orderBy("block")) == 1
@@ -360,6 +423,7 @@ def score_texts(
     )
     parts = chunks.groupBy("block").cogroup(contexts.union(words).groupBy("block")).applyInArrow(_score(depth), PARTS)
     parts = materialise(parts, "scores")
+    release(chunks, by_block, lengths)
     known = parts.agg(F.sum("n_new"), F.sum(F.expr("if(train, n_tokens, 0)"))).first()
     n_words, n_train = known[0] or 0, known[1] or 0
     scale = math.log10(n_train + ALPHA * (n_words + 1))
