@@ -8,7 +8,10 @@ context tree: half of every node's probability is its own estimate, half the pro
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import math
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +30,9 @@ END = b"\n"
 PIECE_BYTES = 1 << 20  # a longer text is cut behind the next space
 CHUNK_BYTES = 1 << 18  # pieces compressed together
 BLOCK_BYTES = 1 << 26  # texts whose contexts are asked for together
-UNIQUE_BYTES = 1 << 21  # bytes whose contexts are sorted at a time
-WORD_BYTES = 1 << 23  # bytes whose words are numbered at a time
+UNIQUE_BYTES = 1 << 20  # bytes whose contexts are sorted at a time
+WORD_BYTES = 1 << 22  # bytes whose words are numbered at a time
+LOOKUP_BYTES = 1 << 23  # bytes whose words are looked up at a time
 ALPHA = 0.1
 LOG_PI = math.log(math.pi)
 
@@ -36,6 +40,25 @@ CHUNKS = "block long, row array<long>, doc_id array<long>, train array<boolean>,
 PARTS = "row long, doc_id long, train boolean, n_tokens long, n_known long, n_bytes long, base double, bits double, n_new long"
 
 
+def _give_back() -> None:
+    """Free memory goes back to the system: a worker that waits for its next task keeps it beside the JVM otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+    if trim:
+        trim(0)
+
+
+def _lean(step):
+    """A step over batches that gives its memory back at the end of a task."""
+
+    @functools.wraps(step)
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from step(batches)
+        _give_back()
+
+    return lean
+
+
 def token_bytes(text: str | None) -> bytes:
     """Words, a space behind each, and the end. ``bytes.split`` knows the same white space as the words' pattern."""
     words = (text or "").encode().lower().split()
@@ -81,7 +104,7 @@ def _cut(depth: int, piece_bytes: int, block_bytes: int):
         if held:
             yield chunk(block, held)
 
-    return cut
+    return _lean(cut)
 
 
 def _unpacked(chunks: pa.RecordBatch | pa.Table) -> Iterator[tuple]:
@@ -137,7 +160,7 @@ class _Grams:
                 keys, n = np.unique(np.concatenate(found), return_counts=True)
                 self.parts.append((keys, n if kind else np.zeros_like(n)))
         self.waiting, self.size = [], 0
-        if len(self.parts) > 4:
+        if len(self.parts) > 2:
             self.parts = [self.united()]
 
     def united(self) -> tuple[np.ndarray, np.ndarray]:
@@ -166,7 +189,7 @@ class _Words:
         if self.size >= WORD_BYTES:
             self.parts.append(self.united(self.waiting))
             self.waiting, self.size = [], 0
-            if len(self.parts) > 4:
+            if len(self.parts) > 2:
                 self.parts = [self.united(self.parts)]
 
     def united(self, parts: list[tuple[pa.Array, np.ndarray]]) -> tuple[pa.Array, np.ndarray]:
@@ -194,7 +217,7 @@ def _count(kind: type, depth: int):
         if held:
             yield from rows_of([held.batch(now)], 1 << 16)
 
-    return count
+    return _lean(count)
 
 
 class _Table:
@@ -228,29 +251,40 @@ class _Table:
 def _score(depth: int):
     """Chunks of one block beside the answers for it -> sums of its pieces, and the training words first met in it."""
 
-    def score(chunks: pa.Table, answers: pa.Table) -> pa.Table:
-        told = answers.filter(answers.column("gram").is_valid())
-        bits = _Table(told.column("gram").to_numpy(), told.column("value").to_numpy())
-        told = answers.filter(answers.column("word").is_valid())
+    def by_words(chunks: pa.Table, answers: pa.Table) -> Iterator[tuple]:
+        """(tokens, known ones, base) of every piece."""
+        told = answers.select(["word", "value"]).filter(answers.column("word").is_valid())
         words = pa.array([], pa.binary()) if not len(told) else told.column("word").combine_chunks()
         count = told.column("value").to_numpy()
+        del told
         logs = np.log10(count + ALPHA)
-        new = pc.sum(told.column("is_new")).as_py() or 0
-        out, waiting, size = [], [], 0
+        waiting, size = [], 0
 
-        def sums() -> None:
+        def sums() -> Iterator[tuple]:
             """Pieces of the waiting chunks: the words of many are looked up at once, as the lookup is made anew each time."""
-            nonlocal new, waiting, size
-            found = pc.index_in(pa.chunked_array([x[0] for x in waiting], pa.binary()), value_set=words).to_numpy()
+            found = pc.index_in(pa.chunked_array([x for x, _, _ in waiting], pa.binary()), value_set=words).to_numpy()
             base, seen = logs[found], count[found] > 0
             at = 0
-            for _, piece, *columns in waiting:
-                for n, length, row, doc, train, n_bytes in zip(np.bincount(piece, minlength=len(columns[0])).tolist(), *columns):
+            for _, piece, pieces in waiting:
+                for n in np.bincount(piece, minlength=pieces).tolist():
                     own = slice(at, at + n)
-                    out.append((row, doc, train, n, int(seen[own].sum()), n_bytes, float(base[own].sum()), length, new))
-                    new, at = 0, at + n
-            waiting, size = [], 0
+                    yield n, int(seen[own].sum()), float(base[own].sum())
+                    at += n
 
+        for _, _, _, _, starts, _, body in _unpacked(chunks):
+            waiting.append((*words_of(body, starts, depth), len(starts)))
+            size += len(body)
+            if size >= LOOKUP_BYTES:
+                yield from sums()
+                waiting, size = [], 0
+        if waiting:
+            yield from sums()
+
+    def by_contexts(chunks: pa.Table, answers: pa.Table) -> Iterator[tuple]:
+        """(row, doc_id, train, bytes, bits) of every piece."""
+        told = answers.select(["gram", "value"]).filter(answers.column("gram").is_valid())
+        bits = _Table(told.column("gram").to_numpy(), told.column("value").to_numpy())
+        del told
         for _, rows, docs, trains, starts, sizes, body in _unpacked(chunks):
             keys = grams(body, depth)
             cross = np.ones(len(body), bool)
@@ -260,12 +294,18 @@ def _score(depth: int):
             lengths[inside] = bits[keys[inside]]
             bounds = zip(starts.tolist(), sizes.tolist())
             spent = [float(lengths[a : a + n - depth].sum()) for a, n in bounds]
-            waiting.append((*words_of(body, starts, depth), spent, rows, docs, trains, (sizes - depth).tolist()))
-            size += len(body)
-            if size >= WORD_BYTES:
-                sums()
-        if waiting:
-            sums()
+            yield from zip(rows, docs, trains, (sizes - depth).tolist(), spent)
+
+    def score(chunks: pa.Table, answers: pa.Table) -> pa.Table:
+        """Chunks are unpacked twice, so that the words' table is gone before that of the contexts is made."""
+        spoken = list(by_words(chunks, answers))
+        _give_back()
+        new = pc.sum(answers.column("is_new")).as_py() or 0
+        out = []
+        for (n, known, base), (row, doc, train, n_bytes, spent) in zip(spoken, by_contexts(chunks, answers), strict=True):
+            out.append((row, doc, train, n, known, n_bytes, base, spent, new))
+            new = 0
+        _give_back()
         kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
         names = [x.split()[0] for x in PARTS.split(", ")]
         return pa.table([pa.array(v, k) for v, k in zip(zip(*out) if out else [[]] * len(kinds), kinds)], names=names)
